@@ -21,6 +21,8 @@ SLOTS = 1 << 20
 #: At most this many labelled rows, drawn by a hash of the id, teach the model.
 SAMPLE = 50_000
 PRIOR = 1000.0  # weight of the background distribution in either class, in tokens
+FLOOR = 0.5
+CAUTION = 1.7
 DRIFT = 0.2  # taken from every token, so that clean text drifts down
 LOWEST, HIGHEST = -1.0, 5.0
 MEMORY = 300_000  # tokens whose score a worker remembers
@@ -31,15 +33,15 @@ def slot(token: str) -> int:
 
 
 def token_scores(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Per slot: log-odds of toxic against clean under a Dirichlet prior shaped like both together, drawn towards 0 by one
-    standard deviation, within bounds, less the drift. toxic, clean: documents of each class that hold the slot."""
+    """Per slot: log-odds of toxic against clean under a Dirichlet prior shaped like both together (at least FLOOR a slot), drawn
+    towards 0 by CAUTION standard deviations, within bounds, less the drift. toxic, clean: documents of each class that hold the slot."""
     n1, n0 = max(toxic.sum(), 1.0), max(clean.sum(), 1.0)
-    prior = PRIOR * (toxic + clean) / (n1 + n0)
+    prior = np.maximum(PRIOR * (toxic + clean) / (n1 + n0), FLOOR)
     a, b = toxic + prior, clean + prior
     seen = (toxic + clean) > 0
     a, b = np.where(seen, a, 1.0), np.where(seen, b, 1.0)
     odds = np.log(a / (n1 + PRIOR)) - np.log(b / (n0 + PRIOR))
-    sure = np.maximum(np.abs(odds) - np.sqrt(1 / a + 1 / b), 0) * np.sign(odds)
+    sure = np.maximum(np.abs(odds) - CAUTION * np.sqrt(1 / a + 1 / b), 0) * np.sign(odds)
     return (np.clip(np.where(seen, sure, 0.0), LOWEST, HIGHEST) - DRIFT).astype(np.float32)
 
 
