@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, pii, quality, token_files, toxicity
+from . import lm, minhash, mixing, packing, pii, quality, token_files, toxicity
 from .common import fold, table
 
 
@@ -93,6 +93,10 @@ FROM o
 """
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("n_bytes")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("pii")
@@ -112,6 +116,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_mix_sources": op8_mix_sources,
+    "op9_lm_scores": op9_lm_scores,
     "op10_pii": op10_pii,
 }
 # shingles by window of words; pairs that share a shingle; links by exact similarity; components by recursion
