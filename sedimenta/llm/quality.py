@@ -14,6 +14,7 @@ MEASURES = ("q_words", "q_word_len", "q_symbols", "q_dup_lines", "q_repeats", "q
 EDGES = 16  # quantiles of each class at which a threshold may lie
 MAX_RULES = 12
 MAX_LITERALS = 3
+SAMPLE = 50_000  # labelled rows that teach the rules, at most
 MIN_COVER = 5  # labelled rows that a rule must reject
 PRECISION = 0.9  # of a rule, on the rows held out for pruning
 
@@ -209,13 +210,16 @@ def learn(labelled: DataFrame, reject_col: str) -> DecisionList:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DecisionList:
     """Learn from the rows of docs that labels names; label 0 means reject, null labels are left out.
 
-    A document with several labels counts once for each. Documents that fail the base rules teach nothing: they are
+    At most SAMPLE labels are used, drawn by a hash of the id: so many are broadcast, and texts need no shuffle. A document
+    with several labels counts once for each. Documents that fail the base rules teach nothing: they are
     rejected anyway. Without labelled rows the list is empty and keeps everything.
     """
-    told = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("q_id"), (F.col(label_col) == 0).alias("q_bad"))
-    known = docs.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("q_text")).join(told, "q_id")
-    rows = measured(known, "q_text").withColumn("q_prune", fold(F.col("q_id"), 3) == 0)
-    rows = stored(rows.where(~base_failed()).select(*MEASURES, "q_bad", "q_prune"), "quality-labelled")
+    told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("q_id"), (F.col(label_col) == 0).alias("q_bad"))
+    told = told.orderBy(F.xxhash64("q_id"), "q_id", "q_bad").limit(SAMPLE)
+    known = docs.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("q_text")).join(F.broadcast(told), "q_id")
+    rows = measured(known, "q_text").withColumn("q_prune", fold(F.col("q_id"), 3) == 0).withColumn("q_failed", base_failed())
+    # the filter comes after the table, so that it does not draw the measures below the join
+    rows = stored(rows.select(*MEASURES, "q_bad", "q_prune", "q_failed"), "quality-labelled").where(~F.col("q_failed"))
     return learn(rows, "q_bad")
 
 
