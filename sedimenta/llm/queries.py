@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, minhash, mixing, packing, pii, quality, token_files, toxicity
+from . import lm, minhash, mixing, packing, pii, quality, token_files, toxicity, vectors
 from .common import fold, table
 
 
@@ -25,6 +25,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.linked(table(spark, sf_dir, "documents").select("doc_id", "text"), similarity="0.85")
 
 
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     back = token_files.export(docs, file="word_bpe_49k.json", end_id=2)
@@ -112,6 +116,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash": op2_minhash,
+    "op3_vectors": op3_vectors,
     "op4_token_files": op4_token_files,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
@@ -139,4 +144,17 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.c AS componen
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.id = d.doc_id
 """
 
-ORACLES = {"op2_minhash": OP2_SQL, "op8_mix_sources": OP8_SQL}
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND norm > 0 AND isfinite(norm)),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (a.norm * b.norm) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.id AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.c AS component_id, c.id = c.c AS kept FROM c LEFT JOIN n ON n.a = c.id
+"""
+
+ORACLES = {"op3_vectors": OP3_SQL, "op2_minhash": OP2_SQL, "op8_mix_sources": OP8_SQL}
