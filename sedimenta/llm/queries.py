@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, minhash, mixing, packing, pii, quality, token_files, toxicity, vectors
+from . import chat, lm, minhash, mixing, packing, pii, quality, token_files, toxicity, vectors
 from .common import fold, table
 
 
@@ -35,6 +35,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.threaded(table(spark, sf_dir, "conversations"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), file="byte_bpe_50k.json", end_id=1)
 
@@ -118,6 +122,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_vectors": op3_vectors,
     "op4_token_files": op4_token_files,
+    "op5_chat": op5_chat,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_mix_sources": op8_mix_sources,
