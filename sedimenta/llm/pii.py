@@ -45,7 +45,7 @@ def mod97(account: Column) -> Column:
         code = F.ascii(char)
         return F.when(code < 58, (rest * 10 + code - 48) % 97).otherwise((rest * 100 + code - 55) % 97)
 
-    return F.aggregate(F.split(moved, "(?!^)"), F.lit(0), add) == 1
+    return F.aggregate(F.split(moved, "(?!^|$)"), F.lit(0), add) == 1
 
 
 def octets(match: Column) -> Column:
