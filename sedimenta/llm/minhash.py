@@ -31,10 +31,12 @@ from .common import components, stored
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 SHINGLE = 5
 K = 256
-#: Runs of this many neighbouring values, of the first RUN_K of a sketch: two sets of similarity 0.8 share none once in 4e7 times.
-RUN, RUN_K = 3, 48
+#: Runs of this many neighbouring values, of the first RUN_K of a sketch: two sets of similarity 0.8 share none once in 2e6 times, of 0.85 once in 1e8.
+RUN, RUN_K = 3, 40
 #: Sketches of partners may overlap by this many standard deviations less than expected.
 SLACK = 5.0
+#: Ids that are broadcast at most.
+SMALL = 500_000
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -74,33 +76,53 @@ class Shingler:
         return np.unique(total >> np.uint64(1))  # fits a signed 64-bit integer
 
 
-def hashed(docs: DataFrame, id_col: str, text_col: str, width: int, full: bool) -> DataFrame:
-    """id, n (set size), and either sig (two longs that stand for the set) and sketch, or the full set."""
+def runs_of(values: np.ndarray) -> np.ndarray:
+    """A hash of each run of RUN neighbouring values among the first RUN_K, or of all values where there are fewer."""
+    first = values[:RUN_K]
+    n = min(RUN, len(first))
+    total = np.zeros(len(first) - n + 1, np.uint64) + np.uint64(n)
+    for k in range(n):
+        total = mixed(total * _MIX[0] + first[k : k + len(total)])
+    return total >> np.uint64(1)
+
+
+def lists_of(arrays: list[np.ndarray | None]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([0 if a is None else len(a) for a in arrays])]).astype(np.int32)
+    values = np.concatenate([*(a for a in arrays if a is not None), np.empty(0, np.uint64)]).astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([a is None for a in arrays]))
+
+
+def hashed(docs: DataFrame, id_col: str, text_col: str, width: int, *, sets: bool) -> DataFrame:
+    """id, n (set size), and either sig (two longs that stand for the set) and the runs' hashes, or the sketch and, where it has
+    not the whole set, the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingler.of(t) for t in part.column("text").to_pylist()]
-                rows = {"id": part.column("id"), "n": pa.array([len(s) for s in sets], pa.int64())}
-                kept = sets if full else [s[:K] for s in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
-                values = np.concatenate([*kept, np.empty(0, np.uint64)]).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-                if full:
-                    rows["set"] = lists
+                got = [shingler.of(t) for t in part.column("text").to_pylist()]
+                rows = {"id": part.column("id"), "n": pa.array([len(s) for s in got], pa.int64())}
+                if sets:
+                    rows["sketch"] = lists_of([s[:K] for s in got])
+                    rows["set"] = lists_of([s if len(s) > K else None for s in got])
                 else:
                     with np.errstate(over="ignore"):
-                        rows["s1"] = pa.array([int(np.bitwise_xor.reduce(mixed(s))) >> 1 if len(s) else 0 for s in sets], pa.int64())
-                        rows["s2"] = pa.array([int(mixed(s + _MIX[1]).sum(dtype=np.uint64)) >> 1 if len(s) else 0 for s in sets], pa.int64())
-                    rows["sketch"] = lists
+                        rows["s1"] = pa.array([int(np.bitwise_xor.reduce(mixed(s))) >> 1 if len(s) else 0 for s in got], pa.int64())
+                        rows["s2"] = pa.array([int(mixed(s + _MIX[1]).sum(dtype=np.uint64)) >> 1 if len(s) else 0 for s in got], pa.int64())
+                    rows["runs"] = lists_of([runs_of(s) if len(s) else s for s in got])
                 yield pa.RecordBatch.from_pydict(rows)
 
-    schema = "id long, n long, set array<long>" if full else "id long, n long, s1 long, s2 long, sketch array<long>"
+    schema = "id long, n long, sketch array<long>, set array<long>" if sets else "id long, n long, s1 long, s2 long, runs array<long>"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def chosen(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id is in ids. Up to SMALL ids are broadcast, so that texts stay where they are; beyond that both sides are shuffled."""
+    ids = ids.select(F.col("id").alias(id_col))
+    return docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, id_col, "left_semi")
+
+
 def linked(docs: DataFrame, *, similarity: str = "0.85", width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable), kept (id = component_id).
 
@@ -111,24 +133,20 @@ def linked(docs: DataFrame, *, similarity: str = "0.85", width: int = SHINGLE, i
     """
     t = Fraction(similarity)
     tf = float(t)
-    marks = stored(hashed(docs, id_col, text_col, width, full=False), "minhash-sketches")
+    marks = stored(hashed(docs, id_col, text_col, width, sets=False), "minhash-marks")
     some = marks.where("n > 0 and id is not null")
 
     # 1. classes of equal sets
     sig = ["s1", "s2", "n"]
     classes = some.groupBy(*sig).agg(F.min("id").alias("rep"))
     member = stored(some.select("id", *sig).join(classes, sig).select("id", "rep").distinct(), "minhash-members")
-    reps = some.join(member.where("id = rep").select("id"), "id").dropDuplicates(["id"])  # one row, should an id come up twice
 
-    # 2. classes that share a run of sketch values with another class
-    short = F.slice("sketch", 1, RUN_K)
-    runs = F.when(F.size("sketch") < RUN, F.array(F.xxhash64(F.col("sketch")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(short) - RUN), lambda i: F.xxhash64(*[F.get(F.col("sketch"), i + k) for k in range(RUN)]))
-    )
-    keys = reps.select("id", F.explode(runs).alias("key"))
-    common = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    maybe = keys.join(common, "key", "left_semi").select("id").distinct()
-    pool = stored(reps.join(maybe, "id").select("id", "n", "sketch"), "minhash-pool")
+    # 2. classes that share a run of sketch values with another class: lists of runs with more than one set
+    keys = some.select("id", "s1", F.explode("runs").alias("key"))
+    common = keys.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("key")
+    maybe = keys.select("id", "key").join(common, "key", "left_semi").select("id").distinct()
+    maybe = stored(member.join(maybe, "id").select(F.col("rep").alias("id")).distinct(), "minhash-maybe")
+    pool = stored(hashed(chosen(docs, id_col, maybe), id_col, text_col, width, sets=True).dropDuplicates(["id"]), "minhash-pool")
 
     # 3. values by rarity, and the inverted lists of the leading ones
     values = pool.select("id", F.explode("sketch").alias("v"))
@@ -145,7 +163,7 @@ def linked(docs: DataFrame, *, similarity: str = "0.85", width: int = SHINGLE, i
     lists = ranked.withColumn("at", single + F.row_number().over(by_rarity) - 1).where("at <= k - c").select("v", "id", "n", "k", "at")
     lists = stored(lists, "minhash-lists")
 
-    sets = stored(hashed(docs.join(pool.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col, width, full=True).dropDuplicates(["id"]), "minhash-sets")
+    sets = pool.select("id", F.coalesce("set", "sketch").alias("set"))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Of distinct pairs (a, b), those whose union sketch allows the similarity and whose full sets have it."""
