@@ -1,3 +1,82 @@
-"""Queries over the extraction table functions."""
+"""Queries over the extraction table functions: a source file per part and language, whose contents SQL knows as well."""
 
 from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from sedimenta.operators import extract as x
+from sedimenta.sources import adapters as a
+
+from .registry import query
+
+PYTHON = "import os\nfrom pkg{s} import helper_{s} as h\n\nclass Item{k}:\n    size: int = {s}\n\n    def price(self, q):\n        return h(q) * {s}\n\ndef make_{k}(q):\n    return Item{k}().price(q)\n"
+RUST = "use std::fmt;\nuse crate::shop::Item;\n\npub struct Part{k} {{\n    pub size: u32,\n    name: String,\n}}\n\nimpl Part{k} {{\n    pub fn price(&self) -> u32 {{\n        compute(self.size) // {s}\n    }}\n}}\n"
+TYPESCRIPT = 'import {{ load }} from "./m{s}";\n\nexport interface Part{k} {{\n  size: number;\n  label?: string;\n}}\n\nexport function price{k}(p: Part{k}) {{\n  return load(p.size) + {s};\n}}\n'
+GO = 'package main\n\nimport "example.com/m{s}"\n\ntype Part{k} struct {{\n\tSize int\n}}\n\nfunc (p Part{k}) Price() int {{\n\treturn m{s}.Compute(p.Size)\n}}\n'
+TEMPLATES = (("python", PYTHON), ("rust", RUST), ("typescript", TYPESCRIPT), ("go", GO))
+
+
+def sources(spark, d):
+    p = a.table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("k"), F.col("p_size").cast("string").alias("s"))
+    out = None
+    for n, (language, template) in enumerate(TEMPLATES):
+        parts = []
+        text = template.replace("{{", "\0").replace("}}", "\1")
+        for piece in re.split(r"(\{[ks]\})", text):
+            parts.append(F.col(piece[1]) if piece in ("{k}", "{s}") else F.lit(piece.replace("\0", "{").replace("\1", "}")))
+        rows = p.select((F.col("p_partkey") * 4 + n).alias("file_id"), F.lit(language).alias("language"), F.concat(*parts).alias("content"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_K, _S = "p_partkey", "p_size"
+
+
+@query(
+    f"""SELECT file_id, name, kind, line_start, line_end FROM (SELECT p_partkey * 4 + v.f AS file_id, v.n AS name, v.k AS kind, CAST(v.a AS INTEGER) AS line_start, CAST(v.b AS INTEGER) AS line_end FROM (SELECT p_partkey, unnest([
+  {{'f': 0, 'n': 'Item' || {_K}, 'k': 'class', 'a': 4, 'b': 8}}, {{'f': 0, 'n': 'price', 'k': 'method', 'a': 7, 'b': 8}}, {{'f': 0, 'n': 'make_' || {_K}, 'k': 'function', 'a': 10, 'b': 11}},
+  {{'f': 1, 'n': 'Part' || {_K}, 'k': 'struct', 'a': 4, 'b': 7}}, {{'f': 1, 'n': 'Part' || {_K}, 'k': 'impl', 'a': 9, 'b': 13}}, {{'f': 1, 'n': 'price', 'k': 'function', 'a': 10, 'b': 12}},
+  {{'f': 2, 'n': 'Part' || {_K}, 'k': 'interface', 'a': 3, 'b': 6}}, {{'f': 2, 'n': 'price' || {_K}, 'k': 'function', 'a': 8, 'b': 10}},
+  {{'f': 3, 'n': 'Part' || {_K}, 'k': 'struct', 'a': 5, 'b': 7}}, {{'f': 3, 'n': 'Price', 'k': 'method', 'a': 9, 'b': 11}}]) AS v FROM part))"""
+)
+def parse_symbols(spark, d):
+    return x.extract(sources(spark, d), "symbols").drop("signature")
+
+
+@query(
+    f"""SELECT p_partkey * 4 + v.f AS file_id, v.n AS name, 'call' AS kind, CAST(v.a AS INTEGER) AS line FROM (SELECT p_partkey, unnest([
+  {{'f': 0, 'n': 'h', 'a': 8}}, {{'f': 0, 'n': 'Item' || {_K}, 'a': 11}}, {{'f': 0, 'n': 'price', 'a': 11}}, {{'f': 1, 'n': 'compute', 'a': 11}}, {{'f': 2, 'n': 'load', 'a': 9}}, {{'f': 3, 'n': 'Compute', 'a': 10}}]) AS v FROM part)"""
+)
+def parse_references(spark, d):
+    return x.extract(sources(spark, d), "refs")
+
+
+@query(
+    f"""SELECT p_partkey * 4 + v.f AS file_id, v.m AS module, v.i AS item, v.r AS relative, CAST(v.a AS INTEGER) AS line FROM (SELECT p_partkey, unnest([
+  {{'f': 0, 'm': 'os', 'i': '*', 'r': false, 'a': 1}}, {{'f': 0, 'm': 'pkg' || {_S}, 'i': 'helper_' || {_S}, 'r': false, 'a': 2}}, {{'f': 1, 'm': 'crate::shop', 'i': 'Item', 'r': true, 'a': 2}},
+  {{'f': 2, 'm': './m' || {_S}, 'i': 'load', 'r': true, 'a': 1}}, {{'f': 3, 'm': 'example.com/m' || {_S}, 'i': '*', 'r': false, 'a': 3}}]) AS v FROM part)"""
+)
+def parse_imports(spark, d):
+    return x.extract(sources(spark, d), "imports")
+
+
+@query(
+    f"""SELECT p_partkey * 4 + v.f AS file_id, v.t AS type, v.n AS field FROM (SELECT p_partkey, unnest([
+  {{'f': 0, 't': 'Item' || {_K}, 'n': 'size'}}, {{'f': 1, 't': 'Part' || {_K}, 'n': 'size'}}, {{'f': 1, 't': 'Part' || {_K}, 'n': 'name'}}, {{'f': 2, 't': 'Part' || {_K}, 'n': 'size'}},
+  {{'f': 2, 't': 'Part' || {_K}, 'n': 'label'}}, {{'f': 3, 't': 'Part' || {_K}, 'n': 'Size'}}]) AS v FROM part)"""
+)
+def type_fields(spark, d):
+    return x.extract(sources(spark, d), "fields")
+
+
+@query()
+def smart_chunks(spark, d):
+    f = a.files(spark, d).select(F.col("id").alias("file_id"), "language", "content")
+    return x.extract(f, "chunks").select("file_id", "line_start", "line_end", F.sha2("content", 256).alias("hash"))
+
+
+@query()
+def skeleton(spark, d):
+    return x.extract(sources(spark, d), "skeleton")

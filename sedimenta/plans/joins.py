@@ -200,7 +200,7 @@ def route_match(spark, d):
     return links.match_routes(p.select(F.regexp_replace("path", "/[0-9]+$", "/:id").alias("path")), p)
 
 
-_FIELDS = """fp AS (SELECT page_id, page_id % 2 AS side, list_distinct(list_filter(string_split(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), ' '), lambda x: x <> '')) AS fields FROM pages)"""
+_FIELDS = """fp AS (SELECT page_id, list_distinct(list_filter(string_split(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), ' '), lambda x: x <> '')) AS fields FROM pages)"""
 
 
 @query(f"WITH {_FIELDS} SELECT page_id, array_to_string(list_sort(fields), ' ') AS fields, CAST(len(fields) AS INTEGER) AS field_count FROM fp WHERE len(fields) >= 3")
@@ -213,12 +213,13 @@ def _fingerprints(spark, d):
     return a.table(spark, d, "pages").select("page_id", F.array_distinct(F.filter(F.split(title, " "), lambda x: x != "")).alias("fields"))
 
 
-@query(f"""WITH {_FIELDS}, l AS (SELECT * FROM fp WHERE side = 0), r AS (SELECT * FROM fp WHERE side = 1)
-SELECT l.page_id AS a, r.page_id AS b, CAST(len(list_intersect(l.fields, r.fields)) AS INTEGER) AS shared, round(len(list_intersect(l.fields, r.fields)) / (len(l.fields) + len(r.fields) - len(list_intersect(l.fields, r.fields))), 6) AS jaccard
-FROM l, r WHERE len(l.fields) > 0 AND len(r.fields) > 0 AND len(list_intersect(l.fields, r.fields)) / (len(l.fields) + len(r.fields) - len(list_intersect(l.fields, r.fields))) >= 0.75""")
+@query(f"""WITH {a.TOKENS}, t AS (SELECT DISTINCT file_id, term FROM tokens), n AS (SELECT file_id, count(*) AS n, any_value(domain) AS domain FROM t JOIN files f ON f.id = t.file_id GROUP BY file_id),
+l AS (SELECT t.* FROM t JOIN n ON n.file_id = t.file_id WHERE domain = 'backend'), r AS (SELECT t.* FROM t JOIN n ON n.file_id = t.file_id WHERE domain = 'frontend'),
+p AS (SELECT l.file_id AS a, r.file_id AS b, count(*) AS i FROM l JOIN r ON l.term = r.term GROUP BY ALL)
+SELECT a, b, CAST(i AS INTEGER) AS shared, round(i / (x.n + y.n - i), 6) AS jaccard FROM p JOIN n x ON x.file_id = a JOIN n y ON y.file_id = b WHERE i / (x.n + y.n - i) >= 0.75""")
 def jaccard_links(spark, d):
-    f = _fingerprints(spark, d)
-    out = links.jaccard_links(f.where("page_id % 2 = 0"), f.where("page_id % 2 = 1"), 0.75, id_col="page_id")
+    f = a.files(spark, d).select(F.col("id").alias("file_id"), "domain", F.array_distinct(a.terms(F.col("content"))).alias("fields"))
+    out = links.jaccard_links(f.where("domain = 'backend'"), f.where("domain = 'frontend'"), 0.75)
     return out.select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 

@@ -10,16 +10,16 @@ from sedimenta.streaming import windows as w
 
 from .registry import query
 
-_OLD = "old AS (SELECT doc_id AS id, lang, n_chars AS size, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS note FROM documents WHERE doc_id % 5 <> 0)"
-_NEW = "new AS (SELECT doc_id AS id, upper(lang) AS lang, n_chars + 1 AS size, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'n' || source END AS note FROM documents WHERE doc_id % 2 = 0)"
+_OLD = "old AS (SELECT doc_id AS id, lang, n_chars AS size, CASE WHEN lang <> 'fr' THEN source END AS note FROM documents WHERE lang <> 'es')"
+_NEW = "new AS (SELECT doc_id AS id, upper(lang) AS lang, n_chars + 1 AS size, CASE WHEN lang <> 'de' THEN 'n' || source END AS note FROM documents WHERE lang <> 'en')"
 
 
 def _versions(spark, d):
-    """An index before and after a change: the rows differ by id, so that all four cases occur."""
+    """An index before and after a change: English files only before, Spanish ones only after, the others in both."""
     t = a.table(spark, d, "documents")
     k = F.col("doc_id")
-    old = t.where(k % 5 != 0).select(k.alias("id"), "lang", F.col("n_chars").alias("size"), F.when(k % 3 != 0, F.col("source")).alias("note"))
-    new = t.where(k % 2 == 0).select(k.alias("id"), F.upper("lang").alias("lang"), (F.col("n_chars") + 1).alias("size"), F.when(k % 4 != 0, F.concat(F.lit("n"), "source")).alias("note"))
+    old = t.where("lang <> 'es'").select(k.alias("id"), "lang", F.col("n_chars").alias("size"), F.when(F.col("lang") != "fr", F.col("source")).alias("note"))
+    new = t.where("lang <> 'en'").select(k.alias("id"), F.upper("lang").alias("lang"), (F.col("n_chars") + 1).alias("size"), F.when(F.col("lang") != "de", F.concat(F.lit("n"), "source")).alias("note"))
     return old, new
 
 
@@ -36,10 +36,10 @@ def coalesce_upsert(spark, d):
     return m.merge(old, new, ["id"], {"note": F.coalesce("new.note", "old.note"), "size": F.greatest("old.size", "new.size")})
 
 
-@query(f"WITH {_OLD}, {_NEW} SELECT * FROM old WHERE lang NOT IN (SELECT lower(lang) FROM new WHERE note IS NULL AND lang = 'FR') UNION ALL SELECT id, lower(lang), size, note FROM new WHERE note IS NULL AND lang = 'FR'")
+@query(f"WITH {_OLD}, {_NEW} SELECT * FROM old WHERE lang NOT IN (SELECT lower(lang) FROM new WHERE note IS NULL) UNION ALL SELECT id, lower(lang), size, note FROM new WHERE note IS NULL")
 def replace_by_key(spark, d):
     old, new = _versions(spark, d)
-    return m.replace_by_key(old, new.where("note is null and lang = 'FR'").withColumn("lang", F.lower("lang")), ["lang"])
+    return m.replace_by_key(old, new.where("note is null").withColumn("lang", F.lower("lang")), ["lang"])
 
 
 @query(f"WITH {_OLD}, {_NEW} SELECT id FROM old WHERE id NOT IN (SELECT id FROM new)")

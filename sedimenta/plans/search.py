@@ -162,12 +162,12 @@ def smart_file_selection(spark, d):
     return out.orderBy(F.desc(F.round("final", 9)), "id").limit(20).select("id", F.round("final", 6).alias("score"), why.alias("reason"))
 
 
-@query(f"WITH {a.FILES} SELECT id, round({_PATH}, 6) AS score FROM files")
+@query(f"WITH {a.FILES} SELECT id, round(CAST({_PATH} AS DOUBLE), 6) AS score FROM files")
 def path_score(spark, d):
-    return _signals(a.files(spark, d)).select("id", F.round("path_s", 6).alias("score"))
+    return _signals(a.files(spark, d)).select("id", F.round(F.col("path_s").cast("double"), 6).alias("score"))
 
 
-@query(f"WITH {a.FILES} SELECT id, {_AGE} AS age_days, round({_REC}, 6) AS boost, round({_SIZE}, 6) AS penalty FROM files")
+@query(f"WITH {a.FILES} SELECT id, {_AGE} AS age_days, round(CAST({_REC} AS DOUBLE), 6) AS boost, round(CAST({_SIZE} AS DOUBLE), 6) AS penalty FROM files")
 def recency_and_size(spark, d):
     f = _signals(a.files(spark, d))
     return f.select("id", F.floor((F.lit(a.NOW) - F.col("last_modified")) / 86400).alias("age_days"), F.round(F.col("recency").cast("double"), 6).alias("boost"), F.round(F.col("size_p").cast("double"), 6).alias("penalty"))
@@ -186,11 +186,11 @@ def symbol_score(spark, d):
 
 
 @query("""SELECT p_partkey,
-  CASE WHEN regexp_matches(lower(p_name), 'where|defined|find') THEN 0.5 WHEN regexp_matches(lower(p_name), 'how|explain|what') THEN 0.15 WHEN regexp_matches(lower(p_name), '/|\\.rs|\\.ts|\\.js') THEN 0.2 ELSE 0.25 END AS symbols,
-  CASE WHEN regexp_matches(lower(p_name), 'where|defined|find') THEN 0.25 WHEN regexp_matches(lower(p_name), 'how|explain|what') THEN 0.35 WHEN regexp_matches(lower(p_name), '/|\\.rs|\\.ts|\\.js') THEN 0.3 ELSE 0.4 END AS vector FROM part""")
+  CASE WHEN regexp_matches(lower(p_name), 'where|defined|find') THEN 0.5 WHEN regexp_matches(lower(p_name), 'how|explain|what') THEN 0.15 WHEN regexp_matches(lower(p_name), '/|\\.rs|\\.ts|\\.js') THEN 0.2 ELSE 0.25 END::DOUBLE AS symbols,
+  CASE WHEN regexp_matches(lower(p_name), 'where|defined|find') THEN 0.25 WHEN regexp_matches(lower(p_name), 'how|explain|what') THEN 0.35 WHEN regexp_matches(lower(p_name), '/|\\.rs|\\.ts|\\.js') THEN 0.3 ELSE 0.4 END::DOUBLE AS vector FROM part""")
 def adaptive_weights(spark, d):
     w = s.adaptive_weights(F.col("p_name"))
-    return a.table(spark, d, "part").select("p_partkey", w["symbols"].alias("symbols"), w["vector"].alias("vector"))
+    return a.table(spark, d, "part").select("p_partkey", w["symbols"].cast("double").alias("symbols"), w["vector"].cast("double").alias("vector"))
 
 
 @query("SELECT DISTINCT p_name, levenshtein(p_name, 'small ring') AS distance FROM part WHERE levenshtein(p_name, 'small ring') <= 6")
