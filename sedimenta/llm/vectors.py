@@ -88,27 +88,32 @@ def linked(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec_id",
                 at = [k for k, u in enumerate(units) if u is not None and len(u) == dims]
                 for k, h in zip(at, codes(np.stack([units[k] for k in at]))):
                     got[k] = h.tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "rep", "m", "label", "v")), pa.array(got, pa.list_(pa.int64()))], ["cls", "rep", "m", "label", "v", "h"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "rep", "m", "label")), pa.array(units, pa.list_(pa.float64())), pa.array(got, pa.list_(pa.int64()))], ["cls", "rep", "m", "label", "u", "h"])
 
-    hashed = stored(classes.select("cls", "rep", "m", "label", "v").mapInArrow(hash_all, "cls long, rep long, m long, label string, v array<double>, h array<long>"), "vectors-hashed")
-    entries = hashed.select("cls", F.xxhash64("label", F.size("v")).alias("l"), F.posexplode("h").alias("t", "slot")).withColumn("bucket", F.xxhash64("l", "t", "slot")).select("cls", "t", "bucket")
+    hashed = stored(classes.select("cls", "rep", "m", "label", "v").mapInArrow(hash_all, "cls long, rep long, m long, label string, u array<double>, h array<long>"), "vectors-hashed")
+    entries = hashed.select("cls", F.xxhash64("label", F.size("u")).alias("l"), F.posexplode("h").alias("t", "slot")).withColumn("bucket", F.xxhash64("l", "t", "slot")).select("cls", "t", "bucket")
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     # a bucket's members are dealt to blocks by hash; each pair of blocks is one task, and a block meets itself once
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     dealt = entries.join(buckets, "bucket").withColumn("n", blocks).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("bucket", "t", "cls", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    dealt = dealt.join(hashed.select("cls", "rep", "m", "label", "v", "h"), "cls")
+    dealt = dealt.join(hashed.select("cls", "rep", "m", "label", "u", "h"), "cls")
+    dealt = dealt.repartition(F.col("bucket"), F.col("x"), F.col("y")).sortWithinPartitions("bucket", "x", "y")
 
     out_schema = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(table: pa.Table) -> pa.Table:
-        units = usable(table.column("v").to_pylist())
-        u, h = np.stack(units), np.array(table.column("h").to_pylist(), np.int64)
-        cls, rep, m = (table.column(c).to_numpy() for c in ("cls", "rep", "m"))
+    def compare(table: pa.Table) -> list[tuple]:
+        """Rows for one pair of blocks: links by class, and links that join components within it."""
+        dims = len(table.column("u")[0])
+        if any(len(x) != dims for x in table.column("u")):  # two buckets with one hash: by length, then
+            sizes = [len(x) for x in table.column("u")]
+            return [r for d in sorted(set(sizes)) for r in compare(table.filter(pa.array([n == d for n in sizes])))]
+        u = table.column("u").combine_chunks().flatten().to_numpy().reshape(-1, dims)
+        h = table.column("h").combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
+        cls, rep, m, mine = (table.column(c).to_numpy() for c in ("cls", "rep", "m", "mine"))
         labels = np.array(table.column("label").to_pylist(), object)
-        t = table.column("t")[0].as_py()
-        x, y, mine = table.column("x")[0].as_py(), table.column("y")[0].as_py(), table.column("mine").to_numpy()
+        t, x, y = (table.column(c)[0].as_py() for c in ("t", "x", "y"))
         left = np.flatnonzero(mine == x)
         right = left if x == y else np.flatnonzero(mine == y)
         links = np.zeros(len(cls), np.int64)
@@ -139,11 +144,29 @@ def linked(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec_id",
                 if p2 != q2:
                     parent[max(p2, q2)] = min(p2, q2)
                     joined.append((p, q))
-        some = np.flatnonzero(links)
-        rows = [(int(cls[k]), int(links[k]), None, None) for k in some] + [(None, None, int(rep[p]), int(rep[q])) for p, q in joined]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, out_schema)], schema=out_schema)
+        return [(int(cls[k]), int(links[k]), None, None) for k in np.flatnonzero(links)] + [(None, None, int(rep[p]), int(rep[q])) for p, q in joined]
 
-    found = stored(dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "cls long, links long, a long, b long"), "vectors-found")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of blocks stand one after the other; one may go on in the next batch."""
+        rest: pa.Table | None = None
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, out_schema)], schema=out_schema)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "x", "y")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()] if table.num_rows else [0]
+            rows = []
+            for start, end in zip(cuts, cuts[1:]):
+                rows += compare(table.slice(start, end - start))
+            rest = table.slice(cuts[-1])
+            yield told(rows)
+        if rest is not None and rest.num_rows:
+            yield told(compare(rest))
+
+    found = stored(dealt.mapInArrow(run, "cls long, links long, a long, b long"), "vectors-found")
     links = found.where("cls is not null").groupBy("cls").agg(F.sum("links").alias("links"))
     parts = components(found.where("a is not null").select("a", "b"), "vectors").select(F.col("id").alias("rep"), "component")
     told = classes.select("cls", "key", "rep", "m").join(links, "cls", "left").join(parts, "rep", "left")
