@@ -177,3 +177,25 @@ def ivf_topk(vectors: DataFrame, query: list[float], k: int, *, lists: int = 16,
     centroids = [c.tolist() for c in KMeans(k=lists, seed=1, maxIter=10).fit(sample).clusterCenters()]
     near = sorted(range(len(centroids)), key=lambda i: sum((a - b) ** 2 for a, b in zip(centroids[i], query)))[:probes]
     return vector_topk(ivf_assign(vectors, centroids, vector_col=vector_col).where(F.col("centroid").isin(near)), query, k, id_col=id_col, vector_col=vector_col)
+
+
+def weigh(word: Column, n: Column):
+    """What a directory, at place k of n, adds for a word that it contains."""
+    return lambda d, k: F.when(F.contains(d, word), F.lit(0.15) * F.when(d.isin("src", "core", "api", "lib"), 1.2).otherwise(1.0) / (n - k)).otherwise(F.lit(0.0))
+
+
+def stem_path_score(words: list[str], path: Column) -> Column:
+    """Per word: 0.5 where it equals the file's stem; 0.3 by likeness where the stem contains it; else, for each directory
+    that contains it, 0.15 (a fifth more for important ones) over its distance from the file; and 0.2 for a stem at most two edits away. 1 at most."""
+    parts = F.split(F.lower(path), "/")
+    name = F.element_at(parts, -1)
+    stem_ = F.regexp_replace(name, r"\.[^.]*$", "")
+    dirs = F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda d: d != "")
+    n = F.size(dirs)
+    total = F.lit(0.0)
+    for w in words:
+        lit = F.lit(w)
+        by_dir = F.aggregate(F.transform(dirs, weigh(lit, n)), F.lit(0.0), lambda a, b: a + b)
+        near = F.when(F.levenshtein(stem_, lit).between(0, 2), 0.2).otherwise(0.0)
+        total = total + F.when(stem_ == lit, 0.5).when(F.contains(stem_, lit), F.lit(0.3) * similarity_ratio(lit, stem_)).otherwise(by_dir + near)
+    return F.least(total, F.lit(1.0))

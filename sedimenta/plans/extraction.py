@@ -7,6 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from sedimenta.operators import extract as x
+from sedimenta.operators import routes as r
+from sedimenta.operators import search as s
 from sedimenta.sources import adapters as a
 
 from .registry import query
@@ -80,3 +82,71 @@ def smart_chunks(spark, d):
 @query()
 def skeleton(spark, d):
     return x.extract(sources(spark, d), "skeleton")
+
+
+ROUTES = (
+    ("axum", '    .route("/r{k}", get(show_{k}))'),
+    ("express", "router.post('/e{k}/:id', save_{k});"),
+    ("fastapi", '@app.delete("/f{k}")'),
+    ("flask", '@app.route("/l{k}", methods=["GET", "POST"])'),
+    ("nest", "@Controller('n{k}')\n@Get('items')"),
+    ("axios", "const a = await axios.put(`/r{k}/${x}`, body)"),
+    ("fetch", "fetch('/l{k}', {method: 'POST'})"),
+)
+
+
+def route_lines(spark, d):
+    """One file per part whose lines declare a route in each framework and make two calls."""
+    p = a.table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("k"))
+    text = "\n".join(t for _, t in ROUTES)
+    content = F.replace(F.lit(text), F.lit("{k}"), F.col("k"))
+    return a.lines(p.select(F.col("p_partkey").alias("id"), content.alias("content")))
+
+
+@query("""SELECT p_partkey AS file_id, CAST(v.a AS INTEGER) AS line, v.f AS framework, v.m AS method, v.p AS path, v.h AS handler FROM (SELECT p_partkey, unnest([
+  {'a': 1, 'f': 'axum', 'm': 'GET', 'p': '/r' || p_partkey, 'h': 'show_' || p_partkey}, {'a': 2, 'f': 'express', 'm': 'POST', 'p': '/e' || p_partkey || '/:id', 'h': 'save_' || p_partkey},
+  {'a': 3, 'f': 'fastapi', 'm': 'DELETE', 'p': '/f' || p_partkey, 'h': NULL}, {'a': 4, 'f': 'flask', 'm': 'GET', 'p': '/l' || p_partkey, 'h': NULL}, {'a': 4, 'f': 'flask', 'm': 'POST', 'p': '/l' || p_partkey, 'h': NULL},
+  {'a': 6, 'f': 'nest', 'm': 'GET', 'p': '/n' || p_partkey || '/items', 'h': NULL}]) AS v FROM part)""")
+def backend_routes(spark, d):
+    return r.backend_routes(route_lines(spark, d))
+
+
+@query("""SELECT p_partkey AS file_id, CAST(v.a AS INTEGER) AS line, v.c AS client, v.m AS method, v.p AS path, v.q AS pattern FROM (SELECT p_partkey, unnest([
+  {'a': 7, 'c': 'axios', 'm': 'PUT', 'p': '/r' || p_partkey || '/${x}', 'q': '/r' || p_partkey || '/:param'}, {'a': 8, 'c': 'fetch', 'm': 'POST', 'p': '/l' || p_partkey, 'q': '/l' || p_partkey}]) AS v FROM part)""")
+def client_calls(spark, d):
+    return r.frontend_calls(route_lines(spark, d))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS file_id, l_linenumber AS first, CAST(l_linenumber + l_quantity AS INTEGER) AS last FROM lineitem),
+m AS (SELECT *, max(last) OVER (PARTITION BY file_id ORDER BY first, last DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s) SELECT file_id, first, last FROM m WHERE reach IS NULL OR last > reach""")
+def merge_ranges(spark, d):
+    s = a.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("first"), (F.col("l_linenumber") + F.col("l_quantity")).cast("int").alias("last"))
+    return r.merge_ranges(s)
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p, '^src/[^/]+/') THEN regexp_extract(p, '^src/([^/]+)/', 1) WHEN regexp_matches(p, '^docs/|\\.md$') THEN 'docs' WHEN regexp_matches(p, '(^|/)tests?/') THEN 'tests' WHEN contains(p, 'api') THEN 'api' END AS scope
+FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'src/' || p_type || '/x.rs' WHEN 1 THEN 'docs/' || p_partkey WHEN 2 THEN 'a/tests/b.py' ELSE 'x/api' || p_partkey END AS p FROM part)""")
+def change_scope(spark, d):
+    k = F.col("p_size") % 4
+    p = F.when(k == 0, F.concat(F.lit("src/"), "p_type", F.lit("/x.rs"))).when(k == 1, F.concat(F.lit("docs/"), F.col("p_partkey").cast("string"))).when(k == 2, "a/tests/b.py").otherwise(F.concat(F.lit("x/api"), F.col("p_partkey").cast("string")))
+    return a.table(spark, d, "part").select("p_partkey", r.scope(p).alias("scope"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, list(DISTINCT l_shipdate::DATE::VARCHAR ORDER BY l_shipdate::DATE::VARCHAR) AS points, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_orderkey, 'feat(core): ' || n || ' lines' || chr(10) || chr(10) || array_to_string(list_transform(points[1:5], lambda p: '- ' || p), chr(10)) AS message FROM b""")
+def commit_messages(spark, d):
+    b = a.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.date_format("l_shipdate", "yyyy-MM-dd"))).alias("points"), F.count("*").alias("n"))
+    return b.select("l_orderkey", r.commit_message(F.lit("feat"), F.lit("core"), F.concat(F.col("n").cast("string"), F.lit(" lines")), F.col("points")).alias("message"))
+
+
+@query("""SELECT p_partkey, ['size', 'q' || p_size] AS props, ['save'] AS emits, ['default', 's' || p_partkey] AS slots FROM part""")
+def component_meta(spark, d):
+    k, s = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit("<script setup>defineProps<{ size: number; q"), s, F.lit("?: string }>()\ndefineEmits(['save'])</script><template><slot/><slot name=\"s"), k, F.lit("\"/></template>"))
+    x = r.vue_meta(text)
+    return a.table(spark, d, "part").select("p_partkey", x["props"].alias("props"), x["emits"].alias("emits"), x["slots"].alias("slots"))
+
+
+@query()
+def stem_path_score(spark, d):
+    return a.files(spark, d).select("id", F.round(s.stem_path_score(["src1", "corpus", "12"], F.col("path")), 6).alias("score"))

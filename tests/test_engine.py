@@ -196,6 +196,23 @@ def test_reports(spark):
     assert {r.name for r in reports.go_mod(m("go.mod", "module x.com/y\nrequire (\n\tgithub.com/a/b v1.2.3\n)\nrequire c.io/d v0.1.0\n")).collect()} == {"github.com/a/b", "c.io/d"}
 
 
+def test_routes_and_imports(spark):
+    from sedimenta.operators import routes
+
+    lines = [(1, 1, '    .route("/a", get(x::y))'), (1, 2, '@app.route("/b", methods=["PUT"])'), (1, 3, "@Get()"), (2, 1, "@Controller('c')"), (2, 2, "@Post('d')"), (2, 3, "fetch(`/e/${id}`)")]
+    df = spark.createDataFrame(lines, "file_id long, line int, text string")
+    got = {(r.framework, r.method, r.path) for r in routes.backend_routes(df).collect()}
+    assert got == {("axum", "GET", "/a"), ("flask", "PUT", "/b"), ("nest", "GET", "/"), ("nest", "POST", "/c/d")}
+    assert [(r.client, r.method, r.pattern) for r in routes.frontend_calls(df).collect()] == [("fetch", "GET", "/e/:param")]
+    files = spark.createDataFrame([(1, "/s/a.ts"), (2, "/s/b/index.ts"), (3, "/c.ts")], "id long, path string")
+    imports = spark.createDataFrame([(9, "/s/x.ts", "./a"), (9, "/s/x.ts", "./b"), (9, "/s/x.ts", "../c"), (9, "/s/x.ts", "react"), (9, "/s/x.ts", "./none")], "file_id long, path string, module string")
+    assert {(r.module, r.target) for r in routes.resolve_imports(imports, files).collect()} == {("./a", 1), ("./b", 2), ("../c", 3)}
+    one = spark.createDataFrame([("//! Top\n//! # no\n//! more\nfn f() {}", "rust")], "c string, l string").select(routes.docstring(F.col("c"), F.col("l")).alias("d"), routes.domain_by_imports(F.lit("use axum;")).alias("s"))
+    assert tuple(one.first()) == ("Top more", "backend")
+    table = spark.createDataFrame([(1, "{path: '/a', component: () => import('./A.vue')}")], "file_id long, text string").withColumn("line", F.lit(1))
+    assert tuple(routes.router_map(table).first()) == (1, 1, "/a", "./A.vue")
+
+
 def test_languages():
     py = extract.PACKS["python"].parse("import os\n\n@dec\ndef f(x):\n    return g(x)\n\nclass A:\n    n: int\n    async def m(self):\n        pass\n")
     assert [(s[0], s[1], s[2], s[3]) for s in py.symbols] == [("f", "function", 3, 5), ("A", "class", 7, 10), ("m", "method", 9, 10)]
