@@ -265,6 +265,7 @@ PII = [
     None, "", "mail a.b+c@x-y.example.co.uk, then a@b.co_x@y.zz and @no.no x@y", "a@b..c d@e.f. -@-.-", "1.2.3.4 300.1.1.1 1.2.3.4.5.6.7.8 0001.02.3.255 1.2.3",
     "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111 4111111111111111", "+1 (017) 555-7713 or +49 89 1234567. +1 2 ++1 (2) 3456-7890-12 +1234567890123456",
     "é中😀 a@b.cd 😀 1.1.1.1", "IBAN DE89 3704 0044 0532 0130 00 and DE89370400440532013001", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" but 04dbebab91ab85687d33eeaaf9ac699e1188f962', "ssn 123-45-6789", "9" * 300 + " " + "x" * 3000 + "@",
+    "9" * 20_000, "a@b" + ".c" * 3000, "1." * 3000, "+1" + " 2" * 3000, "x" * 5000 + "@", "+" * 5000, "AB12" + "CD34" * 2000, "- " * 5000,
 ]
 
 
