@@ -70,6 +70,7 @@ class Kind:
 
 
 THRESHOLD = 0.5
+BLOCK = 256
 WINDOW = 40  # code points looked at on the left of a match for context words
 
 KINDS = (
@@ -92,7 +93,7 @@ def spans_of(text: Column, kind: Kind) -> Column:
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
 
     def located(pieces: Column, matches: Column) -> Column:
-        state = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+        state = lambda at: F.struct(at.alias("at"), empty.alias("found"))
 
         def step(acc: Column, i: Column) -> Column:
             piece, match = F.get(pieces, i), F.get(matches, i)
@@ -109,7 +110,13 @@ def spans_of(text: Column, kind: Kind) -> Column:
             span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
             return F.struct(end.alias("at"), F.when(good & (score >= THRESHOLD), F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), state, step, lambda acc: acc["found"])
+        # matches are taken in blocks, so that a growing array is copied once a block
+        def block(acc: Column, b: Column) -> Column:
+            inside = F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, F.size(matches)) - 1)
+            return F.aggregate(inside, state(acc["at"]), step, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["found"], x["found"]).alias("found")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
+        return F.aggregate(blocks, state(F.lit(0)), block, lambda acc: acc["found"])
 
     found = bind(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, empty).otherwise(bind(F.split(text, kind.pattern, -1), lambda p: located(p, m))))
     worth = F.contains(text, F.lit(kind.needs)) if kind.needs else F.lit(True)
