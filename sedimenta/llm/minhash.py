@@ -192,9 +192,11 @@ def linked(docs: DataFrame, *, similarity: str = "0.85", width: int = SHINGLE, i
     # 5. what is left: members of one list in different components
     placed = lists.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     alone = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("v")
-    placed = stored(placed.join(alone, "v", "left_semi"), "minhash-left")
-    one = placed.select("v", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "k", "at", "component")])
-    two = placed.select("v", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "k", "at", "component")])
+    placed = placed.join(alone, "v", "left_semi")
+    lead = placed.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("lead"))  # at most K values
+    placed = stored(placed.join(lead, "id"), "minhash-left")
+    one = placed.select("v", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "k", "at", "component", "lead")])
+    two = placed.select("v", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "k", "at", "component", "lead")])
     # values before a shared one are shared by none, or by an earlier list: what can still be shared must be enough
     rest = F.least(F.col("k1") - F.col("at1"), F.col("k2") - F.col("at2"))
     enough = F.when(
@@ -202,8 +204,10 @@ def linked(docs: DataFrame, *, similarity: str = "0.85", width: int = SHINGLE, i
         rest * (t.numerator + t.denominator) >= (F.col("n1") + F.col("n2")) * t.numerator,
     ).otherwise(F.lit(True))
     ratio = F.greatest("n1", "n2") * t.numerator <= F.least("n1", "n2") * t.denominator
-    across = one.join(two, "v").where((F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2")) & ratio & enough)
-    more = confirmed(across.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct(), "minhash-across")
+    # a pair comes up in the first list that holds both, and in no other
+    once = F.get(F.array_intersect("lead1", "lead2"), F.lit(0)) == F.col("v")
+    across = one.join(two, "v").where((F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2")) & ratio & enough & once)
+    more = confirmed(across.select(F.col("id1").alias("a"), F.col("id2").alias("b")), "minhash-across")
 
     # 6. components of classes, then of documents
     known = components(links.unionByName(more), "minhash-last")
