@@ -77,12 +77,15 @@ class Shingler:
 
 
 def runs_of(values: np.ndarray) -> np.ndarray:
-    """A hash of each run of RUN neighbouring values among the first RUN_K, or of all values where there are fewer."""
+    """A hash of each run of RUN neighbouring values among the first RUN_K, or of all values where there are fewer; of up to
+    2 * RUN values each one as well, since so few may be split by a difference into shorter runs."""
     first = values[:RUN_K]
     n = min(RUN, len(first))
     total = np.zeros(len(first) - n + 1, np.uint64) + np.uint64(n)
     for k in range(n):
         total = mixed(total * _MIX[0] + first[k : k + len(total)])
+    if len(first) <= 2 * RUN:
+        total = np.concatenate([total, mixed(first + _MIX[2])])
     return total >> np.uint64(1)
 
 

@@ -39,6 +39,7 @@ def rows():
         w[(k * 4) % 120] = f"z{k}"
         texts.append(" ".join(w))
     texts += [" ".join(base[0].split()[:60] + [rng.choice(vocab) for _ in range(60)]) for _ in range(20)]
+    texts += ["p q r s t u v w", "p q r s t u v w x", "o p q r s t u v w", "p q r s t u"]
     texts += ["A" * 30 + " very long " + " ".join(rng.choice(vocab) for _ in range(20_000))]
     return [(k * 3 + 1, t, "en", [None, "a", "b", "é"][k % 4], len(t or ""), 7, 8, 9, 10) for k, t in enumerate(texts)]
 
