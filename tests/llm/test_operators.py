@@ -285,6 +285,13 @@ def test_pii(spark, rows, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_secrets_of_either_case(spark):
+    key = "9233a8ecf7" * 4
+    data = [(k, f'TOKEN = "{x}"') for k, x in enumerate((key, key.upper(), key[:20] + key[20:].upper()))]
+    got = pii.find(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert [[(s.kind, s.start, s.end) for s in r.pii] for r in sorted(got)] == [[("secret", 9, 49)]] * 3
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(6)
     vocab = [f"w{k}" for k in range(500)]
