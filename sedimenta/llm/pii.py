@@ -71,7 +71,7 @@ class Kind:
 
 THRESHOLD = 0.5
 BLOCK = 256
-WINDOW = 40  # code points looked at on the left of a match for context words
+WINDOW = 40  # code points of the text looked at on each side of a match for context words
 
 KINDS = (
     Kind("email", EMAIL, "@"),
@@ -88,10 +88,24 @@ BASE = ("email", "ip", "card", "phone")
 def spans_of(text: Column, kind: Kind) -> Column:
     """Spans (kind, start, end, score) of one kind: leftmost, not overlapping, in code points, end exclusive.
 
-    The pieces between matches and the matches have known lengths, which add up to the places.
+    The pieces between matches and the matches have known lengths, which add up to the places. Context words are looked
+    for on both sides, other matches included: the ends of at most WINDOW pieces and matches make up a side, so that
+    a text of very many matches costs no square of them.
     """
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
 
+    def joined(a: Column, b: Column, cut) -> Column:
+        """The strings of a and b in turn, each cut to what a window can need of it."""
+        return F.array_join(F.zip_with(a, b, lambda x, y: F.concat(cut(x, F.lit(WINDOW)), cut(y, F.lit(WINDOW)))), "")
+
+    def near(pieces: Column, matches: Column, i: Column) -> Column:
+        """Whether a context word stands in the window on the left or on the right of match i."""
+        first, n = F.greatest(i - WINDOW, F.lit(0)), F.greatest(F.least(F.size(matches) - 1 - i, F.lit(WINDOW)), F.lit(0))
+        left = F.concat(joined(F.slice(pieces, first + 1, i - first), F.slice(matches, first + 1, i - first), F.right), F.right(F.get(pieces, i), F.lit(WINDOW)))
+        right = F.concat(F.left(F.get(pieces, i + 1), F.lit(WINDOW)), joined(F.slice(matches, i + 2, n), F.slice(pieces, i + 3, n), F.left))
+        sides = F.array(F.lower(F.right(left, F.lit(WINDOW))), F.lower(F.left(right, F.lit(WINDOW))))
+        return F.exists(sides, lambda side: F.exists(F.array(*map(F.lit, kind.context)), lambda w: F.contains(side, w)))
+
     def located(pieces: Column, matches: Column) -> Column:
         state = lambda at: F.struct(at.alias("at"), empty.alias("found"))
 
@@ -100,15 +114,19 @@ def spans_of(text: Column, kind: Kind) -> Column:
             start = acc["at"] + F.length(piece)
             end = start + F.length(match)
             score = F.lit(kind.score)
-            if kind.context:
-                left = F.lower(F.right(piece, F.lit(WINDOW)))
-                score = score + F.when(F.exists(F.array(*map(F.lit, kind.context)), lambda w: F.contains(left, w)), F.lit(kind.near)).otherwise(F.lit(0.0))
             good = F.lit(True)
             if kind.check is not None:
                 good = F.coalesce(kind.check(match), F.lit(False))
                 score = score + kind.checked
-            span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
-            return F.struct(end.alias("at"), F.when(good & (score >= THRESHOLD), F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+            if kind.context:
+                score = score + F.when(near(pieces, matches, i), F.lit(kind.near)).otherwise(F.lit(0.0))
+
+            def spans(total: Column) -> Column:
+                span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), F.least(total, F.lit(1.0)).alias("score"))
+                return F.when(total >= THRESHOLD, F.array(span)).otherwise(empty)
+
+            # the windows are made for matches that pass their check only
+            return F.struct(end.alias("at"), F.when(good, F.concat(acc["found"], bind(score, spans))).otherwise(acc["found"]).alias("found"))
 
         # matches are taken in blocks, so that a growing array is copied once a block
         def block(acc: Column, b: Column) -> Column:

@@ -292,6 +292,16 @@ def test_secrets_of_either_case(spark):
     assert [[(s.kind, s.start, s.end) for s in r.pii] for r in sorted(got)] == [[("secret", 9, 49)]] * 3
 
 
+def test_context_on_both_sides(spark):
+    texts = ["SSN: 123-45-6789, 987-65-4321", "123-45-6789 (SSN)", "123-45-6789, 987-65-4321 (SSN)", "SSN" + " " * 38 + "123-45-6789", "123-45-6789" + " " * 38 + "SSN", "é😀 ssn: 123-45-6789", "no word 123-45-6789"]
+    texts += ["ssn 123-45-6789 " + "x" * 60 + " 987-65-4321", "123-45-6789, " * 100 + "SSN", "0123456789abcdef" * 2 + " is the API key"]
+    got = {r.doc_id: [(s.kind, s.start) for s in r.pii] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts[:9]):
+        window = lambda m: (t[max(0, m.start() - 40) : m.start()] + "|" + t[m.end() : m.end() + 40]).lower()
+        assert got[k] == [("ssn", m.start()) for m in re.finditer(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", t) if "ssn" in window(m)], t
+    assert [len(got[k]) for k in range(9)] == [2, 1, 2, 0, 0, 1, 0, 1, 3] and got[9] == [("secret", 0)]
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(6)
     vocab = [f"w{k}" for k in range(500)]
