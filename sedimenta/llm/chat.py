@@ -1,9 +1,9 @@
 """Chat formatting by quotation linking, in DataFrame operations only.
 
-Messages are read line by line; a line's quote level is the number of leading '>' marks. Runs of lines of one level above zero are
-quoted passages, runs of own lines between blank lines are own passages. Passages are normalised and hashed, and
-quoted ones are joined to the messages that hold the same own passage: the latest earlier message of the
-conversation, else the first message anywhere. Replies follow what they quote, and quotes are left out.
+Messages are read line by line; a line's quote level is the number of leading '>' marks. Runs of lines of one level between blank
+lines are passages: quoted ones above level zero, else own ones. Passages are normalised and hashed, and
+quoted ones are joined to the messages that hold the same own passage, or else the same lines in a row: the latest earlier message of the
+conversation, else the first message of another conversation. Replies follow what they quote, and quotes are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def normalised(passage: Column) -> Column:
 
 
 def passages(text: Column) -> Column:
-    """(level, body) in order: neighbouring lines of one level, own lines also cut at blank lines."""
+    """(level, body) in order: neighbouring lines of one level, cut at blank lines."""
     read = F.transform(
         F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n", -1),
         lambda line: F.struct(level_of(line).alias("level"), F.regexp_replace(line, MARKS + " ?", "").alias("body")),
@@ -40,7 +40,7 @@ def passages(text: Column) -> Column:
     def cut(lines: Column) -> Column:
         def starts_here(x: Column, i: Column) -> Column:
             before = F.get(lines, i - 1)
-            blank = (x["level"] == 0) & (F.btrim(x["body"], F.lit(SPACE_CHARS)) == "")
+            blank = F.btrim(x["body"], F.lit(SPACE_CHARS)) == ""
             return (i == 0) | F.coalesce(before["level"] != x["level"], F.lit(True)) | blank
 
         starts = F.filter(F.transform(lines, lambda x, i: F.when(starts_here(x, i), i)), lambda i: i.isNotNull())
@@ -59,41 +59,70 @@ def passages(text: Column) -> Column:
     return bind(read, cut)
 
 
+def line_hashes(passage: Column) -> Column:
+    """The hashes of a passage's lines, those without words left out."""
+    lines = F.transform(F.split(passage, "\n", -1), normalised)
+    return F.transform(F.filter(lines, lambda x: x != NOTHING), lambda x: F.xxhash64(x))
+
+
+def run_hash(lines: Column) -> Column:
+    """One hash of the hashes of lines in a row."""
+    return F.xxhash64(F.lit("lines"), lines)
+
+
 def threaded(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conv, turn, role, text without quotes, line, n_quotes, n_linked, quoted_conv, quoted_turn, thread, reply_order.
 
     quoted_*: the message that the first linked quotation comes from (null without one). thread: the turn at which the message's chain of
     quotations within the conversation begins, its own without one. reply_order: place in the conversation when threads
     stand by their first turn and messages of a thread by turn. line: "role: text". Nested levels are separate passages, so a
-    quotation within a quotation finds its own source. A null text is empty; empty passages link with nothing; messages with the same
+    quotation within a quotation finds its own source. A quotation of some lines of a passage, or of passages run together, is found by
+    its lines, so it must not be wrapped anew as whole passages may. A null text is empty; empty passages link with nothing; messages with the same
     conversation and turn are one source but separate rows; null conversations or turns link with nothing.
     """
     rows = messages.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), passages(F.col(text_col)).alias("ps")
     )
-    quoted = F.transform(F.filter("ps", lambda p: p["level"] > 0), lambda p: normalised(p["body"]))
+    quoted = F.filter(F.filter("ps", lambda p: p["level"] > 0), lambda p: normalised(p["body"]) != NOTHING)
+
+    def quote(p: Column) -> Column:
+        whole = F.xxhash64(normalised(p["body"]))
+        return bind(line_hashes(p["body"]), lambda ls: F.struct(whole.alias("whole"), run_hash(ls).alias("run"), F.get(ls, F.lit(0)).alias("first"), F.size(ls).alias("n")))
+
     own = F.filter("ps", lambda p: p["level"] == 0)
     kept = F.filter(own, lambda p: ~F.regexp_like(F.btrim(p["body"], F.lit(SPACE_CHARS)), F.lit(INTRO)) | (F.size(F.filter("ps", lambda q: q["level"] > 0)) == 0))
     rows = rows.select(
         "conv", "turn", "role",
         F.regexp_replace(F.btrim(F.array_join(F.transform(kept, lambda p: p["body"]), "\n"), F.lit(SPACE_CHARS)), "\n{3,}", "\n\n").alias("text"),
-        F.transform(F.filter(quoted, lambda q: q != NOTHING), lambda q: F.xxhash64(q)).alias("quotes"),
+        F.transform(quoted, quote).alias("quotes"),
         F.array_distinct(F.transform(F.filter(F.transform(own, lambda p: normalised(p["body"])), lambda q: q != NOTHING), lambda q: F.xxhash64(q))).alias("own"),
+        F.flatten(F.transform(own, lambda p: line_hashes(p["body"]))).alias("lines"),
     ).withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows, "chat-messages")
 
     known = rows.where("conv is not null and turn is not null")
-    asked = known.select("row", "conv", "turn", F.posexplode("quotes").alias("q", "h"))
+    quotes = known.select("row", "conv", "turn", F.posexplode("quotes").alias("q", "x")).select("row", "conv", "turn", "q", "x.*")
+    # places where a quotation's first line stands; the lines that follow are hashed there only
+    begun = quotes.select("first", "n").distinct()
+    places = known.select("row", F.posexplode("lines").alias("at", "first")).join(begun, "first").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("places"))
+    runs = F.array_distinct(F.transform("places", lambda x: run_hash(F.slice("lines", x["at"] + 1, x["n"]))))
     told = known.select("conv", "turn", F.explode("own").alias("h"))
+    told = told.unionByName(known.select("row", "conv", "turn", "lines").join(places, "row").select("conv", "turn", F.explode(runs).alias("h")))
+    ways = F.posexplode(F.array("whole", "run")).alias("way", "h")
+    asked = quotes.select("row", "conv", "turn", "q", ways)
     # only passages that someone quotes go on; the sources of a passage are summed up before they meet the quotations
     wanted = asked.select("h").distinct()
     sources = told.join(wanted, "h").groupBy("h", "conv").agg(F.sort_array(F.collect_set("turn")).alias("turns"))
-    anywhere = sources.groupBy("h").agg(F.min(F.struct("conv", F.col("turns")[0].alias("turn"))).alias("first"))
+    # the first two conversations, as one of them may be the asker's own
+    least = sources.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("conv"))).where("place <= 2")
+    anywhere = least.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("conv", F.col("turns")[0].alias("turn")))).alias("first"))
     near = asked.join(sources, ["h", "conv"], "left").join(anywhere, "h", "left")
     latest = F.array_max(F.filter("turns", lambda t: t < F.col("turn")))
-    elsewhere = F.when(F.col("first.conv") != F.col("conv"), F.col("first"))
+    elsewhere = F.get(F.filter("first", lambda x: x["conv"] != F.col("conv")), F.lit(0))
     found = near.withColumn("source", F.when(latest.isNotNull(), F.struct(F.col("conv").alias("conv"), latest.alias("turn"))).otherwise(elsewhere))
-    found = found.where("source is not null").groupBy("row").agg(F.min_by("source", "q").alias("source"), F.count("*").alias("n_linked"))
+    # of one quotation: the conversation itself goes before others, and the whole passage before its lines
+    found = found.where("source is not null").groupBy("row", "q").agg(F.min_by("source", F.struct(F.col("source.conv") != F.col("conv"), F.col("way"))).alias("source"))
+    found = found.groupBy("row").agg(F.min_by("source", "q").alias("source"), F.count("*").alias("n_linked"))
     linked = stored(rows.select("row", "conv", "turn").join(found, "row"), "chat-linked")
 
     # the beginning of each chain within a conversation: parents are followed by doubling

@@ -396,6 +396,26 @@ def test_chat(spark):
     assert chat.threaded(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_parts_of_passages(spark):
+    data = [
+        (1, 0, "user", "First line here\nsecond line here\nthird line here\n\nAnother paragraph."),
+        (1, 1, "assistant", "> First line here\n> second line here\n> third line here\n>\n> Another paragraph.\nBoth."),
+        (1, 2, "user", "> second line here\n> third line here\nTwo lines."),
+        (1, 3, "user", "> Third line here\n> Another paragraph.\nRun together."),
+        (1, 4, "user", "> first line here\n> third line here\nNot in a row."),
+        (2, 0, "user", "> Shared words.\nBefore I say it."),
+        (2, 1, "user", "Shared words."),
+        (3, 5, "user", "Shared words."),
+        (4, 0, "user", "Shared words."),
+    ]
+    got = {(r.conv_id, r.turn): r for r in chat.threaded(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
+    linked = {k: (r.n_quotes, r.n_linked, r.quoted_conv, r.quoted_turn, r.thread, r.text) for k, r in got.items() if r.n_quotes}
+    assert linked == {
+        (1, 1): (2, 2, 1, 0, 0, "Both."), (1, 2): (1, 1, 1, 0, 0, "Two lines."), (1, 3): (1, 1, 1, 0, 0, "Run together."),
+        (1, 4): (1, 0, None, None, 4, "Not in a row."), (2, 0): (1, 1, 3, 5, 0, "Before I say it."),
+    }
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
     from sedimenta.llm.queries import QUERIES
