@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
+PART = 5_000  # rows of a list that are searched at once
 
 
 def squared_l2(vector: Column, query: Column) -> Column:
@@ -168,15 +169,45 @@ def ivf_assign(vectors: DataFrame, centroids: list[list[float]], *, vector_col:
     return vectors.withColumn("centroid", (F.array_position(distances, F.array_min(distances)) - 1).cast("int"))
 
 
-def ivf_topk(vectors: DataFrame, query: list[float], k: int, *, lists: int = 16, probes: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Approximate top-k: k-means lists (fit on a bounded sample by hash), of which the nearest few are searched exactly."""
+def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int, *, lists: int = 16, probes: int = 12, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Approximate top-k for each query: query_id, id, distance. K-means lists (fit on a bounded sample by hash), of which the nearest few are searched exactly.
+
+    Lists are dealt out in parts of about PART rows, and each part hands on k rows a query, ties by id; no product of rows is made.
+    """
+    import numpy as np
+    import pyarrow as pa
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    sample = vectors.orderBy(F.xxhash64(id_col)).limit(20_000).select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
+    whole = vectors.where(F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull()))
+    sample = whole.orderBy(F.xxhash64(id_col), id_col).limit(20_000).select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
     centroids = [c.tolist() for c in KMeans(k=lists, seed=1, maxIter=10).fit(sample).clusterCenters()]
-    near = sorted(range(len(centroids)), key=lambda i: sum((a - b) ** 2 for a, b in zip(centroids[i], query)))[:probes]
-    return vector_topk(ivf_assign(vectors, centroids, vector_col=vector_col).where(F.col("centroid").isin(near)), query, k, id_col=id_col, vector_col=vector_col)
+    assigned = ivf_assign(vectors, centroids, vector_col=vector_col).where("centroid is not null")
+    parts = {r["centroid"]: -(-r["count"] // PART) for r in assigned.groupBy("centroid").count().collect()}
+    n_parts = F.get(F.array(*[F.lit(parts.get(c, 1)) for c in range(len(centroids))]), F.col("centroid"))
+    held = assigned.select("centroid", F.pmod(F.xxhash64(id_col), n_parts).cast("int").alias("part"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    distances = F.array(*[F.struct(squared_l2(F.col(vector_col), literal_vector(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centroids)])
+    near = F.filter(F.slice(F.array_sort(distances), 1, probes), lambda x: x["d"].isNotNull())
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.explode(near).alias("near")).select("id", "v", F.col("near.i").alias("centroid"))
+    asked = asked.select("centroid", F.explode(F.sequence(F.lit(0), (n_parts - 1).cast("int"))).alias("part"), "id", "v")
+
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if a.num_rows and b.num_rows:
+            matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            b = b.sort_by("id")
+            q, v, ids, asking = matrix(a), matrix(b), b["id"].to_numpy(), a["id"].to_numpy()
+            step = max(1, 4_000_000 // v.size)
+            for at in range(0, len(q), step):
+                d = ((q[at : at + step, None, :] - v[None]) ** 2).sum(axis=2)
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                for col, x in zip(out, (np.repeat(asking[at : at + step], best.shape[1]), ids[best].ravel(), np.take_along_axis(d, best, 1).ravel())):
+                    col.append(x)
+        return pa.table(dict(zip(("query_id", "id", "distance"), map(np.concatenate, out))))
+
+    found = asked.groupBy("centroid", "part").cogroup(held.groupBy("centroid", "part")).applyInArrow(nearest, "query_id long, id long, distance double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", F.col("id").alias(id_col), "distance")
 
 
 def weigh(word: Column, n: Column):

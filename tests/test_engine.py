@@ -68,6 +68,30 @@ def test_vector_order_and_limit(spark):
     assert spark.range(1).select(search.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("x")).first().x == 0
 
 
+def test_index_search_recall(spark):
+    """Every row with an id divisible by 100 is asked for; of its true ten nearest at least 0.9 are found."""
+    import numpy as np
+
+    from sedimenta.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    got = {}
+    for r in QUERIES["ivf_probe"](spark, sf).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.distance
+    asked = np.flatnonzero(ids % 100 == 0)
+    assert sorted(got) == ids[asked].tolist()
+    recalls = []
+    for i in asked:
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        mine = got[ids[i]]
+        assert len(mine) == 10 and all(abs(d[np.flatnonzero(ids == v)[0]] - y) < 1e-5 for v, y in mine.items())
+        recalls.append(len(set(ids[np.argsort(d, kind="stable")[:10]].tolist()) & set(mine)) / 10)
+    print("recall", np.mean(recalls), min(recalls))
+    assert np.mean(recalls) >= 0.9
+
+
 def test_phrase_and_fusion(spark):
     t = spark.createDataFrame([(1, 1, 1, "a"), (1, 1, 2, "b"), (1, 1, 3, "a"), (2, 1, 1, "b"), (2, 1, 2, "a"), (3, 1, 1, "a"), (3, 2, 2, "b")], "file_id long, line int, pos int, term string")
     assert [tuple(r) for r in search.phrase_hits(t, ["a", "b"]).collect()] == [(1, 1, 1)]
