@@ -1,27 +1,32 @@
-"""Language-model scores: hashed-context bit predictors mixed logistically, under adaptive word statistics.
-
-The text scored is its sequence of lower-cased words and one end token. A word's probability has three layers:
-
-1. Spelling: the bits of its bytes are predicted from the last 1, 2, 3, 4 and 6 bytes in the word, hashed to tables of counts. The
-   predictors are combined in the logistic domain by weights that a gate picks (the longest context with evidence and whether
-   the bit is among the first of its byte), learned online, and the result is refined by an adaptive map of probabilities.
-2. Words: training counts of the word in each of CLASSES classes of documents (by the hash of the most frequent word, which tells
-   languages apart), drawn as far as the class's new words ask for towards a mixture of the counts in all and the spelling.
-3. The document: words come from its own past or from layer 2; the shares of both, and the class, are weighed anew after each
-   token by how well each predicted the text so far (an exact Bayesian mixture, so only earlier tokens count).
+"""Language-model scores: hashed-context bit predictors mixed logistically by gated weights, over the bytes of whole texts.
+
+The text scored is its lower-cased words, each closed by a space, and one end byte. Every byte is a few binary decisions down a
+Huffman code that the two bytes before it in the word choose. Each decision is predicted from six contexts, hashed to tables of
+counts: the last 2, 3, 4 and 6 bytes of the word, the whole word so far, and the word so far behind the last short word of the
+text (which crosses words, and tells languages and phrases apart).
+
+1. The five contexts inside the word are combined in the logistic domain by weights that a gate picks (how much evidence the longest
+   contexts have); the result is refined by an adaptive map of probabilities. All texts of a block share this work word by word.
+2. At every occurrence the sixth context is mixed in, by weights gated by its evidence. These are learned online within the text: they
+   change after chunks of tokens whose lengths grow from CHUNK by a fixed ratio, so only earlier tokens count.
+3. The word's probability is the product over its decisions, mixed with the share of the word in all training texts (exact counts
+   of the whole corpus) and in the text's own past; the shares of the three are weighed by how well each choice did so far (an
+   exact Bayesian mixture).
+
+Weights and map are learned online from all training texts: each is predicted from what the task has counted before, then counted.
+Tasks' counts are added up, their weights averaged by evidence. Tables of contexts are sized by the corpus up to MOST_BITS.
 """
 
 from __future__ import annotations
 
 import math
-import re
-import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,360 +34,670 @@ from pyspark.sql import functions as F
 
 from .common import fold, stored
 
-WORDS = re.compile("[^\x20\x09-\x0d]+")
-END = " "  # the end token: no word holds a space
-CLASSES = 8
-ORDERS = (1, 2, 3, 4, 6)
-SLOTS = 1 << 18  # of each order's table
-#: Words that teach the mixing weights: the first by hash, so that the fit has one size for any corpus.
-SAMPLE = 20_000
-BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 4000  # texts that share a vocabulary while scored; memory is bounded by this and the longest text
-CACHE = (0.02, 0.2)  # shares of the document's own past
-_LOWER = {c: c + 32 for c in range(65, 91)}
-RATE, PASSES = 0.05, 3  # of learning the weights
-PIECES = 64  # rows in which a partition hands on its counts
-
-
-def tokens_of(text: str | None) -> list[str]:
-    return [*WORDS.findall((text or "").translate(_LOWER)), END]
-
-
-def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all bytes of all words (each word's closed by a space): byte, number of the word, hashes of the contexts by order."""
-    data = [w.encode("utf-8", "surrogatepass") + b" " for w in words]
-    joined = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
-    sizes = np.array([len(d) for d in data], np.int64)
-    owner = np.repeat(np.arange(len(data)), sizes)
-    place = np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    contexts = np.empty((len(ORDERS), len(joined)), np.uint64)
-    h = np.zeros(len(joined), np.uint64)
-    done = 0
-    for row, order in enumerate(ORDERS):
-        for back in range(done + 1, order + 1):
-            earlier = np.zeros(len(joined), np.uint64)
-            earlier[back:] = joined[:-back] if back else joined
-            h = (h * np.uint64(0x9E3779B97F4A7C15)) + np.where(place >= back, earlier + np.uint64(1), np.uint64(0))
-            h ^= h >> np.uint64(29)
+#: Texts that share a vocabulary while scored; memory is bounded by this and the longest text.
+BLOCK_BYTES, BLOCK_DOCS = 6_000_000, 8000
+#: A task's first block; each next one may be twice as long, so that weights are learned from some evidence early on.
+FIRST_BYTES = 1 << 16
+CODES = 1 << 14  # contexts of the byte code, by a hash of three bytes
+ORDERS = (3, 4, 6)  # then the whole prefix, then the prefix behind the last short word
+TABLES = len(ORDERS) + 2
+SHORT = 3  # bytes of a short word, at most
+FEWEST_BITS, MOST_BITS = 14, 22  # slots of each context's table, as a power of two
+GATES, LATE = 24, 16  # gates of step 1 and of step 2
+CHUNK, GROWTH = 16, 1.25  # tokens to the first change of a text's own weights, and how chunks grow
+SHARES = ((0.1, 0.005), (0.1, 0.05), (0.5, 0.005), (0.5, 0.05))  # of exact counts, of the text's own past
+KEEP = 0.975  # of the curvature behind the weights, from step to step
+PRIOR = 100.0  # of a text's own weights: as if learned from some hundred decisions
+SLICE = 1000  # words that are predicted at once
+PIECES = 128  # rows in which tables of counts move
+BUCKET = 4_000_000  # words of blocks whose counts are added up in one task
+C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+C4, C5 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """Lower-cased words; bytes.split knows the same white space as the contract: space and 9 to 13."""
+    return (text or b"").lower().split()
+
+
+def bytes_of(words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words: each closed by a space, the end token before them. The bytes, each one's place in its word, and each word's size."""
+    data = np.frombuffer(b"\n" + words, np.uint8)
+    ends = np.flatnonzero(data == 32)
+    sizes = np.diff(np.concatenate([[-1, 0], ends]))
+    starts = np.cumsum(sizes) - sizes
+    return data, np.arange(len(data)) - np.repeat(starts, sizes), sizes
+
+
+def before(data: np.ndarray, place: np.ndarray, back: int) -> np.ndarray:
+    """The byte `back` bytes earlier in the word plus one, 0 where the word begins later."""
+    out = np.zeros(len(data), np.uint64)
+    out[back:] = data[:-back]
+    out += np.uint64(1)
+    out[place < back] = 0
+    return out
+
+
+def code_context(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+    return (((one * np.uint64(257) + two) * np.uint64(257) + three) * C1 >> np.uint64(50)).view(np.int64)
+
+
+def code_counts(words: bytes, counts: np.ndarray) -> np.ndarray:
+    """How often each byte follows each context of the code, (CODES * 256); counts: of the words, the end token first."""
+    data, place, sizes = bytes_of(words)
+    context = code_context(*(before(data, place, back) for back in (1, 2, 3)))
+    return np.bincount(context * 256 + data, np.repeat(counts, sizes), CODES * 256)
+
+
+def huffman(weights: list[float]) -> list[int]:
+    """Code lengths by two queues: leaves by rising weight, and joined nodes, whose weights rise by themselves."""
+    order = sorted(range(len(weights)), key=weights.__getitem__)
+    n = len(order)
+    value, parent = [weights[k] for k in order], [0] * (2 * n - 1)
+    leaf, joined = 0, n
+    for node in range(n, 2 * n - 1):
+        total = 0.0
+        for _ in range(2):
+            if leaf < n and (joined >= node or value[leaf] <= value[joined]):
+                pick, leaf = leaf, leaf + 1
+            else:
+                pick, joined = joined, joined + 1
+            parent[pick] = node
+            total += value[pick]
+        value.append(total)
+    depth = [0] * (2 * n - 1)
+    for node in range(2 * n - 3, -1, -1):
+        depth[node] = depth[parent[node]] + 1
+    out = [0] * n
+    for at, k in enumerate(order):
+        out[k] = depth[at]
+    return out
+
+
+def code_tables(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The canonical code and its length, by context and byte. Bytes not seen behind a context stand by how common they are in all."""
+    counts = counts.reshape(CODES, 256)
+    share = counts.sum(axis=0) + 1
+    share /= share.sum()
+    lengths = np.full((CODES, 256), huffman(np.maximum(share, 1 / 4096).tolist()), np.uint8)
+    for ctx in np.flatnonzero(counts.sum(axis=1)):
+        row = counts[ctx]
+        lengths[ctx] = huffman((row + ((row > 0).sum() + row.sum() / 1024) * np.maximum(share, 1 / 4096)).tolist())
+    order = np.argsort(lengths, axis=1, kind="stable")
+    sizes = np.take_along_axis(lengths, order, axis=1).astype(np.int64)
+    codes, now = np.zeros((CODES, 256), np.uint32), np.zeros(CODES, np.uint32)
+    for k in range(256):
+        if k:
+            now = (now + np.uint32(1)) << (sizes[:, k] - sizes[:, k - 1]).astype(np.uint32)
+        codes[np.arange(CODES), order[:, k]] = now
+    return codes.reshape(-1), lengths.reshape(-1)
+
+
+@dataclass
+class Spelled:
+    """The decisions of words one after another: how many each word has, and by decision its outcome and the hash of each context."""
+
+    size: np.ndarray
+    bit: np.ndarray
+    keys: list[np.ndarray]  # the last one for the whole prefix
+
+
+def spelled(words: bytes, codes: np.ndarray, lengths: np.ndarray) -> Iterator[Spelled]:
+    """The words of a vocabulary, some at a time, so that arrays stay small."""
+    data, place, sizes = bytes_of(words)
+    ends = np.cumsum(sizes)
+    for at in range(0, len(sizes), SLICE):
+        to = min(at + SLICE, len(sizes))
+        lo, hi = ends[at] - sizes[at], ends[to - 1]
+        yield spelled_slice(data[lo:hi], place[lo:hi], sizes[at:to], codes, lengths)
+
+
+def spelled_slice(data: np.ndarray, place: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> Spelled:
+    earlier = [before(data, place, back) for back in range(1, max(ORDERS) + 1)]
+    contexts, h, done = [], np.zeros(len(data), np.uint64), 0
+    for order in ORDERS:
+        for back in range(done, order):
+            h = (h ^ earlier[back]) * C1
+            h ^= h >> np.uint64(31)
         done = order
-        contexts[row] = h * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(row)
-    return joined, owner, contexts
+        contexts.append(h * C2 + np.uint64(order))
+    # the whole prefix: a polynomial of the bytes, taken from running sums so that no word is walked by itself
+    power = np.cumprod(np.full(int(place.max()) + 2, C3, np.uint64))
+    terms = np.cumsum((data + np.uint64(1)) * power[place])
+    starts = np.cumsum(sizes) - sizes
+    base = np.where(starts > 0, terms[starts - 1], np.uint64(0))
+    prefix = np.concatenate([np.zeros(1, np.uint64), terms[:-1]]) - np.repeat(base, sizes)
+    prefix[place == 0] = 0
+    contexts.append((prefix ^ (prefix >> np.uint64(32))) * C1 + place.astype(np.uint64))
+    cell = code_context(*earlier[:3]) * 256 + data
+    size = lengths[cell].astype(np.int64)
+    mine, ends = np.repeat(codes[cell], size), np.cumsum(size)
+    k = np.arange(len(mine), dtype=np.uint32) - np.repeat((ends - size).astype(np.uint32), size)
+    left = np.repeat(size.astype(np.uint32), size) - k
+    bit = ((mine >> (left - np.uint32(1))) & np.uint32(1)).astype(np.int8)
+    node = ((mine >> left) | (np.uint32(1) << k)) * C4
+    keys = []
+    for c in contexts:
+        key = np.repeat((c >> np.uint64(32)).astype(np.uint32), size)
+        key += node
+        keys.append(key)
+    return Spelled(np.add.reduceat(size, starts), bit, keys)
+
+
+def told(s: Spelled, mixed: np.ndarray) -> np.ndarray:
+    """What step 2 needs of a decision in 64 bits: the key of the whole prefix, and step 1's logit with the outcome as its last bit."""
+    out = np.empty((len(mixed), 2), np.uint32)
+    out[:, 0] = s.keys[-1]
+    out[:, 1] = (mixed.view(np.uint32) & np.uint32(0xFFFFFFFE)) | s.bit.view(np.uint8)
+    return out.view(np.uint64).reshape(-1)
+
+
+def heard(known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The key, logit and outcome that told() gave."""
+    parts = known.view(np.uint32).reshape(-1, 2)
+    second = parts[:, 1].copy()
+    return parts[:, 0], second.view(np.float32), (second & np.uint32(1)).astype(np.int8)
+
+
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys ^ (keys >> np.uint32(15))) * C5 >> np.uint32(32 - bits)).astype(np.int64)
+
+
+def evidence(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """0 to 15: twice the logarithm of how often a slot was counted."""
+    return np.minimum(2 * np.log2(n0 + n1 + np.float32(1)), 15).astype(np.int64)
+
+
+def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.log((n1 + np.float32(0.3)) / (n0 + np.float32(0.3)))
+
+
+def outcomes(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often the bit was 0 and 1, from pairs of 32-bit counts read as one number."""
+    return (both & np.uint64(0xFFFFFFFF)).astype(np.float32), (both >> np.uint64(32)).astype(np.float32)
+
+
+def packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Prediction and evidence in 16 bits."""
+    q = np.clip(np.rint(stretched(n0, n1) * 64), -1023, 1023).astype(np.int32) + 1024
+    return (q * 16 + evidence(n0, n1)).astype(np.uint16)
+
+
+def tables_of(n: np.ndarray) -> np.ndarray:
+    return np.stack([packed(*outcomes(row.view("<u8"))) for row in n])
+
+
+def unpacked(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ((v >> 4).astype(np.float32) - np.float32(1024)) * np.float32(1 / 64), (v & 15).astype(np.int64)
 
 
-def slots_of(contexts: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The slot of (context, node) in each order's table; node: the bits of the byte so far, with a leading one."""
-    return ((contexts + node * np.uint64(0x94D049BB133111EB)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 18)
+def squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
 
-def counted(words: list[str], into: np.ndarray) -> None:
-    """Adds the words' bits to the counts (order, bit, slot). Each word counts once: spelling serves words not seen before."""
-    byte, _, contexts = spelled(words)
-    node = np.ones(len(byte), np.uint64)
-    for k in range(7, -1, -1):
-        bit = ((byte >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
-        at = slots_of(contexts, node).astype(np.int64)
-        for row in range(len(ORDERS)):
-            into[row] += np.bincount(bit * SLOTS + at[row], minlength=2 * SLOTS).reshape(2, SLOTS)
-        node = node * np.uint64(2) + bit.astype(np.uint64)
+LEVELS = np.minimum((np.arange(16) + 2) // 3, 5)
 
 
-def stretch(p):
-    return np.log(p / (1 - p))
+def gate(prefix: np.ndarray, four: np.ndarray) -> np.ndarray:
+    """By the evidence of the whole prefix (6 levels) and of four bytes (4 levels)."""
+    return LEVELS[prefix] * 4 + np.minimum((four + 3) >> 2, 3)
 
 
-def squash(x):
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+def refined(mixed: np.ndarray, g: np.ndarray, ones: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Half the mixed logit, half that of the map's frequencies around it."""
+    place = (np.clip(mixed, -7.99, 7.99) + 8) * 2
+    low = place.astype(np.int64)
+    part = (place - low).astype(np.float32)
+    middle = squash(np.arange(33) / 2 - 8)
+    table = (ones + 20 * middle) / (hits + 20)
+    table = (0.5 * np.log(table / (1 - table))).astype(np.float32).ravel()
+    low += g * 33
+    left = table[low]
+    return np.float32(0.5) * mixed + left + part * (table[low + 1] - left)
 
 
 @dataclass
-class Speller:
-    """What spelling needs: stretched predictions and evidence by order and slot, weights by gate, the refining map by gate."""
+class Weights:
+    """What is learned besides counts. `sure` and `late_sure` sum up curvature: how much each weight was learned from."""
 
-    st: np.ndarray
-    seen: np.ndarray
-    weights: np.ndarray
-    refine: np.ndarray
+    early: np.ndarray
+    late: np.ndarray
+    sure: np.ndarray
+    late_sure: np.ndarray
+    ones: np.ndarray
+    hits: np.ndarray
 
     @staticmethod
-    def gate(evidence: np.ndarray, k: int) -> np.ndarray:
-        """evidence: (order, bits) booleans; the number of the longest context with evidence, and whether the bit is early."""
-        longest = np.zeros(evidence.shape[1], np.int64)
-        for row in range(len(ORDERS)):
-            longest = np.where(evidence[row], row + 1, longest)
-        return longest * 2 + (k >= 4)
-
-    def log2(self, words: list[str]) -> np.ndarray:
-        """log2 of each word's probability, the closing byte included."""
-        if not words:
-            return np.empty(0)
-        byte, owner, contexts = spelled(words)
-        node, total = np.ones(len(byte), np.uint64), np.zeros(len(byte))
-        for k in range(7, -1, -1):
-            bit = ((byte >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
-            at = slots_of(contexts, node).astype(np.int64)
-            x = np.stack([self.st[row][at[row]] for row in range(len(ORDERS))])
-            g = self.gate(np.stack([self.seen[row][at[row]] for row in range(len(ORDERS))]), k)
-            p = self.refined(np.einsum("ij,ji->i", self.weights[g], x), g)
-            total += np.log2(np.where(bit == 1, p, 1 - p))
-            node = node * np.uint64(2) + bit.astype(np.uint64)
-        return np.bincount(owner, total, len(words))
-
-    def refined(self, mixed: np.ndarray, g: np.ndarray) -> np.ndarray:
-        place = np.clip((np.clip(mixed, -7.99, 7.99) + 8) * 2, 0, 31.999)
-        low = place.astype(np.int64)
-        part = place - low
-        mapped = self.refine[g, low] * (1 - part) + self.refine[g, low + 1] * part
-        return np.clip((squash(mixed) + mapped) / 2, 1 / 65536, 1 - 1 / 65536)
-
-
-def speller(counts: np.ndarray, words: list[str], rate: float = RATE) -> Speller:
-    """Learns mixing weights and the map online over a sample of words, from counts without the word's own part."""
-    n = counts.sum(axis=1)
-    st = stretch((counts[:, 1] + 0.4) / (n + 0.8)).astype(np.float32)
-    out = Speller(st, n >= 2, np.full((2 * len(ORDERS) + 2, len(ORDERS)), 0.3), np.tile(squash((np.arange(33) / 2) - 8), (2 * len(ORDERS) + 2, 1)))
-    if not words:
-        return out
-    rng = np.random.default_rng(7)
-    order = np.concatenate([rng.permutation(len(words)) for _ in range(PASSES)])
-    for start in range(0, len(order), 256):
-        byte, _, contexts = spelled([words[i] for i in order[start : start + 256]])
-        node = np.ones(len(byte), np.uint64)
-        for k in range(7, -1, -1):
-            bit = ((byte >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
-            at = slots_of(contexts, node).astype(np.int64)
-            x, evidence = np.empty((len(ORDERS), len(byte))), np.empty((len(ORDERS), len(byte)), bool)
-            for row in range(len(ORDERS)):
-                n1 = counts[row, 1][at[row]] - bit
-                n0 = counts[row, 0][at[row]] - (1 - bit)
-                n1, n0 = np.maximum(n1, 0), np.maximum(n0, 0)
-                x[row] = stretch((n1 + 0.4) / (n1 + n0 + 0.8))
-                evidence[row] = n1 + n0 >= 2
-            g = out.gate(evidence, k)
-            mixed = np.einsum("ij,ji->i", out.weights[g], x)
-            error = bit - squash(mixed)
-            for gate in np.unique(g):
-                mine = g == gate
-                out.weights[gate] += rate / (1 + start / len(words)) * (x[:, mine] @ error[mine]) / math.sqrt(mine.sum())
-                low = np.clip((np.clip(mixed[mine], -7.99, 7.99) + 8) * 2, 0, 31).astype(np.int64)
-                for step in (0, 1):
-                    hits = np.bincount(low + step, minlength=33)
-                    ones = np.bincount(low + step, bit[mine], 33)
-                    some = hits > 0
-                    out.refine[gate][some] += np.minimum(0.02 * hits[some], 0.5) * (ones[some] / hits[some] - out.refine[gate][some])
-            node = node * np.uint64(2) + bit.astype(np.uint64)
-    return out
+    def new() -> Weights:
+        late = np.stack([np.linspace(1, 0.4, LATE), np.linspace(0, 0.6, LATE)], axis=1)
+        return Weights(np.full((GATES, TABLES - 1), 0.25), late, np.full((GATES, TABLES - 1), 10.0), np.full((LATE, 2), 10.0), np.zeros((GATES, 33)), np.zeros((GATES, 33)))
 
+    def flat(self) -> np.ndarray:
+        """What adds up over tasks."""
+        return np.concatenate([a.ravel() for a in (self.early * self.sure, self.late * self.late_sure, self.sure, self.late_sure, self.ones, self.hits)])
 
-def packed_tokens(tokens: np.ndarray) -> bytes:
-    """32-bit numbers by byte planes, compressed: most high bytes are zero."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    @staticmethod
+    def of(flat: np.ndarray) -> Weights:
+        shapes = ((GATES, TABLES - 1), (LATE, 2), (GATES, TABLES - 1), (LATE, 2), (GATES, 33), (GATES, 33))
+        parts, at = [], 0
+        for shape in shapes:
+            n = math.prod(shape)
+            parts.append(flat[at : at + n].reshape(shape))
+            at += n
+        early, late, sure, late_sure, ones, hits = parts
+        return Weights(early / sure, late / late_sure, sure, late_sure, ones, hits)
+
+
+def learn(w: np.ndarray, sure: np.ndarray, g: np.ndarray, x: list[np.ndarray], error: np.ndarray, curve: np.ndarray) -> None:
+    """One online step of the weights of every gate in g: gradient over the curvature of the last steps."""
+    n = len(w)
+    sure *= KEEP
+    for k, column in enumerate(x):
+        sure[:, k] += np.bincount(g, curve * column * column, n)
+        w[:, k] += np.bincount(g, error * column, n) / sure[:, k]
+
+
+class Trainer:
+    """Counts and weights of one task."""
+
+    def __init__(self, bits: int, codes: np.ndarray, lengths: np.ndarray):
+        self.bits, self.codes, self.lengths = bits, codes, lengths
+        self.n = np.zeros((TABLES, 2 << bits), np.uint32)  # by slot, how often the bit was 0, and 1
+        self.both = self.n.view("<u8")
+        self.weights = Weights.new()
+
+    def block(self, words: bytes, hashes: np.ndarray, counts: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> None:
+        """counts: of each word in the training texts of this block. Words are predicted before they are counted, slice by slice."""
+        if not held.all():
+            self.learned(words, hashes, counts, tokens, sizes, held)
+
+    def learned(self, words: bytes, hashes: np.ndarray, counts: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> None:
+        vocabulary, at = [], 0
+        for s in spelled(words, self.codes, self.lengths):
+            vocabulary.append((s.size, told(s, self.inside(s, counts[at : at + len(s.size)]))))
+            at += len(s.size)
+        size, known = (np.concatenate(column) for column in zip(*vocabulary))
+        first = np.cumsum(size) - size
+        lead = short_before(tokens, sizes, hashes, bytes_sizes(words))
+        teach = np.flatnonzero(np.repeat(~held, sizes))
+        w = self.weights
+        for at in range(0, len(teach), SLICE):
+            pick = teach[at : at + SLICE]
+            d, n = decisions(first, size, tokens[pick])
+            key, mixed, bit = heard(known[d])
+            place = slots(key ^ np.repeat(lead[pick], n), self.bits)
+            pair = outcomes(self.both[-1][place])
+            x, g = [mixed, stretched(*pair)], evidence(*pair)
+            late = w.late.T.astype(np.float32)
+            p = squash(late[0][g] * x[0] + late[1][g] * x[1])
+            learn(w.late, w.late_sure, g, x, bit - p, p * (1 - p) * 2)
+            np.add.at(self.n[-1], 2 * place + bit, np.uint32(1))
+
+    def inside(self, s: Spelled, counts: np.ndarray) -> np.ndarray:
+        """Step 1 of a slice of the vocabulary, which is then learned from and counted."""
+        w, bit = self.weights, s.bit
+        own = np.repeat(counts, s.size)
+        weight = own.astype(np.float32)
+        where = [slots(key, self.bits) for key in s.keys]
+        n = [outcomes(self.both[i][place]) for i, place in enumerate(where)]
+        x = [stretched(*pair) for pair in n]
+        g = gate(evidence(*n[-1]), evidence(*n[-3]))
+        early = w.early.T.astype(np.float32)
+        m = sum(early[i][g] * x[i] for i in range(TABLES - 1))
+        p = squash(m)
+        out = refined(m, g, w.ones, w.hits)
+        learn(w.early, w.sure, g, x, weight * (bit - p), weight * (p * (1 - p)) * (TABLES - 1))
+        cell = g * 33 + ((np.clip(m, -7.99, 7.99) + 8) * 2 + 0.5).astype(np.int64)
+        w.hits += np.bincount(cell, weight, GATES * 33).reshape(GATES, 33)
+        w.ones += np.bincount(cell, weight * bit, GATES * 33).reshape(GATES, 33)
+        once, often = (own > 0).astype(np.uint32), own.astype(np.uint32)
+        for i, place in enumerate(where):
+            np.add.at(self.n[i], 2 * place + bit, often if i == TABLES - 2 else once)
+        return out
 
 
-def unpacked_tokens(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=4 * n), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64)
+def bytes_sizes(words: bytes) -> np.ndarray:
+    """The bytes of each word without the closing space; the end token counts as long."""
+    return np.concatenate([[SHORT + 1], bytes_of(words)[2][1:] - 1])
 
 
-def told(bits: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """What is known of each word in 64-bit pieces: bits and size, then each class that has it with its count. counts: (word, class)."""
-    some = counts > 0
-    n = 1 + some.sum(axis=1)
+def decisions(first: np.ndarray, size: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The decisions of tokens in order, and how many each token has. first, size: of the vocabulary's words."""
+    n = size[token]
     ends = np.cumsum(n)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
-    heads = ends - n
-    out[heads] = bits.astype("<f4").view(np.uint32).astype(np.uint64) | (sizes.astype(np.uint64) << np.uint64(32))
-    rest = np.ones(len(out), bool)
-    rest[heads] = False
-    word, cls = np.nonzero(some)
-    out[rest] = counts[word, cls].astype(np.uint64) | (cls.astype(np.uint64) << np.uint64(56))
-    offsets = np.concatenate([[0], ends * 8]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.astype("<u8").tobytes())])
-
-
-def heard(data: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bits, sizes and counts (class, word) of what told() gave."""
-    offsets = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)
-    pieces = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u8") if len(data) else np.empty(0, np.uint64)
-    starts = (offsets - offsets[0]) // 8
-    heads = pieces[starts[:-1]]
-    bits = (heads & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.float32).astype(float)
-    rest = np.ones(len(pieces), bool)
-    rest[starts[:-1]] = False
-    owner = np.repeat(np.arange(len(data)), np.diff(starts) - 1)
-    counts = np.zeros((CLASSES, len(data)))
-    counts[(pieces[rest] >> np.uint64(56)).astype(np.int64), owner] = (pieces[rest] & np.uint64((1 << 56) - 1)).astype(float)
-    return bits, (heads >> np.uint64(32)).astype(np.int64), counts
-
-
-def blocks_of(docs: DataFrame, held_out: int) -> DataFrame:
-    """Texts as numbers into their block's vocabulary, and the vocabulary's training counts by class."""
-    vocab = pa.list_(pa.struct([("word", pa.string()), *[(f"n{k}", pa.int32()) for k in range(CLASSES)]]))
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("vocab", vocab)])
+    d = np.repeat(first[token] - (ends - n), n)
+    d += np.arange(len(d))
+    return d, n
+
+
+def short_before(tokens: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """By token, a hash of the last short word before it in its text; 0 where there is none."""
+    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.arange(len(tokens))
+    last = np.maximum.accumulate(np.where(length[tokens] <= SHORT, at, -1))
+    last = np.concatenate([[-1], last[:-1]])
+    h = (hashes >> np.uint64(32)).astype(np.uint32)
+    return np.where(last >= starts, h[tokens[np.maximum(last, 0)]], np.uint32(0))
+
+
+@dataclass
+class Model:
+    """bits of a slot number; the byte code; by table and slot, prediction and evidence; weights; training tokens, distinct ones."""
+
+    bits: int
+    codes: np.ndarray
+    lengths: np.ndarray
+    tables: np.ndarray
+    weights: Weights
+    tokens: int
+    distinct: int
+
+    def inside(self, s: Spelled) -> np.ndarray:
+        """Step 1 for every decision of a slice of a vocabulary."""
+        early = self.weights.early.T.astype(np.float32)
+        got = [unpacked(self.tables[i][slots(key, self.bits)]) for i, key in enumerate(s.keys)]
+        g = gate(got[-1][1], got[-3][1])
+        return refined(sum(early[i][g] * x for i, (x, _) in enumerate(got)), g, self.weights.ones, self.weights.hits)
+
+    def texts(self, words: bytes, hashes: np.ndarray, exact: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 of each text's probability. exact: count of each word of the vocabulary in all training texts."""
+        vocabulary = [(s.size, told(s, self.inside(s))) for s in spelled(words, self.codes, self.lengths)]
+        size, known = (np.concatenate(column) for column in zip(*vocabulary))
+        del vocabulary
+        first = np.cumsum(size) - size
+        lead = short_before(tokens, sizes, hashes, bytes_sizes(words))
+        late = self.weights.late.T.astype(np.float32)
+        starts = np.cumsum(sizes) - sizes
+        own = np.ones((2, len(sizes)), np.float32)  # each text's own factors of the two inputs
+        sure = np.full((2, len(sizes)), PRIOR, np.float32)
+        logs = np.empty(len(tokens), np.float32)
+        order = np.argsort(-sizes, kind="stable")
+        sorted_sizes = sizes[order]
+        lo, step = 0, float(CHUNK)
+        longest = int(sizes.max())
+        while lo < longest:
+            hi = min(lo + int(step), longest)
+            active = order[: np.searchsorted(-sorted_sizes, -lo)]  # texts of more than lo tokens
+            n = np.minimum(sizes[active], hi) - lo
+            # some texts at a time, so that arrays stay small
+            cuts = np.flatnonzero(np.diff(np.cumsum(n) // SLICE)) + 1
+            for docs, m in zip(np.split(active, cuts), np.split(n, cuts)):
+                ends = np.cumsum(m)
+                at = np.arange(ends[-1]) + np.repeat(starts[docs] + lo - (ends - m), m)
+                d, each = decisions(first, size, tokens[at])
+                heads = np.cumsum(each) - each
+                by = heads[ends - m]
+                total = np.add.reduceat(each, ends - m)
+                key, mixed, bit = heard(known[d])
+                v, seen = unpacked(self.tables[-1][slots(key ^ np.repeat(lead[at], each), self.bits)])
+                x0, x1 = late[0][seen] * mixed, late[1][seen] * v
+                z = np.repeat(own[0, docs], total) * x0 + np.repeat(own[1, docs], total) * x1
+                np.clip(z, -16, 16, out=z)
+                p = squash(z)
+                error = bit - p
+                logs[at] = np.add.reduceat(np.log1p(-np.abs(error)), heads)
+                if hi < longest:
+                    curve = p * (1 - p)
+                    for k, x in enumerate((x0, x1)):
+                        sure[k, docs] += 2 * np.add.reduceat(curve * x * x, by)
+                        own[k, docs] += np.add.reduceat(error * x, by) / sure[k, docs]
+            lo, step = hi, step * GROWTH
+        return self.mixture(logs, exact, tokens, sizes)
+
+    def mixture(self, logs: np.ndarray, exact: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Step 3, from the logarithms of the tokens' probabilities by bits."""
+        starts = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        key = owner * np.int64(len(exact)) + tokens
+        by = np.argsort(key, kind="stable")
+        at = np.arange(len(key))
+        fresh = np.concatenate([[True], np.diff(key[by]) != 0])[: len(key)]
+        earlier = np.empty(len(key))
+        earlier[by] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+        since = at - starts[owner]
+        past = earlier / np.maximum(since, 1)
+        bits, share = np.exp(logs.astype(float)), (exact / max(self.tokens, 1))[tokens]
+        options = []
+        for counted, repeated in SHARES:
+            counted = counted if self.tokens else 0.0
+            p = counted * share + (1 - counted) * bits
+            p = np.where(since > 0, repeated * past + (1 - repeated) * p, p)
+            options.append(np.add.reduceat(np.log(np.maximum(p, 1e-300)), starts))
+        options = np.stack(options)
+        top = options.max(axis=0)
+        return (top + np.log(np.exp(options - top).mean(axis=0))) / math.log(10)
+
+
+def press(a: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed: most high bytes are zero."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpress(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+BLOCK = "block long, ids binary, nulls binary, held binary, sizes binary, tokens binary, words binary, hashes binary, counts binary, n long"
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """Texts as numbers into their block's vocabulary; the vocabulary's hashes and counts in the block's training texts; n: its size.
+
+    Each task's last row has a negative block and, as its tokens, how often bytes follow contexts of the code in training texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        index: dict[str, int] = {}
-        ids, out, sizes, parts, chars = [], [], [], [], 0
-        counts: list[Counter] = [Counter() for _ in range(CLASSES)]
+        index: defaultdict[bytes, int] = defaultdict()
+        index.default_factory = index.__len__
+        index[b""]  # the end token
+        ids, held, texts, size = [], [], [], 0
+        code = np.zeros(CODES * 256)
 
         def block() -> pa.RecordBatch:
-            nonlocal index, ids, out, sizes, parts, chars, counts, number
-            table = np.zeros((CLASSES, len(index)), np.int32)
-            for k, c in enumerate(counts):
-                if c:
-                    table[k][np.fromiter(c.keys(), np.int64, len(c))] = np.fromiter(c.values(), np.int64, len(c))
-            entries = pa.StructArray.from_arrays([pa.array(list(index), pa.string()), *[pa.array(t) for t in table]], fields=list(vocab.value_type))
-            got = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([(part << 32) + number], pa.int64()), pa.array([ids], schema.field("ids").type), pa.array([out], schema.field("out").type), pa.array([sizes], schema.field("sizes").type),
-                    pa.array([packed_tokens(np.concatenate(parts))], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(index)], pa.int32()), entries),
-                ],
-                schema=schema,
-            )
+            nonlocal ids, held, texts, size, number, code
+            sizes = np.array([len(t) for t in texts], np.int64)
+            tokens, out = np.concatenate(texts), np.array(held)
+            vocabulary = list(index)
+            counts = np.bincount(tokens[np.repeat(~out, sizes)], minlength=len(vocabulary))
+            joined = b"".join([w + b" " for w in vocabulary[1:]])
+            code += code_counts(joined, counts)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
+            row = [
+                (part << 32) + number, press(np.array([i or 0 for i in ids], np.int64)), bytes(i is None for i in ids), out.tobytes(), press(sizes), press(tokens), zstandard.ZstdCompressor(level=1).compress(joined),
+                hashes.tobytes(), press(counts.astype(np.int32)), len(vocabulary),
+            ]
             number += 1
-            index, ids, out, sizes, parts, chars = {}, [], [], [], [], 0
-            counts = [Counter() for _ in range(CLASSES)]
-            return got
+            ids, held, texts, size = [], [], [], 0
+            index.clear()
+            index[b""]
+            return made(row)
+
+        def made(row: list) -> pa.RecordBatch:
+            kinds = [pa.int64(), *[pa.binary()] * 8, pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
-            for doc_id, held, text in zip(*(batch.column(c).to_pylist() for c in ("id", "held", "text"))):
-                tokens = tokens_of(text)
-                seen = Counter(tokens)
-                for w in seen:
-                    if w not in index:
-                        index[w] = len(index)
-                if not held:
-                    top = max((w for w in seen if w != END), key=lambda w: (seen[w], w), default="")
-                    mine = counts[zlib.crc32(top.encode("utf-8", "surrogatepass")) % CLASSES]
-                    for w, n in seen.items():
-                        mine[index[w]] += n
-                parts.append(np.array([index[w] for w in tokens], np.int32))
+            for row in range(batch.num_rows):
+                doc_id, out, text = (batch.column(c)[row].as_py() for c in ("id", "held", "text"))
+                words = words_of(text)
+                words.append(b"")
+                texts.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
                 ids.append(doc_id)
-                out.append(held)
-                sizes.append(len(tokens))
-                chars += len(text or "")
-                if chars >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
+                held.append(out)
+                size += len(text or b"")
+                if size >= min(BLOCK_BYTES, FIRST_BYTES << min(number, 20)) or len(ids) >= BLOCK_DOCS:
                     yield block()
         if ids:
             yield block()
+        if code.any():
+            yield made([-1 - part, b"", b"", b"", b"", press(code.astype(np.uint64)), b"", b"", b"", 0])
+
+    return docs.mapInArrow(run, BLOCK)
+
+
+def added(parts: DataFrame, kind: type, into: type) -> DataFrame:
+    """(piece, data) from (piece, data): arrays of equal pieces added up; a task holds one sum and one array. Twice, by a salt first."""
 
-    names = ",".join(f"n{k}:int" for k in range(CLASSES))
-    return docs.mapInArrow(run, f"block long, ids array<long>, out array<boolean>, sizes array<int>, tokens binary, vocab array<struct<word:string,{names}>>")
+    def run_of(kind: type):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, total = None, np.empty(0)
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    key = batch.column("piece")[row].as_py(), batch.column("salt")[row].as_py()
+                    data = unpress(batch.column("data")[row].as_py(), kind)
+                    if key == now:
+                        total += data
+                        continue
+                    if now is not None:
+                        yield pa.RecordBatch.from_pydict({"piece": pa.array([now[0]], pa.int32()), "data": [press(total)]})
+                    now, total = key, data.astype(into)
+            if now is not None:
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([now[0]], pa.int32()), "data": [press(total)]})
 
+        return run
 
-def fit_speller(counts: DataFrame) -> Speller:
-    """counts: every word of the training documents once. The tables have one size for any corpus.
+    parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
+    for k in (kind, into):
+        parts = parts.repartition("piece", "salt").sortWithinPartitions("piece", "salt").mapInArrow(run_of(k), "piece int, data binary").withColumn("salt", F.lit(0))
+    return parts.select("piece", "data")
 
-    Partitions hand on their tables in PIECES pieces, which are added up by piece, and by piece and a salt before that.
+
+def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by bucket, and each one's bucket in that order."""
+    which = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(which, kind="stable")
+    return order, which[order]
+
+
+def exact_counts(blocks: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """(block, known): counts of each word of the block's vocabulary in all training texts; training tokens, distinct ones, buckets.
+
+    Blocks deal the hashes of their words over buckets, a row for each bucket that gets some; a bucket adds its words up and answers
+    each block. Two words with one hash of 64 bits would be taken for one: among n words with chance n * n / 2**65.
     """
-    width = len(ORDERS) * 2 * SLOTS // PIECES
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                hashes = np.frombuffer(batch.column("hashes")[row].as_py(), np.uint64)
+                counts = unpress(batch.column("counts")[row].as_py(), np.int32)
+                order, which = dealt(hashes, buckets)
+                heads = np.flatnonzero(np.diff(which, prepend=-1))
+                parts = np.split(order, heads[1:])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "bucket": pa.array(which[heads], pa.int32()), "block": pa.array([batch.column("block")[row].as_py()] * len(parts), pa.int64()),
+                        "hashes": pa.array([hashes[k].tobytes() for k in parts], pa.binary()), "counts": pa.array([press(counts[k]) for k in parts], pa.binary()),
+                    }
+                )
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into = np.zeros((len(ORDERS), 2, SLOTS))
+    def add(group: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(v.as_py(), np.uint64) for v in group.column("hashes")]
+        _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        sums = np.bincount(inverse, np.concatenate([unpress(v.as_py(), np.int32) for v in group.column("counts")])).astype(np.int64)
+        known = [press(part) for part in np.split(sums[inverse], np.cumsum([len(h) for h in hashes])[:-1])]
+        rest = [0] * (len(known) - 1)
+        return pa.table(
+            {
+                "block": group.column("block").combine_chunks(), "bucket": group.column("bucket").combine_chunks(), "known": pa.array(known, pa.binary()),
+                "tokens": pa.array([int(sums.sum()), *rest], pa.int64()), "distinct": pa.array([int((sums > 0).sum()), *rest], pa.int64()),
+            }
+        )
+
+    rows = blocks.select("block", "hashes", "counts").mapInArrow(deal, "bucket int, block long, hashes binary, counts binary")
+    answers = stored(rows.groupBy("bucket").applyInArrow(add, "block long, bucket int, known binary, tokens long, distinct long"), "lm-counts")
+    sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    known = answers.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "known"))), lambda x: x["known"]).alias("known"))
+    return known, sums[0], sums[1], buckets
+
+
+def fitted(blocks: DataFrame, extra: DataFrame, tokens: int, distinct: int) -> Model:
+    """The model from all blocks. Tables have 4 slots a distinct word and more, up to 2 ** MOST_BITS, so memory is bounded."""
+    bits = min(MOST_BITS, max(FEWEST_BITS, math.ceil(math.log2(max(1, distinct) * 4))))
+    got = added(extra.select(F.lit(0).alias("piece"), F.col("tokens").alias("data")), np.uint64, np.uint64).collect()
+    codes, lengths = code_tables(unpress(got[0]["data"], np.uint64).astype(float) if got else np.zeros(CODES * 256))
+    code = blocks.sparkSession.sparkContext.broadcast((codes, lengths))
+    width = (TABLES * 2 << bits) // PIECES
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                counted(part.column("word").to_pylist(), into)
-        flat = into.reshape(-1)
-        if flat.any():
-            salt = TaskContext.get().partitionId() % 32
+            for row in range(batch.num_rows):
+                trainer = trainer or Trainer(bits, *code.value)
+                trainer.block(*block_of(batch, row), held=np.frombuffer(batch.column("held")[row].as_py(), bool))
+        if trainer is not None:
+            flat = trainer.n.reshape(-1)
             for k in range(PIECES):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(flat[k * width : (k + 1) * width].tobytes(), 1)])], ["piece", "salt", "data"])
+                part = flat[k * width : (k + 1) * width]
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "data": [press(part)]})
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([-1], pa.int32()), "data": [press(trainer.weights.flat())]})
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(width)
-        for data in table.column("data"):
-            total += np.frombuffer(zlib.decompress(data.as_py()))
-        return pa.table({"piece": table.column("piece")[:1].cast(pa.int32()), "salt": table.column("salt")[:1].cast(pa.int32()), "data": pa.array([zlib.compress(total.tobytes(), 1)])})
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                n = unpress(batch.column("data")[row].as_py(), np.uint64).reshape(-1, 2).astype(np.float32)
+                yield pa.RecordBatch.from_pydict({"piece": batch.column("piece")[row : row + 1], "data": [press(packed(n[:, 0], n[:, 1]))]})
 
-    schema = "piece int, salt int, data binary"
-    parts = counts.select("word").mapInArrow(tally, schema)
-    sums = parts.groupBy("piece", "salt").applyInArrow(add, schema).groupBy("piece").applyInArrow(add, schema).collect()
-    table = np.zeros(len(ORDERS) * 2 * SLOTS)
-    for row in sums:
-        table[row["piece"] * width : (row["piece"] + 1) * width] = np.frombuffer(zlib.decompress(row["data"]))
-    sample = counts.orderBy(F.xxhash64("word"), "word").select("word").limit(SAMPLE).collect()
-    return speller(table.reshape(len(ORDERS), 2, SLOTS), [r["word"] for r in sample])
+    parts = stored(blocks.select("block", "held", "sizes", "tokens", "words", "hashes", "counts").mapInArrow(train, "piece int, data binary"), "lm-parts")
+    flat = added(parts.where("piece < 0"), np.float64, np.float64).collect()
+    weights = Weights.of(unpress(flat[0]["data"], np.float64)) if flat else Weights.new()
+    tables = np.full(TABLES << bits, packed(np.zeros(1, np.float32), np.zeros(1, np.float32))[0], np.uint16)
+    for row in added(parts.where("piece >= 0"), np.uint32, np.uint64).mapInArrow(finish, "piece int, data binary").collect():  # of one size for any corpus
+        tables[row["piece"] * width // 2 : (row["piece"] + 1) * width // 2] = unpress(row["data"], np.uint16)
+    return Model(bits, codes, lengths, tables.reshape(TABLES, -1), weights, tokens, distinct)
+
+
+def block_of(batch: pa.RecordBatch, row: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words, hashes, counts, tokens, sizes"""
+    get = lambda c: batch.column(c)[row].as_py()
+    return (
+        zstandard.ZstdDecompressor().decompress(get("words")), np.frombuffer(get("hashes"), np.uint64), unpress(get("counts"), np.int32),
+        unpress(get("tokens"), np.int32), unpress(get("sizes"), np.int64),
+    )
 
 
 def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
-    Training counts come from all documents whose fold is not held_out; a null id is in fold 0 and counts. Null and empty
-    texts are the end token alone. Repeated rows count and are scored each. base_score is the unigram's. bits_per_byte
-    is the score in bits over the bytes of the tokens with one byte between them.
+    Training counts come from all documents whose fold is not held_out; a null id is in no fold and counts. Null and empty
+    texts are the end token alone. Repeated rows count and are scored each. base_score is the unigram's. score is the log10
+    probability of the text as its words spelled out and the end. bits_per_byte is the score in bits over n_bytes, the bytes of
+    the words, each with its closing space, and the end. Only the two named columns are read. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    held = F.coalesce(fold(F.col(id_col)) == held_out, F.lit(False))
-    blocks = stored(blocks_of(docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text_col).alias("text")), held_out), "lm-blocks")
-    classes = [f"n{k}" for k in range(CLASSES)]
-    entries = blocks.select("block", F.posexplode("vocab").alias("i", "v")).select("block", "i", "v.*")
-    counts = stored(entries.groupBy("word").agg(*[F.sum(c).alias(c) for c in classes]).withColumn("n", sum(F.col(c) for c in classes)), "lm-counts")
-    sums = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count_if(F.col("n") > 0).alias("V"), F.count_if(F.col("n") == 1).alias("H"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"N{k}") for k, c in enumerate(classes)], *[F.count_if(F.col(c) == 1).alias(f"H{k}") for k, c in enumerate(classes)],
-    ).first()
-    spell = spark.sparkContext.broadcast(fit_speller(counts.where(F.col("n") > 0).where(F.col("word") != END)))
-
-    def spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                bits = spell.value.log2(part.column("word").to_pylist())
-                sizes = np.array([len(w.encode("utf-8", "surrogatepass")) for w in part.column("word").to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("word"), told(bits, sizes, np.stack([part.column(c).to_numpy() for c in classes], axis=1))], ["word", "x"])
-
-    known = counts.select("word", *classes).mapInArrow(spelling, "word string, x binary")
-    looked = entries.select("block", "i", "word").join(known, "word")
-    each = looked.groupBy("block").agg(F.collect_list(F.struct("i", "x")).alias("known"))  # as long as the block's vocabulary
-    N, V, H = (float(sums[c]) for c in "NVH")
-    # of the words new to a class, those new to all: words seen once in all over words seen once in a class
-    fresh = min(0.95, max(0.05, H / max(sum(float(sums[f"H{k}"]) for k in range(CLASSES)), 1.0)))
-    by_class = np.array([float(sums[f"N{k}"]) for k in range(CLASSES)])
-    thetas = np.array([max(1.0, sums[f"H{k}"] * by_class[k] / max(by_class[k] - sums[f"H{k}"], 1.0)) for k in range(CLASSES)])
-    prior = np.log((by_class + 1) / (by_class + 1).sum())
+    held = F.coalesce(fold(F.col(f"`{id_col}`")) == held_out, F.lit(False))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), held.alias("held"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    everything = stored(blocks_of(rows), "lm-blocks")
+    blocks, extra = everything.where("block >= 0"), everything.where("block < 0")
+    known, tokens, distinct, buckets = exact_counts(blocks)
+    model = spark.sparkContext.broadcast(fitted(blocks, extra, tokens, distinct))
+    N, V = float(tokens), float(distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                flat = batch.column("known")[row].values
-                order = np.argsort(flat.field("i").to_numpy())
-                bits, size, c = heard(flat.field("x").take(pa.array(order)))
-                own = c.sum(axis=0)
-                overall = fresh * np.exp2(bits) + (1 - fresh) * own / max(N, 1.0)
-                mine = np.log((c + thetas[:, None] * overall) / (by_class + thetas)[:, None])  # (class, word)
-                base = np.log10((own + 0.5) / (N + 0.5 * (V + 1)))
-                sizes = batch.column("sizes")[row].values.to_numpy().astype(np.int64)
-                tokens = unpacked_tokens(batch.column("tokens")[row].as_py(), int(sizes.sum()))
-                ends = np.cumsum(sizes)
-                # how often a token came up before in its document
-                key = np.repeat(np.arange(len(sizes)), sizes) * len(own) + tokens
-                by = np.argsort(key, kind="stable")
-                first = np.concatenate([[True], np.diff(key[by]) != 0])
-                run_of = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-                before = np.empty(len(key))
-                before[by] = run_of
-                since = np.arange(len(key)) - np.repeat(ends - sizes, sizes)
-                past = before / np.maximum(since, 1)
-                starts = ends - sizes
-                options = []
-                for k in range(CLASSES):
-                    p = np.exp(mine[k])[tokens]
-                    for share in CACHE:
-                        mix = np.where(since > 0, share * past + (1 - share) * p, p)
-                        options.append(np.add.reduceat(np.log(np.maximum(mix, 1e-300)), starts) + prior[k] - math.log(len(CACHE)))
-                options = np.stack(options)
-                top = options.max(axis=0)
-                total = (top + np.log(np.exp(options - top).sum(axis=0))) / math.log(10)
-                n_bytes = np.add.reduceat(size[tokens] + 1, starts) - 2  # the end token has neither
-                n_bytes = np.maximum(n_bytes, 0)
+                words, hashes, _, token, sizes = block_of(batch, row)
+                exact = np.empty(len(hashes), np.int64)
+                exact[dealt(hashes, buckets)[0]] = np.concatenate([unpress(v, np.int64) for v in batch.column("known")[row].as_py()])
+                total = model.value.texts(words, hashes, exact, token, sizes)
+                base = np.log10((exact + 0.5) / (N + 0.5 * (V + 1)))
+                starts = np.cumsum(sizes) - sizes
+                n_bytes = np.add.reduceat(bytes_of(words)[2][token], starts)  # the end token's size is 1
+                nulls = np.frombuffer(batch.column("nulls")[row].as_py(), bool)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("ids")[row].values, batch.column("out")[row].values, pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat((own > 0)[tokens].astype(np.int64), starts)),
-                        pa.array(np.full(len(sizes), int(N)), pa.int64()), pa.array(np.add.reduceat(base[tokens], starts)), pa.array(total), pa.array(n_bytes.astype(np.int64)),
-                        pa.array(-total * math.log2(10) / np.maximum(n_bytes, 1)),
+                        pa.array(unpress(batch.column("ids")[row].as_py(), np.int64), mask=nulls), pa.array(np.frombuffer(batch.column("held")[row].as_py(), bool)), pa.array(sizes),
+                        pa.array(np.add.reduceat((exact > 0)[token].astype(np.int64), starts)), pa.array(np.full(len(sizes), tokens), pa.int64()), pa.array(np.add.reduceat(base[token], starts)),
+                        pa.array(total), pa.array(n_bytes.astype(np.int64)), pa.array(-total * math.log2(10) / n_bytes),
                     ],
                     [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"],
                 )
 
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return blocks.select("block", "ids", "out", "sizes", "tokens").join(each, "block").mapInArrow(run, schema)
+    return blocks.join(known, "block").select("ids", "nulls", "held", "sizes", "tokens", "words", "hashes", "counts", "known").mapInArrow(run, schema)
