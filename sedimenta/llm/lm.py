@@ -1,20 +1,22 @@
 """Language-model scores: hashed-context bit predictors mixed logistically by gated weights, over the bytes of whole texts.
 
 The text scored is its lower-cased words, each closed by a space, and one end byte. Every byte is a few binary decisions down a
-Huffman code that the two bytes before it in the word choose. Each decision is predicted from six contexts, hashed to tables of
-counts: the last 2, 3, 4 and 6 bytes of the word, the whole word so far, and the word so far behind the last short word of the
-text (which crosses words, and tells languages and phrases apart).
+Huffman code that the three bytes before it in the word choose. Each decision is predicted from contexts that are hashed to tables
+of counts: the last 3 and 5 bytes of the word, the whole word so far, and, for a word's first bytes, the word so far behind the last
+short word of the text (which crosses words, and tells languages and phrases apart).
 
-1. The five contexts inside the word are combined in the logistic domain by weights that a gate picks (how much evidence the longest
+1. The contexts inside the word are combined in the logistic domain by weights that a gate picks (how much evidence the longest
    contexts have); the result is refined by an adaptive map of probabilities. All texts of a block share this work word by word.
-2. At every occurrence the sixth context is mixed in, by weights gated by its evidence. These are learned online within the text: they
-   change after chunks of tokens whose lengths grow from CHUNK by a fixed ratio, so only earlier tokens count.
+2. At every occurrence the crossing context is mixed in, by weights gated by its evidence. These are learned online within the text:
+   they change after chunks of tokens whose lengths grow from CHUNK by a fixed ratio, so only earlier tokens count.
 3. The word's probability is the product over its decisions, mixed with the share of the word in all training texts (exact counts
    of the whole corpus) and in the text's own past; the shares of the three are weighed by how well each choice did so far (an
    exact Bayesian mixture).
 
 Weights and map are learned online from all training texts: each is predicted from what the task has counted before, then counted.
-Tasks' counts are added up, their weights averaged by evidence. Tables of contexts are sized by the corpus up to MOST_BITS.
+Tasks' counts are added up, their weights averaged by evidence. Tables of contexts are sized by the corpus up to MOST_BITS; the
+late decisions of a word enter its own context's table when a task has it for the second time, so that words of a single
+occurrence do not crowd them.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ BLOCK_BYTES, BLOCK_DOCS = 6_000_000, 8000
 #: A task's first block; each next one may be twice as long, so that weights are learned from some evidence early on.
 FIRST_BYTES = 1 << 16
 CODES = 1 << 14  # contexts of the byte code, by a hash of three bytes
-ORDERS = (3, 4, 6)  # then the whole prefix, then the prefix behind the last short word
+ORDERS = (3, 5)  # bytes; after these tables the one of the whole prefix, then of the prefix behind the last short word
 TABLES = len(ORDERS) + 2
+HEAD = 4  # bytes of a word that the last short word before it helps to predict
 SHORT = 3  # bytes of a short word, at most
 FEWEST_BITS, MOST_BITS = 14, 22  # slots of each context's table, as a power of two
 GATES, LATE = 24, 16  # gates of step 1 and of step 2
@@ -49,6 +52,8 @@ SHARES = ((0.1, 0.005), (0.1, 0.05), (0.5, 0.005), (0.5, 0.05))  # of exact coun
 KEEP = 0.975  # of the curvature behind the weights, from step to step
 PRIOR = 100.0  # of a text's own weights: as if learned from some hundred decisions
 SLICE = 1000  # words that are predicted at once
+SEEN_BITS = 24  # of the table of hashes of words that a task has had
+TASK_BYTES = 48_000_000  # of packed blocks that one task learns from
 PIECES = 128  # rows in which tables of counts move
 BUCKET = 4_000_000  # words of blocks whose counts are added up in one task
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -60,6 +65,10 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def bytes_of(words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """words: each closed by a space, the end token before them. The bytes, each one's place in its word, and each word's size."""
     data = np.frombuffer(b"\n" + words, np.uint8)
@@ -140,6 +149,7 @@ class Spelled:
     size: np.ndarray
     bit: np.ndarray
     keys: list[np.ndarray]  # the last one for the whole prefix
+    early: np.ndarray  # whether the decision is about one of the word's first HEAD bytes
 
 
 def spelled(words: bytes, codes: np.ndarray, lengths: np.ndarray) -> Iterator[Spelled]:
@@ -181,15 +191,19 @@ def spelled_slice(data: np.ndarray, place: np.ndarray, sizes: np.ndarray, codes:
         key = np.repeat((c >> np.uint64(32)).astype(np.uint32), size)
         key += node
         keys.append(key)
-    return Spelled(np.add.reduceat(size, starts), bit, keys)
+    return Spelled(np.add.reduceat(size, starts), bit, keys, np.repeat(place < HEAD, size))
 
 
-def told(s: Spelled, mixed: np.ndarray) -> np.ndarray:
-    """What step 2 needs of a decision in 64 bits: the key of the whole prefix, and step 1's logit with the outcome as its last bit."""
-    out = np.empty((len(mixed), 2), np.uint32)
-    out[:, 0] = s.keys[-1]
-    out[:, 1] = (mixed.view(np.uint32) & np.uint32(0xFFFFFFFE)) | s.bit.view(np.uint8)
-    return out.view(np.uint64).reshape(-1)
+def told(s: Spelled, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What step 2 needs of words: how many early decisions each has; of those, in 64 bits each, the key of the whole prefix and step 1's
+    logit with the outcome as its last bit; and the logarithm of the probability of each word's other decisions together."""
+    starts = np.cumsum(s.size) - s.size
+    out = np.empty((int(s.early.sum()), 2), np.uint32)
+    out[:, 0] = s.keys[-1][s.early]
+    out[:, 1] = (mixed[s.early].view(np.uint32) & np.uint32(0xFFFFFFFE)) | s.bit[s.early].view(np.uint8)
+    right = np.log1p(-np.abs(s.bit - squash(np.clip(mixed, -16, 16))))
+    right[s.early] = 0
+    return np.add.reduceat(s.early.astype(np.int64), starts), out.view(np.uint64).reshape(-1), np.add.reduceat(right, starts)
 
 
 def heard(known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,9 +252,9 @@ def squash(x: np.ndarray) -> np.ndarray:
 LEVELS = np.minimum((np.arange(16) + 2) // 3, 5)
 
 
-def gate(prefix: np.ndarray, four: np.ndarray) -> np.ndarray:
-    """By the evidence of the whole prefix (6 levels) and of four bytes (4 levels)."""
-    return LEVELS[prefix] * 4 + np.minimum((four + 3) >> 2, 3)
+def gate(prefix: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """By the evidence of the whole prefix (6 levels) and of its last bytes (4 levels)."""
+    return LEVELS[prefix] * 4 + np.minimum((part + 3) >> 2, 3)
 
 
 def refined(mixed: np.ndarray, g: np.ndarray, ones: np.ndarray, hits: np.ndarray) -> np.ndarray:
@@ -291,7 +305,7 @@ class Weights:
 def learn(w: np.ndarray, sure: np.ndarray, g: np.ndarray, x: list[np.ndarray], error: np.ndarray, curve: np.ndarray) -> None:
     """One online step of the weights of every gate in g: gradient over the curvature of the last steps."""
     n = len(w)
-    sure *= KEEP
+    np.maximum(sure * KEEP, 10, out=sure)
     for k, column in enumerate(x):
         sure[:, k] += np.bincount(g, curve * column * column, n)
         w[:, k] += np.bincount(g, error * column, n) / sure[:, k]
@@ -305,6 +319,14 @@ class Trainer:
         self.n = np.zeros((TABLES, 2 << bits), np.uint32)  # by slot, how often the bit was 0, and 1
         self.both = self.n.view("<u8")
         self.weights = Weights.new()
+        self.seen = np.zeros(1 << SEEN_BITS, bool)  # by hash, words of earlier blocks
+
+    def again(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which words this task has had before, in this block or an earlier one."""
+        place = (hashes >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+        out = (counts > 1) | ((counts > 0) & self.seen[place])
+        self.seen[place[counts > 0]] = True
+        return out
 
     def block(self, words: bytes, hashes: np.ndarray, counts: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> None:
         """counts: of each word in the training texts of this block. Words are predicted before they are counted, slice by slice."""
@@ -312,11 +334,12 @@ class Trainer:
             self.learned(words, hashes, counts, tokens, sizes, held)
 
     def learned(self, words: bytes, hashes: np.ndarray, counts: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> None:
-        vocabulary, at = [], 0
+        vocabulary, at, again = [], 0, self.again(hashes, counts)
         for s in spelled(words, self.codes, self.lengths):
-            vocabulary.append((s.size, told(s, self.inside(s, counts[at : at + len(s.size)]))))
-            at += len(s.size)
-        size, known = (np.concatenate(column) for column in zip(*vocabulary))
+            to = at + len(s.size)
+            vocabulary.append(told(s, self.inside(s, counts[at:to], again[at:to])))
+            at = to
+        size, known, _ = (np.concatenate(column) for column in zip(*vocabulary))
         first = np.cumsum(size) - size
         lead = short_before(tokens, sizes, hashes, bytes_sizes(words))
         teach = np.flatnonzero(np.repeat(~held, sizes))
@@ -333,7 +356,7 @@ class Trainer:
             learn(w.late, w.late_sure, g, x, bit - p, p * (1 - p) * 2)
             np.add.at(self.n[-1], 2 * place + bit, np.uint32(1))
 
-    def inside(self, s: Spelled, counts: np.ndarray) -> np.ndarray:
+    def inside(self, s: Spelled, counts: np.ndarray, again: np.ndarray) -> np.ndarray:
         """Step 1 of a slice of the vocabulary, which is then learned from and counted."""
         w, bit = self.weights, s.bit
         own = np.repeat(counts, s.size)
@@ -341,7 +364,7 @@ class Trainer:
         where = [slots(key, self.bits) for key in s.keys]
         n = [outcomes(self.both[i][place]) for i, place in enumerate(where)]
         x = [stretched(*pair) for pair in n]
-        g = gate(evidence(*n[-1]), evidence(*n[-3]))
+        g = gate(evidence(*n[-1]), evidence(*n[-2]))
         early = w.early.T.astype(np.float32)
         m = sum(early[i][g] * x[i] for i in range(TABLES - 1))
         p = squash(m)
@@ -350,7 +373,7 @@ class Trainer:
         cell = g * 33 + ((np.clip(m, -7.99, 7.99) + 8) * 2 + 0.5).astype(np.int64)
         w.hits += np.bincount(cell, weight, GATES * 33).reshape(GATES, 33)
         w.ones += np.bincount(cell, weight * bit, GATES * 33).reshape(GATES, 33)
-        once, often = (own > 0).astype(np.uint32), own.astype(np.uint32)
+        once, often = (own > 0).astype(np.uint32), (own * (s.early | np.repeat(again, s.size))).astype(np.uint32)
         for i, place in enumerate(where):
             np.add.at(self.n[i], 2 * place + bit, often if i == TABLES - 2 else once)
         return out
@@ -396,13 +419,13 @@ class Model:
         """Step 1 for every decision of a slice of a vocabulary."""
         early = self.weights.early.T.astype(np.float32)
         got = [unpacked(self.tables[i][slots(key, self.bits)]) for i, key in enumerate(s.keys)]
-        g = gate(got[-1][1], got[-3][1])
+        g = gate(got[-1][1], got[-2][1])
         return refined(sum(early[i][g] * x for i, (x, _) in enumerate(got)), g, self.weights.ones, self.weights.hits)
 
     def texts(self, words: bytes, hashes: np.ndarray, exact: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 of each text's probability. exact: count of each word of the vocabulary in all training texts."""
-        vocabulary = [(s.size, told(s, self.inside(s))) for s in spelled(words, self.codes, self.lengths)]
-        size, known = (np.concatenate(column) for column in zip(*vocabulary))
+        vocabulary = [told(s, self.inside(s)) for s in spelled(words, self.codes, self.lengths)]
+        size, known, rest = (np.concatenate(column) for column in zip(*vocabulary))
         del vocabulary
         first = np.cumsum(size) - size
         lead = short_before(tokens, sizes, hashes, bytes_sizes(words))
@@ -435,7 +458,7 @@ class Model:
                 np.clip(z, -16, 16, out=z)
                 p = squash(z)
                 error = bit - p
-                logs[at] = np.add.reduceat(np.log1p(-np.abs(error)), heads)
+                logs[at] = np.add.reduceat(np.log1p(-np.abs(error)), heads) + rest[tokens[at]]
                 if hi < longest:
                     curve = p * (1 - p)
                     for k, x in enumerate((x0, x1)):
@@ -505,7 +528,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             counts = np.bincount(tokens[np.repeat(~out, sizes)], minlength=len(vocabulary))
             joined = b"".join([w + b" " for w in vocabulary[1:]])
             code += code_counts(joined, counts)
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
+            hashes = hashes_of(vocabulary)
             row = [
                 (part << 32) + number, press(np.array([i or 0 for i in ids], np.int64)), bytes(i is None for i in ids), out.tobytes(), press(sizes), press(tokens), zstandard.ZstdCompressor(level=1).compress(joined),
                 hashes.tobytes(), press(counts.astype(np.int32)), len(vocabulary),
@@ -540,7 +563,9 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 
 def added(parts: DataFrame, kind: type, into: type) -> DataFrame:
-    """(piece, data) from (piece, data): arrays of equal pieces added up; a task holds one sum and one array. Twice, by a salt first."""
+    """(piece, data) from (piece, data): arrays of equal pieces added up; a task holds one sum and one array. Twice, by a salt first.
+
+    kind, into: of the numbers that come in and go out; those of negative pieces are doubles."""
 
     def run_of(kind: type):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,13 +573,13 @@ def added(parts: DataFrame, kind: type, into: type) -> DataFrame:
             for batch in batches:
                 for row in range(batch.num_rows):
                     key = batch.column("piece")[row].as_py(), batch.column("salt")[row].as_py()
-                    data = unpress(batch.column("data")[row].as_py(), kind)
+                    data = unpress(batch.column("data")[row].as_py(), kind if key[0] >= 0 else np.float64)
                     if key == now:
                         total += data
                         continue
                     if now is not None:
                         yield pa.RecordBatch.from_pydict({"piece": pa.array([now[0]], pa.int32()), "data": [press(total)]})
-                    now, total = key, data.astype(into)
+                    now, total = key, data.astype(into if key[0] >= 0 else np.float64)
             if now is not None:
                 yield pa.RecordBatch.from_pydict({"piece": pa.array([now[0]], pa.int32()), "data": [press(total)]})
 
@@ -641,15 +666,21 @@ def fitted(blocks: DataFrame, extra: DataFrame, tokens: int, distinct: int) -> M
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                n = unpress(batch.column("data")[row].as_py(), np.uint64).reshape(-1, 2).astype(np.float32)
-                yield pa.RecordBatch.from_pydict({"piece": batch.column("piece")[row : row + 1], "data": [press(packed(n[:, 0], n[:, 1]))]})
-
-    parts = stored(blocks.select("block", "held", "sizes", "tokens", "words", "hashes", "counts").mapInArrow(train, "piece int, data binary"), "lm-parts")
-    flat = added(parts.where("piece < 0"), np.float64, np.float64).collect()
-    weights = Weights.of(unpress(flat[0]["data"], np.float64)) if flat else Weights.new()
-    tables = np.full(TABLES << bits, packed(np.zeros(1, np.float32), np.zeros(1, np.float32))[0], np.uint16)
-    for row in added(parts.where("piece >= 0"), np.uint32, np.uint64).mapInArrow(finish, "piece int, data binary").collect():  # of one size for any corpus
-        tables[row["piece"] * width // 2 : (row["piece"] + 1) * width // 2] = unpress(row["data"], np.uint16)
+                data = batch.column("data")[row].as_py()
+                if batch.column("piece")[row].as_py() >= 0:
+                    n = unpress(data, np.uint64).reshape(-1, 2).astype(np.float32)
+                    data = press(packed(n[:, 0], n[:, 1]))
+                yield pa.RecordBatch.from_pydict({"piece": batch.column("piece")[row : row + 1], "data": [data]})
+
+    # a task's tables are its output, so tasks are few enough for tables to be small beside texts
+    size = blocks.agg(F.sum(F.length("tokens") + F.length("words"))).first()[0] or 0
+    parts = blocks.select("block", "held", "sizes", "tokens", "words", "hashes", "counts").coalesce(max(1, -(-size // TASK_BYTES))).mapInArrow(train, "piece int, data binary")
+    weights, tables = Weights.new(), np.full(TABLES << bits, packed(np.zeros(1, np.float32), np.zeros(1, np.float32))[0], np.uint16)
+    for row in added(parts, np.uint32, np.uint64).mapInArrow(finish, "piece int, data binary").collect():  # of one size for any corpus
+        if row["piece"] < 0:
+            weights = Weights.of(unpress(row["data"], np.float64))
+        else:
+            tables[row["piece"] * width // 2 : (row["piece"] + 1) * width // 2] = unpress(row["data"], np.uint16)
     return Model(bits, codes, lengths, tables.reshape(TABLES, -1), weights, tokens, distinct)
 
 
@@ -682,17 +713,19 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                words, hashes, _, token, sizes = block_of(batch, row)
+                get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
+                words, token, sizes = zstandard.ZstdDecompressor().decompress(get("words")), unpress(get("tokens"), np.int32), unpress(get("sizes"), np.int64)
+                hashes = hashes_of([b"", *words.split()])
                 exact = np.empty(len(hashes), np.int64)
-                exact[dealt(hashes, buckets)[0]] = np.concatenate([unpress(v, np.int64) for v in batch.column("known")[row].as_py()])
+                exact[dealt(hashes, buckets)[0]] = np.concatenate([unpress(v, np.int64) for v in get("known")])
                 total = model.value.texts(words, hashes, exact, token, sizes)
                 base = np.log10((exact + 0.5) / (N + 0.5 * (V + 1)))
                 starts = np.cumsum(sizes) - sizes
                 n_bytes = np.add.reduceat(bytes_of(words)[2][token], starts)  # the end token's size is 1
-                nulls = np.frombuffer(batch.column("nulls")[row].as_py(), bool)
+                nulls = np.frombuffer(get("nulls"), bool)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(unpress(batch.column("ids")[row].as_py(), np.int64), mask=nulls), pa.array(np.frombuffer(batch.column("held")[row].as_py(), bool)), pa.array(sizes),
+                        pa.array(unpress(get("ids"), np.int64), mask=nulls), pa.array(np.frombuffer(get("held"), bool)), pa.array(sizes),
                         pa.array(np.add.reduceat((exact > 0)[token].astype(np.int64), starts)), pa.array(np.full(len(sizes), tokens), pa.int64()), pa.array(np.add.reduceat(base[token], starts)),
                         pa.array(total), pa.array(n_bytes.astype(np.int64)), pa.array(-total * math.log2(10) / n_bytes),
                     ],
@@ -700,4 +733,4 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
                 )
 
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return blocks.join(known, "block").select("ids", "nulls", "held", "sizes", "tokens", "words", "hashes", "counts", "known").mapInArrow(run, schema)
+    return blocks.select("block", "ids", "nulls", "held", "sizes", "tokens", "words").join(known, "block").mapInArrow(run, schema)
