@@ -13,13 +13,15 @@ import sys
 from array import array
 from collections.abc import Iterable
 
-#: Pieces remembered by a worker process; later pieces are encoded each time they come up in a batch.
-MEMORY = 400_000
+#: Pieces remembered by a worker process, and half as many runs of letters; later ones are encoded each time they come up in a batch.
+MEMORY = 600_000
 #: A piece longer than this is encoded but not remembered.
 LONGEST = 64
 
 #: A piece may follow a cut only if it begins with one of these, none of which is white space to any of the libraries.
 _START = re.compile("[!-~¡-ᙿ]")
+#: Stands for the first piece of a text, which follows no space; no piece is equal to it.
+_NONE = " "
 _CUT = re.compile(" (?=[!-~¡-ᙿ])")
 #: Letters that need no normalisation but lower case, then marks that the pre-tokenizers split from letters.
 _CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -31,6 +33,18 @@ def path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _gaps(got: list[bytes | None], pieces: list[str]) -> tuple[list[int], list[str]]:
+    """Where got holds None, and the pieces there."""
+    places: list[int] = []
+    k = -1
+    try:
+        while True:
+            k = got.index(None, k + 1)
+            places.append(k)
+    except ValueError:
+        return places, [pieces[k] for k in places]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -50,8 +64,13 @@ class Encoder:
         if self.lower:
             self.core.normalizer = None
         self.lead = "" if self.lower else " "
+        # the alphabet in which the models spell bytes: ASCII letters are themselves
+        spell = self.core.pre_tokenizer.pre_tokenize_str
+        self.alphabet = {ord(c): spell(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
+        self.mark = spell(self.lead)[0][0] if self.lead else ""
         self.memory = memory
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {_NONE: b""}  # of pieces behind a space
+        self.opened: dict[str, bytes] = {}  # of pieces at the beginning of a text
         self.letters: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
@@ -65,27 +84,34 @@ class Encoder:
     def _encode(self, tokenizer, texts: list[str]) -> list[bytes]:
         return [self.packed(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+    def _spelled(self, letters: str) -> bytes:
+        """Ids of a run of letters: one word of the model, so no normaliser and no cutting is needed."""
+        if len(self.letters) >= self.memory // 2:
+            self.letters = {}
+        spelling = self.mark + (letters if letters.isascii() else letters.translate(self.alphabet))
+        ids = self.letters[letters] = self.packed([t.id for t in self.core.model.tokenize(spelling)])
+        return ids
+
+    def _marks(self, marks: str) -> bytes:
+        if len(self.marks) >= 10_000:
+            self.marks = {}
+        ids = self.marks[marks] = self._encode(self.whole, [marks])[0]
+        return ids
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that follow a space."""
-        split, rest, new = {}, [], {}
+        rest, new = [], {}
         for p in pieces:
             if m := _CORE.fullmatch(p):
                 letters, marks = m.groups()
-                split[p] = (letters.lower() if self.lower else letters, marks)
+                if self.lower:
+                    letters = letters.lower()
+                ids = self.letters.get(letters) or self._spelled(letters)
+                if marks:
+                    ids += self.marks.get(marks) or self._marks(marks)
+                new[p] = ids
             else:
                 rest.append(p)
-        if unseen := list({c for c, _ in split.values()}.difference(self.letters)):
-            if len(self.letters) + len(unseen) > self.memory:
-                self.letters = {}
-                unseen = list({c for c, _ in split.values()})
-            self.letters.update(zip(unseen, self._encode(self.core, [self.lead + c for c in unseen])))
-        if unseen := list({t for _, t in split.values()}.difference(self.marks)):
-            if len(self.marks) > 10_000:
-                self.marks = {}
-                unseen = list({t for _, t in split.values()})
-            self.marks.update(zip(unseen, self._encode(self.whole, unseen)))
-        for p, (letters, marks) in split.items():
-            new[p] = self.letters[letters] + self.marks[marks]
         new.update(zip(rest, self._encode(self.whole, [self.lead + p for p in rest])))
         if len(self.known) < self.memory:
             self.known.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST)
@@ -93,34 +119,50 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is the empty text."""
-        cut: list[list[str] | None] = []
+        get = self.known.get
+        out: list[list[bytes | None] | None] = []
+        gaps: list[tuple[list[bytes | None], list[int], list[str]]] = []  # where pieces of texts are not known, and these pieces
+        missing: set[str] = set()
         firsts: list[str] = []
         whole: list[str] = []
-        known = self.known
-        missing: set[str] = set()
         for text in texts:
             text = text or ""
             if any(a in text for a in self.added):
-                cut.append(None)
+                out.append(None)
                 whole.append(text)
                 continue
             pieces = text.split(" ")
-            absent = [p for p in pieces[1:] if p not in known]
+            firsts.append(pieces[0])
+            pieces[0] = _NONE
+            got = list(map(get, pieces))
+            places, absent = _gaps(got, pieces)
             if not all(map(_START.match, absent)):  # several spaces in a row, or other white space after one
                 pieces = _CUT.split(text)
-                absent = [p for p in pieces[1:] if p not in known]
-            missing.update(absent)
-            firsts.append(pieces[0])
-            cut.append(pieces)
-        new = self._learn(list(missing)) if missing else {}
-        opened, entire = iter(self._encode(self.whole, firsts)), iter(self._encode(self.whole, whole))
-        out = []
-        for pieces in cut:
-            if pieces is None:
-                out.append(next(entire))
+                firsts[-1], pieces[0] = pieces[0], _NONE
+                got = list(map(get, pieces))
+                places, absent = _gaps(got, pieces)
+            if places:
+                gaps.append((got, places, absent))
+                missing.update(absent)
+            out.append(got)
+        new = self._learn(missing)
+        for got, places, absent in gaps:
+            for k, p in zip(places, absent):
+                got[k] = new[p]
+        if unseen := list(set(firsts).difference(self.opened)):
+            if len(self.opened) + len(unseen) > self.memory // 8:
+                self.opened = {}
+                unseen = list(set(firsts))
+            self.opened.update(zip(unseen, self._encode(self.whole, unseen)))
+        entire, opened = iter(self._encode(self.whole, whole)), iter(firsts)
+        joined = []
+        for got in out:
+            if got is None:
+                joined.append(next(entire))
             else:
-                out.append(b"".join([next(opened), *[known[p] if p in known else new[p] for p in pieces[1:]]]))
-        return out
+                got[0] = self.opened[next(opened)]
+                joined.append(b"".join(got))
+        return joined
 
 
 _ENCODERS: dict[str, Encoder] = {}
