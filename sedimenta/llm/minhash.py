@@ -3,7 +3,7 @@
 A document's set holds its distinct word shingles; its sketch holds the K smallest hashes of the set (the whole set where it has
 no more). The steps:
 
-1. Documents with equal sets form a class, which its smallest id stands for from here on.
+1. Documents with equal sets form a class, which a number stands for from here on.
 2. Inverted lists of runs of RUN neighbouring values of the sketch find the classes that can have a partner at all.
 3. For those, values of the sketch stand by how many classes hold them, rarest first. Two sketches that must overlap in c of n
    values share one of the first n - c + 1 in any order, so only these go to inverted lists, without values of a single class.
@@ -96,8 +96,8 @@ def lists_of(arrays: list[np.ndarray | None]) -> pa.ListArray:
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str, width: int, *, sets: bool) -> DataFrame:
-    """id, n (set size), and either sig (two longs that stand for the set) and the runs' hashes, or the sketch and, where it has
-    not the whole set, the set."""
+    """id, n (set size), s1 and s2 (which stand for the set), and either the runs' hashes, or the sketch and, where it has not
+    the whole set, the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -106,24 +106,23 @@ def hashed(docs: DataFrame, id_col: str, text_col: str, width: int, *, sets: boo
                 part = batch.slice(at, 1000)
                 got = [shingler.of(t) for t in part.column("text").to_pylist()]
                 rows = {"id": part.column("id"), "n": pa.array([len(s) for s in got], pa.int64())}
+                with np.errstate(over="ignore"):
+                    rows["s1"] = pa.array([int(np.bitwise_xor.reduce(mixed(s))) >> 1 if len(s) else 0 for s in got], pa.int64())
+                    rows["s2"] = pa.array([int(mixed(s + _MIX[1]).sum(dtype=np.uint64)) >> 1 if len(s) else 0 for s in got], pa.int64())
                 if sets:
                     rows["sketch"] = lists_of([s[:K] for s in got])
                     rows["set"] = lists_of([s if len(s) > K else None for s in got])
                 else:
-                    with np.errstate(over="ignore"):
-                        rows["s1"] = pa.array([int(np.bitwise_xor.reduce(mixed(s))) >> 1 if len(s) else 0 for s in got], pa.int64())
-                        rows["s2"] = pa.array([int(mixed(s + _MIX[1]).sum(dtype=np.uint64)) >> 1 if len(s) else 0 for s in got], pa.int64())
                     rows["runs"] = lists_of([runs_of(s) if len(s) else s for s in got])
                 yield pa.RecordBatch.from_pydict(rows)
 
-    schema = "id long, n long, sketch array<long>, set array<long>" if sets else "id long, n long, s1 long, s2 long, runs array<long>"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = "id long, n long, s1 long, s2 long, " + ("sketch array<long>, set array<long>" if sets else "runs array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
 
 
-def chosen(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids. Up to SMALL ids are broadcast, so that texts stay where they are; beyond that both sides are shuffled."""
-    ids = ids.select(F.col("id").alias(id_col))
-    return docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, id_col, "left_semi")
+def chosen(docs: DataFrame, ids: DataFrame, *, small: int = SMALL) -> DataFrame:
+    """The rows of docs whose id is in ids. Up to `small` ids are broadcast, so that texts stay where they are; beyond that both sides are shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= small else ids, "id", "left_semi")
 
 
 def linked(docs: DataFrame, *, similarity: str = "0.85", width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,17 +138,26 @@ def linked(docs: DataFrame, *, similarity: str = "0.85", width: int = SHINGLE, i
     marks = stored(hashed(docs, id_col, text_col, width, sets=False), "minhash-marks")
     some = marks.where("n > 0 and id is not null")
 
-    # 1. classes of equal sets
+    # 1. classes of equal sets. A class may hold most rows: its rows meet its number in a join of two plain exchanges, whose skewed
+    # partitions Spark splits
     sig = ["s1", "s2", "n"]
-    classes = some.groupBy(*sig).agg(F.min("id").alias("rep"))
-    member = stored(some.select("id", *sig).join(classes, sig).select("id", "rep").distinct(), "minhash-members")
+    classes = stored(some.groupBy(*sig).agg(F.min("id").alias("rep")), "minhash-sets")
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("cls"), *sig, "rep"), "minhash-classes")
+    member = stored(some.select("id", *sig).join(classes.select("cls", *sig), sig).select("id", "cls").distinct(), "minhash-members")
+    # an id with several texts is in several classes, which belong together
+    several = member.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("id", "a")
+    same = member.join(several, "id").where("a < cls").select("a", F.col("cls").alias("b"))
 
     # 2. classes that share a run of sketch values with another class: lists of runs with more than one set
-    keys = some.select("id", "s1", F.explode("runs").alias("key"))
+    keys = some.select("s1", "s2", "n", F.explode("runs").alias("key"))
     common = keys.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("key")
-    maybe = keys.select("id", "key").join(common, "key", "left_semi").select("id").distinct()
-    maybe = stored(member.join(maybe, "id").select(F.col("rep").alias("id")).distinct(), "minhash-maybe")
-    pool = stored(hashed(chosen(docs, id_col, maybe), id_col, text_col, width, sets=True).dropDuplicates(["id"]), "minhash-pool")
+    maybe = keys.join(common, "key", "left_semi").select(*sig).distinct()
+    maybe = stored(classes.join(maybe, sig, "left_semi"), "minhash-maybe")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    pool = hashed(chosen(texts, maybe.select(F.col("rep").alias("id")).distinct()), "id", "text", width, sets=True)
+    # the text of an id that has several may be of another class
+    pool = pool.join(maybe.select("cls", F.col("rep").alias("id"), *sig), ["id", *sig]).dropDuplicates(["cls"])
+    pool = stored(pool.select(F.col("cls").alias("id"), "n", "sketch", "set"), "minhash-pool")
 
     # 3. values by rarity, and the inverted lists of the leading ones
     values = pool.select("id", F.explode("sketch").alias("v"))
@@ -213,10 +221,11 @@ def linked(docs: DataFrame, *, similarity: str = "0.85", width: int = SHINGLE, i
     more = confirmed(across.select(F.col("id1").alias("a"), F.col("id2").alias("b")), "minhash-across")
 
     # 6. components of classes, then of documents
-    known = components(links.unionByName(more), "minhash-last")
-    known = known.select(F.col("id").alias("rep"), "component")
-    named = member.join(known, "rep", "left").select("id", F.coalesce("component", "rep").alias("c"))
-    named = named.groupBy("id").agg(F.min("c").alias("c"))
+    known = components(links.unionByName(more).unionByName(same), "minhash-last").select(F.col("id").alias("cls"), "component")
+    whole_of = classes.select("cls", "rep").join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = whole_of.groupBy("component").agg(F.min("rep").alias("c"))
+    named = stored(whole_of.join(least, "component").select("cls", "c"), "minhash-named")
+    named = member.join(named, "cls").groupBy("id").agg(F.min("c").alias("c"))
     out = marks.select("id", "n").join(named, "id", "left")
     return out.select(
         F.col("id").alias(id_col),
