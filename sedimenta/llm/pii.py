@@ -79,7 +79,7 @@ KINDS = (
     Kind("card", CARD, "", lambda m: bind(digits(m), lambda d: F.length(d).between(13, 19) & luhn(d)), 0.1, context=("card", "visa", "credit", "mastercard")),
     Kind("phone", PHONE, "+", lambda m: F.length(digits(m)).between(9, 15), 0.1, context=("phone", "tel", "call", "mobile", "fax")),
     Kind("iban", IBAN, "", mod97, 0.2, context=("iban", "account", "konto", "compte", "cuenta")),
-    Kind("secret", SECRET, "", None, 0.2, context=("token", "secret", "key", "password", "passwd", "api")),
+    Kind("secret", SECRET, "", None, 0.2, context=("token", "secret", "key", "password", "passwd", "pwd", "api", "apikey", "credential")),
     Kind("ssn", SSN, "-", None, 0.2, context=("ssn", "social security", "tax id", "insurance")),
 )
 BASE = ("email", "ip", "card", "phone")
@@ -96,15 +96,18 @@ def spans_of(text: Column, kind: Kind) -> Column:
 
     def joined(a: Column, b: Column, cut) -> Column:
         """The strings of a and b in turn, each cut to what a window can need of it."""
-        return F.array_join(F.zip_with(a, b, lambda x, y: F.concat(cut(x, F.lit(WINDOW)), cut(y, F.lit(WINDOW)))), "")
+        return F.array_join(F.zip_with(a, b, lambda x, y: F.concat(cut(x, F.lit(WINDOW + 1)), cut(y, F.lit(WINDOW + 1)))), "")
 
     def near(pieces: Column, matches: Column, i: Column) -> Column:
         """Whether a context word stands in the window on the left or on the right of match i."""
-        first, n = F.greatest(i - WINDOW, F.lit(0)), F.greatest(F.least(F.size(matches) - 1 - i, F.lit(WINDOW)), F.lit(0))
-        left = F.concat(joined(F.slice(pieces, first + 1, i - first), F.slice(matches, first + 1, i - first), F.right), F.right(F.get(pieces, i), F.lit(WINDOW)))
-        right = F.concat(F.left(F.get(pieces, i + 1), F.lit(WINDOW)), joined(F.slice(matches, i + 2, n), F.slice(pieces, i + 3, n), F.left))
-        sides = F.array(F.lower(F.right(left, F.lit(WINDOW))), F.lower(F.left(right, F.lit(WINDOW))))
-        return F.exists(sides, lambda side: F.exists(F.array(*map(F.lit, kind.context)), lambda w: F.contains(side, w)))
+        first, n = F.greatest(i - WINDOW - 1, F.lit(0)), F.greatest(F.least(F.size(matches) - 1 - i, F.lit(WINDOW + 1)), F.lit(0))
+        left = F.concat(joined(F.slice(pieces, first + 1, i - first), F.slice(matches, first + 1, i - first), F.right), F.right(F.get(pieces, i), F.lit(WINDOW + 1)))
+        right = F.concat(F.left(F.get(pieces, i + 1), F.lit(WINDOW + 1)), joined(F.slice(matches, i + 2, n), F.slice(pieces, i + 3, n), F.left))
+        # a word that the window cuts is no context, nor is a part of a longer word: each side is taken with one more code point
+        longer = F.lit(WINDOW + 1)
+        left = bind(F.right(left, longer), lambda t: F.when(F.length(t) > WINDOW, F.regexp_replace(t, r"^[^\p{L}]|^\p{L}+", "")).otherwise(t))
+        right = bind(F.left(right, longer), lambda t: F.when(F.length(t) > WINDOW, F.regexp_replace(t, r"(?:[^\p{L}]|\p{L}+)$", "")).otherwise(t))
+        return F.exists(F.array(left, right), lambda side: F.regexp_like(side, F.lit(rf"(?i)(?<!\p{{L}})(?:{'|'.join(kind.context)})s?(?!\p{{L}})")))
 
     def located(pieces: Column, matches: Column) -> Column:
         state = lambda at: F.struct(at.alias("at"), empty.alias("found"))
@@ -144,9 +147,12 @@ def spans_of(text: Column, kind: Kind) -> Column:
 def find(docs: DataFrame, *, text_col: str = "text", out: str = "pii") -> DataFrame:
     """docs with the column `out`: all spans (kind, start, end, score), by kind as in KINDS and then by start.
 
-    A null or empty text has none. Every row is treated by itself, so repeated rows give repeated results.
+    A null or empty text has none. Every row is treated by itself, so repeated rows give repeated results. A column named `out`
+    must not be there yet.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    if out.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column {out} already")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.withColumn(out, F.concat(*[spans_of(text, kind) for kind in KINDS]))
 
 
@@ -161,8 +167,13 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, *, text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
     """docs with each span replaced by its kind in angle brackets; of overlapping spans the union is replaced, named
-    by the first. A null text stays null; n_chars_col, where there is such a column, is counted anew."""
-    found = find(docs, text_col=text_col, out="pii_spans")
+    by the first. A null text stays null; n_chars_col, where there is such a column, is counted anew. Other columns stay as they are,
+    whatever their names."""
+    out = "pii_spans"
+    while out.lower() in map(str.lower, docs.columns):
+        out += "_"
+    found = find(docs, text_col=text_col, out=out)
+    text = F.col(f"`{text_col}`")
 
     def rebuild(text: Column, spans: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -175,9 +186,9 @@ def redact(docs: DataFrame, *, text_col: str = "text", n_chars_col: str | None =
 
         return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
 
-    by_start = F.sort_array(F.transform(F.col("pii_spans"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("far"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    new = F.when(F.size("pii_spans") == 0, F.col(text_col)).otherwise(bind(by_start, lambda spans: rebuild(F.col(text_col), spans)))
-    out = found.withColumn(text_col, new).drop("pii_spans")
+    by_start = F.sort_array(F.transform(F.col(out), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("far"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    new = F.when(F.size(out) == 0, text).otherwise(bind(by_start, lambda spans: rebuild(text, spans)))
+    clean = found.withColumn(text_col, new).drop(out)
     if n_chars_col and n_chars_col in docs.columns:
-        out = out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType))
-    return out
+        clean = clean.withColumn(n_chars_col, F.length(text).cast(docs.schema[n_chars_col].dataType))
+    return clean
