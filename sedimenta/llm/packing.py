@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts_for
 from .tokens import encoder
 
 LENGTH = 2048
@@ -114,12 +115,13 @@ def pack(
 
     A document's ids (its text's, then end_id; a null text is empty) are cut at multiples of `length`; whole sequences stand
     alone and the rest is packed within a group of documents drawn by a hash of id and text. Rows with equal ids
-    are separate documents with equal doc_id. sequence_id is the group's number times 2**32 plus the number in the group.
+    are separate documents with equal doc_id; copies of one document are in one group and may share a sequence. A group in which
+    copies leave more than 4 * GROUP rests is packed in turns of so many. sequence_id is the group's number times 2**32 plus the number
+    in the group. Other columns are not read, whatever their names. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(1, -(-docs.count() // GROUP))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    n, parts = parts_for(rows, "text")
+    groups = max(1, -(-n // GROUP))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("long"))
     rows = rows.repartition(parts, "g").sortWithinPartitions("g", "id")
     end = struct.pack("<I", end_id)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import parts_for, shared_dir, stored
 from .tokens import encoder
 
 FRAME_IDS = 1 << 16
@@ -148,9 +148,8 @@ def write(docs: DataFrame, folder: str, *, file: str, end_id: int, id_col: str =
     empty: one end id. A file is written under another name and moved into place, so a task that runs again or twice leaves
     one whole file. An empty table gives an empty manifest.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    _, parts = parts_for(rows, "text")
     rows = rows.repartitionByRange(parts, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h", "text").select("id", "text")
     end = struct.pack("<I", end_id)
 
@@ -198,7 +197,7 @@ def read(manifest: DataFrame) -> DataFrame:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "n_tokens", "ids"])
                             rows, size = [], 0
 
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())
     return manifest.repartition(parts).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
