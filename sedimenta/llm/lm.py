@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -503,6 +504,18 @@ def unpress(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
 
 
+@contextmanager
+def one_by_one(spark):
+    """Blocks are rows of some megabytes: jobs that run inside hand them to Python a few at a time, not by thousands."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before_ = spark.conf.get(setting)
+    spark.conf.set(setting, "4")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before_)
+
+
 BLOCK = "block long, ids binary, nulls binary, held binary, sizes binary, tokens binary, words binary, hashes binary, counts binary, n long"
 
 
@@ -706,8 +719,9 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), held.alias("held"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     everything = stored(blocks_of(rows), "lm-blocks")
     blocks, extra = everything.where("block >= 0"), everything.where("block < 0")
-    known, tokens, distinct, buckets = exact_counts(blocks)
-    model = spark.sparkContext.broadcast(fitted(blocks, extra, tokens, distinct))
+    with one_by_one(spark):
+        known, tokens, distinct, buckets = exact_counts(blocks)
+        model = spark.sparkContext.broadcast(fitted(blocks, extra, tokens, distinct))
     N, V = float(tokens), float(distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -733,4 +747,5 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
                 )
 
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return blocks.select("block", "ids", "nulls", "held", "sizes", "tokens", "words").join(known, "block").mapInArrow(run, schema)
+    with one_by_one(spark):
+        return stored(blocks.select("block", "ids", "nulls", "held", "sizes", "tokens", "words").join(known, "block").mapInArrow(run, schema), "lm-scores")
