@@ -484,9 +484,11 @@ class Model:
         options = []
         for counted, repeated in SHARES:
             counted = counted if self.tokens else 0.0
-            p = counted * share + (1 - counted) * bits
-            p = np.where(since > 0, repeated * past + (1 - repeated) * p, p)
-            options.append(np.add.reduceat(np.log(np.maximum(p, 1e-300)), starts))
+            spelt = np.where(since > 0, (1 - repeated) * (1 - counted), 1 - counted)
+            other = np.where(since > 0, repeated * past + (1 - repeated) * counted * share, counted * share)
+            # a word of hundreds of bytes may be too unlikely for a double: its logarithm is added then
+            p = np.log(np.maximum(other + spelt * bits, 1e-300))
+            options.append(np.add.reduceat(np.where((other == 0) & (logs < -600), np.log(spelt) + logs, p), starts))
         options = np.stack(options)
         top = options.max(axis=0)
         return (top + np.log(np.exp(options - top).mean(axis=0))) / math.log(10)

@@ -12,8 +12,9 @@ from .common import SPACE_CHARS, bind, fold, stored, words
 #: Measures whose thresholds the rules use.
 MEASURES = ("q_words", "q_word_len", "q_symbols", "q_dup_lines", "q_repeats", "q_upper", "q_marks", "q_digits", "q_bars")
 EDGES = 16  # quantiles of each class at which a threshold may lie
-MAX_RULES = 12
-MAX_LITERALS = 3
+MAX_RULES = 12  # of a list
+MAX_FAILED = 4  # rules that may turn out not to be precise before learning ends
+MAX_LITERALS = 3  # thresholds of a rule
 SAMPLE = 50_000  # labelled rows that teach the rules, at most
 MIN_COVER = 5  # labelled rows that a rule must reject
 PRECISION = 0.9  # of a rule, on the rows held out for pruning
@@ -141,7 +142,8 @@ def learn(labelled: DataFrame, reject_col: str) -> DecisionList:
 
     Sequential covering: a rule grows by the threshold that most raises the weighted log odds (FOIL gain) on growing rows, until
     it rejects no row to keep or has MAX_LITERALS; it is pruned to the leading literals that do best on rows held out
-    for pruning; it stays if it is precise there, and what it rejects is put aside. Only counts by measure and
+    for pruning; it stays if it is precise there, and what it rejects is put aside. A rule that is not precise is dropped and the next
+    one begins with another threshold, until MAX_FAILED were dropped. Only counts by measure and
     threshold come to the driver: at most 2 * EDGES for each measure.
     """
     edges: dict[str, list[float]] = {m: [] for m in MEASURES}
@@ -169,8 +171,8 @@ def learn(labelled: DataFrame, reject_col: str) -> DecisionList:
     import math
 
     rules: list[Rule] = []
-    left = coded
-    while len(rules) < MAX_RULES:
+    left, failed = coded, set()
+    while len(rules) < MAX_RULES and len(failed) < MAX_FAILED:
         body: list[Literal] = []
         rows = left
         while len(body) < MAX_LITERALS:
@@ -184,7 +186,7 @@ def learn(labelled: DataFrame, reject_col: str) -> DecisionList:
                 for edge, (dp, dn) in zip(edges[m], hist[m]):  # the rows at most edge
                     p, n = p + dp, n + dn
                     for above, q, k in ((False, p, n), (True, p0 - p, n0 - n)):
-                        if q >= MIN_COVER and (g := q * (math.log((q + 1) / (q + k + 2)) - math.log((p0 + 1) / (p0 + n0 + 2)))) > gain:
+                        if q >= MIN_COVER and (body or (m, above, edge) not in failed) and (g := q * (math.log((q + 1) / (q + k + 2)) - math.log((p0 + 1) / (p0 + n0 + 2)))) > gain:
                             best, gain = Literal(m, above, edge), g
             if best is None:
                 break
@@ -201,7 +203,8 @@ def learn(labelled: DataFrame, reject_col: str) -> DecisionList:
         k = worth.index(max(worth))
         rule = Rule(tuple(body[: k + 1]), seen[f"p{k}"], seen[f"n{k}"])
         if rule.right + 1 < PRECISION * (rule.right + rule.wrong + 1) or rule.right == 0:
-            break
+            failed.add((body[0].measure, body[0].above, body[0].edge))
+            continue
         rules.append(rule)
         left = left.where(~rule.column())
     return DecisionList(rules)

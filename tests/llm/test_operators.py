@@ -359,21 +359,11 @@ def test_lm(spark, docs, rows, empty):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(train[x] > 0 for x in w), n)
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
         assert abs(r.base_score - sum(math.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)) < 1e-6 * len(w)
-        assert r.score < 0
+        assert r.score < 0 and r.n_bytes == sum(len(x.encode()) + 1 for x in w[:-1]) + 1
+        assert abs(r.bits_per_byte + r.score * math.log2(10) / r.n_bytes) < 1e-9
     assert lm.scored(empty).count() == 0
 
 
-def test_spelling_is_a_distribution():
-    """Over all continuations of a byte the probabilities add up to one."""
-    into = np.zeros((len(lm.ORDERS), 2, lm.SLOTS))
-    lm.counted(["abc", "abd", "xyz"], into)
-    s = lm.speller(into, ["abc", "abd", "xyz"])
-    total = 0.0
-    p = s.log2([f"{chr(a)}" for a in range(33, 127)])
-    total = np.exp2(p).sum()
-    assert 0 < total < 1
-
-
 def test_chat(spark):
     data = [
         (1, 0, "user", "How do I sort a list?\n\nI tried sorted."),
