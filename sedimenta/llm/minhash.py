@@ -149,15 +149,15 @@ def linked(docs: DataFrame, *, similarity: str = "0.85", width: int = SHINGLE, i
     same = member.join(several, "id").where("a < cls").select("a", F.col("cls").alias("b"))
 
     # 2. classes that share a run of sketch values with another class: lists of runs with more than one set
-    keys = some.select("s1", "s2", "n", F.explode("runs").alias("key"))
+    keys = some.select("id", "s1", F.explode("runs").alias("key"))
     common = keys.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("key")
-    maybe = keys.join(common, "key", "left_semi").select(*sig).distinct()
-    maybe = stored(classes.join(maybe, sig, "left_semi"), "minhash-maybe")
+    maybe = keys.select("id", "key").join(common, "key", "left_semi").select("id").distinct()
+    maybe = stored(classes.join(member.join(maybe, "id").select("cls").distinct(), "cls"), "minhash-maybe")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     pool = hashed(chosen(texts, maybe.select(F.col("rep").alias("id")).distinct()), "id", "text", width, sets=True)
     # the text of an id that has several may be of another class
     pool = pool.join(maybe.select("cls", F.col("rep").alias("id"), *sig), ["id", *sig]).dropDuplicates(["cls"])
-    pool = stored(pool.select(F.col("cls").alias("id"), "n", "sketch", "set"), "minhash-pool")
+    pool = stored(pool.select(F.col("cls").alias("id"), F.col("id").alias("rep"), "n", "sketch", "set"), "minhash-pool")
 
     # 3. values by rarity, and the inverted lists of the leading ones
     values = pool.select("id", F.explode("sketch").alias("v"))
@@ -167,11 +167,11 @@ def linked(docs: DataFrame, *, similarity: str = "0.85", width: int = SHINGLE, i
     whole = F.ceil(size * F.lit(tf) - 1e-9)
     sampled = F.greatest(F.lit(1), F.floor(size * F.lit(tf) - SLACK * F.sqrt(size * F.lit(tf * (1 - tf)))))
     need = F.when(F.col("n") * t.denominator <= K * t.numerator, whole).otherwise(sampled).cast("int")
-    sizes = pool.select("id", "n", size.alias("k"), need.alias("c"))
+    sizes = pool.select("id", "rep", "n", size.alias("k"), need.alias("c"))
     ranked = values.join(held, "v").join(sizes, "id")
     by_rarity = Window.partitionBy("id").orderBy("df", "v")
     single = F.col("k") - F.count("*").over(Window.partitionBy("id"))  # values of this class alone stand first
-    lists = ranked.withColumn("at", single + F.row_number().over(by_rarity) - 1).where("at <= k - c").select("v", "id", "n", "k", "at")
+    lists = ranked.withColumn("at", single + F.row_number().over(by_rarity) - 1).where("at <= k - c").select("v", "id", "rep", "n", "k", "at")
     lists = stored(lists, "minhash-lists")
 
     sets = pool.select("id", F.coalesce("set", "sketch").alias("set"))
@@ -194,9 +194,9 @@ def linked(docs: DataFrame, *, similarity: str = "0.85", width: int = SHINGLE, i
         full = full.where(F.col("i") * t.denominator >= (F.size("x") + F.size("y") - F.col("i")) * t.numerator)
         return stored(full.select("a", "b"), name)
 
-    # 4. every list's members with its smallest
-    heads = lists.groupBy("v").agg(F.min(F.struct("id", "n")).alias("head"))
-    stars = lists.join(heads, "v").where(F.col("id") > F.col("head.id"))
+    # 4. every list's members with its smallest by document id, which copies of one text tend to have in common
+    heads = lists.groupBy("v").agg(F.min(F.struct("rep", "id", "n")).alias("head"))
+    stars = lists.join(heads, "v").where(F.col("id") != F.col("head.id"))
     links = confirmed(stars.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb")), "minhash-stars")
     first = components(links, "minhash-first")
 
