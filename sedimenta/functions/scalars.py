@@ -69,9 +69,66 @@ def changed_lines(old: Column, new: Column) -> Column:
     return F.filter(F.transform(both, lambda d, i: F.when(d, i + 1)), lambda i: i.isNotNull())
 
 
-def change_type(files: Column, additions: Column, deletions: Column, tests: Column, docs: Column) -> Column:
-    """The kind of a change: tests, docs, refactoring (twice as much deleted as added), feature or fix; the first that fits."""
-    return F.when(tests, "test").when(docs, "docs").when(deletions > additions * 2, "refactor").when((files <= 3) & (additions + deletions < 50), "fix").when(additions > deletions, "feat").otherwise("refactor")
+#: Which paths make a change one of tests, documents, configuration or builds.
+TEST_PATH, DOCS_PATH = r"test|spec", r"\.md$|^docs/"
+CHORE_PATH, CI_PATH = r"\.toml$|\.json$|^\.github/", r"\.github/workflows|\.gitlab-ci|^Dockerfile$"
+
+
+def change_type(paths: Column, statuses: Column, additions: Column, deletions: Column) -> Column:
+    """The kind of a change from the paths and statuses (arrays) of its files: any test file, any document, any configuration or build
+    file; then mostly deletions, a new file, few lines in at most three files; the first that fits."""
+    holds = lambda pattern: F.exists(paths, lambda p: p.rlike(pattern))
+    return (
+        F.when(holds(TEST_PATH), "test").when(holds(DOCS_PATH), "docs").when(holds(CHORE_PATH), "chore").when(holds(CI_PATH), "ci")
+        .when(deletions > additions * 2, "refactor").when(F.array_contains(statuses, "added"), "feat")
+        .when((F.size(paths) <= 3) & (additions + deletions < 50), "fix").otherwise("refactor")
+    )
+
+
+def change_summary(kind: Column, statuses: Column) -> Column:
+    """One sentence on a change."""
+    n = lambda status: F.size(F.filter(statuses, lambda s: s == status))
+    files = F.size(statuses)
+    said = lambda text: F.format_string(text, files)
+    cleanup = F.format_string("Code refactoring with cleanup (%d files modified, %d removed)", n("modified"), n("deleted"))
+    return (
+        F.when((kind == "feat") & (n("added") > 0), said("New functionality added across %d file(s)")).when(kind == "feat", said("Feature enhancement in %d file(s)"))
+        .when(kind == "fix", said("Bug fix in %d file(s)")).when((kind == "refactor") & (n("deleted") > 0), cleanup).when(kind == "refactor", said("Code refactoring in %d file(s)"))
+        .when(kind == "docs", said("Documentation update for %d file(s)")).when(kind == "test", said("Test updates in %d file(s)"))
+        .when(kind == "chore", said("Build/config changes in %d file(s)")).when(kind == "ci", F.lit("CI/CD pipeline updates")).otherwise(said("Changes in %d file(s)"))
+    )
+
+
+#: Modules that a Python import may take from the standard library.
+STDLIB = frozenset(
+    """abc argparse ast asyncio base64 collections contextlib copy csv ctypes dataclasses datetime decimal difflib email enum functools glob
+    hashlib hmac html http importlib inspect io itertools json logging math multiprocessing operator os pathlib pickle platform pprint queue
+    random re secrets shutil signal socket sqlite3 ssl string struct subprocess sys tempfile textwrap threading time timeit traceback typing
+    unittest urllib uuid warnings weakref xml zipfile zlib builtins codecs concurrent configparser dis fractions ftplib getpass grp gzip heapq
+    ipaddress lzma mimetypes numbers posixpath pwd selectors shelve smtplib statistics sysconfig tarfile tkinter trace types unicodedata""".split()
+)
+
+
+def likely_stdlib(module: Column) -> Column:
+    return F.split(module, r"\.")[0].isin(sorted(STDLIB))
+
+
+def strip_json_comments(text: Column) -> Column:
+    """JSON without line and block comments; strings stay as they are."""
+    return F.regexp_replace(text, r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', "$1")
+
+
+def truncate_utf8(text: Column, n: int) -> Column:
+    """The longest beginning of a text that takes at most n bytes and ends with a whole character."""
+    data = text.cast("binary")
+    # a byte that goes on with a character is 80 to BF: the cut moves back until the next byte begins one
+    goes_on = lambda at: F.hex(F.substring(data, at, 1)).rlike("^[89AB]")
+    cut = F.when(~goes_on(n + 1), n).when(~goes_on(n), n - 1).when(~goes_on(n - 1), n - 2).otherwise(n - 3)
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.substring(data, F.lit(1), cut).cast("string"))
+
+
+def file_stem(path: Column) -> Column:
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
 
 
 def complexity(files: Column, lines: Column) -> Column:

@@ -6,17 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, the largest by its other columns in their order; a null key is a key like others."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    top = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("top"))
+    return top.select(*[F.col(c) if c in keys else F.col(f"top.{c}").alias(c) for c in rows.columns])
+
+
+def same_keys(keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}"))
+    return on
+
+
 def merge(old: DataFrame, new: DataFrame, keys: list[str], combine: dict[str, Column] | None = None) -> DataFrame:
-    """Rows of new replace rows of old with equal keys. combine: by column, an expression over old.<c> and new.<c> for rows in both."""
+    """Rows of new replace rows of old with equal keys, null being equal to null. combine: by column, an expression over old.<c> and
+    new.<c> for rows in both. Of several new rows with one key the largest counts; old rows without a new one stay, repeated or not."""
+    new = one_per_key(new.select(*old.columns), keys)
     if not combine:
-        return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
-    o, n = old.alias("old"), new.alias("new")
-    on = None
-    for k in keys:
-        c = F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}"))
-        on = c if on is None else on & c
-    both = o.join(n, on, "full_outer")
-    fresh, gone = F.col(f"old.{keys[0]}").isNull(), F.col(f"new.{keys[0]}").isNull()
+        return old.alias("old").join(new.alias("new"), same_keys(keys), "left_anti").unionByName(new)
+    o, n = old.withColumn("in_old", F.lit(True)).alias("old"), new.withColumn("in_new", F.lit(True)).alias("new")
+    both = o.join(n, same_keys(keys), "full_outer")
+    fresh, gone = F.col("in_old").isNull(), F.col("in_new").isNull()
     pick = lambda c: F.when(fresh, F.col(f"new.{c}")).when(gone, F.col(f"old.{c}")).otherwise(combine.get(c, F.col(f"new.{c}")))
     return both.select(*[pick(c).alias(c) for c in old.columns])
 
@@ -50,9 +64,35 @@ def recovered(queue: DataFrame) -> DataFrame:
 
 
 def popped(queue: DataFrame, n: int = 1) -> DataFrame:
+    """The next n pending rows."""
     return queue.where("status = 'pending'").orderBy(F.desc("priority"), "created_at", "file_id").limit(n)
 
 
+def moved(queue: DataFrame, rows: DataFrame, status: str) -> DataFrame:
+    """The queue with those rows (by file_id) that are not done yet in another status: processing when popped, then completed or failed."""
+    named = rows.select("file_id").distinct().withColumn("named", F.lit(True))
+    here = F.col("named") & F.col("status").isin("pending", "processing")
+    return queue.join(named, "file_id", "left").withColumn("status", F.when(here, F.lit(status)).otherwise(F.col("status"))).select(*queue.columns)
+
+
+def cascade(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Tables (each with the name of its reference to `key`) without the rows that refer to deleted keys."""
+    keys = gone.select(F.col(key).alias("gone_key")).distinct()
+    return {name: t.join(keys, F.col(column) == F.col("gone_key"), "left_anti") for name, (t, column) in tables.items()}
+
+
+def compacted(table: DataFrame, rows_per_file: int, *, n_rows: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """The same rows in as few partitions as hold about rows_per_file each, sorted by `by`, ready to be written anew."""
+    n = table.count() if n_rows is None else n_rows
+    parts = max(1, -(-n // rows_per_file))
+    return table.repartitionByRange(parts, *by).sortWithinPartitions(*by) if by else table.repartition(parts)
+
+
+def model_checked(cache: DataFrame, stored_model: str | None, model: str) -> DataFrame:
+    """The cache, or none of it where it was made by another model."""
+    return cache if stored_model == model else cache.where("false")
+
+
 class VersionedTable:
     """A table as numbered Parquet versions and a pointer to the current one.
 

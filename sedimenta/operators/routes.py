@@ -57,21 +57,55 @@ def frontend_calls(lines: DataFrame) -> DataFrame:
     return rows.withColumn("pattern", F.regexp_replace("path", r"\$\{[^}]+\}", ":param"))
 
 
-#: Signs of a side in a file's text.
-SIGNS = {
-    "backend": ("axum", "actix", "express(", "fastapi", "flask", "sqlx", "@Controller"),
-    "frontend": ("react", "vue", "axios", "document.", "useState", "createApp"),
-}
-
-
-def domain_by_imports(content: Column) -> Column:
-    """The side with more signs in the text; null without any, backend when they are equal."""
-    count = {side: reduce(lambda x, y: x + y, [F.contains(content, F.lit(s)).cast("int") for s in signs]) for side, signs in SIGNS.items()}
-    return F.when(count["backend"] + count["frontend"] == 0, None).when(count["backend"] >= count["frontend"], "backend").otherwise("frontend")
+#: By extension, what a text must contain, the technology's name (null: none), the side and its points.
+MARKS = {
+    ("rs",): (("rust", 10), [(("use axum",), "axum", "rust", 5), (("use actix",), "actix", "rust", 5), (("use sqlx",), "sqlx", "rust", 3), (("use diesel",), "diesel", "rust", 3), (("use tokio",), "tokio", None, 0), (("use serde",), "serde", None, 0)]),
+    ("py",): (("python", 10), [((f"import {m}", f"from {m}"), m, "python" if n else None, n) for m, n in (("fastapi", 5), ("django", 5), ("flask", 5), ("sqlalchemy", 3), ("asyncio", 0), ("pydantic", 0), ("pytest", 0))]),
+    ("ts", "tsx", "js", "jsx", "vue"): (None, [
+        (("from 'vue'", 'from "vue"'), "vue", "frontend", 10), (("from 'react'", 'from "react"'), "react", "frontend", 10), (("from 'svelte'",), "svelte", "frontend", 10), (("@tailwind", "tailwindcss"), "tailwindcss", "frontend", 3),
+        (("from 'express'", "require('express')"), "express", "rust", 10), (("from '@nestjs",), "nestjs", "rust", 10), (("from 'pg'", "from 'mysql'"), None, "rust", 5), (("from 'axios'", "from 'ky'"), None, "frontend", 2),
+    ]),
+}
+SIDES = ("rust", "python", "frontend")
+#: The side that an extension alone tells.
+BY_EXTENSION = {"rs": "rust", "py": "python", "vue": "frontend", "tsx": "frontend", "jsx": "frontend", "sql": "rust", "dockerfile": "ops", "yaml": "ops", "yml": "ops"}
+
+
+def extension(path: Column) -> Column:
+    return F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)
+
+
+def domain_by_extension(path: Column) -> Column:
+    return reduce(lambda out, pair: F.when(extension(path) == pair[0], pair[1]).otherwise(out), BY_EXTENSION.items(), F.lit("unknown"))
+
+
+def marked(content: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x | y, [F.contains(content, F.lit(w)) for w in words])
+
+
+def domain_by_imports(content: Column, ext: Column) -> Column:
+    """The side with more points than each other one; unknown without such a side."""
+    points = {side: F.lit(0) for side in SIDES}
+    for exts, (start, marks) in MARKS.items():
+        here = ext.isin(*exts)
+        if start:
+            points[start[0]] = points[start[0]] + F.when(here, start[1]).otherwise(0)
+        for words, _, side, n in marks:
+            if side:
+                points[side] = points[side] + F.when(here & marked(content, words), n).otherwise(0)
+    out = F.lit("unknown")
+    for side in reversed(SIDES):
+        best = points[side] > 0
+        for other in SIDES:
+            if other != side:
+                best = best & (points[side] > points[other])
+        out = F.when(best, side).otherwise(out)
+    return out
 
 
-def tech_stack(content: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(F.contains(content, F.lit(s)), F.lit(s.strip("(.@").lower())) for signs in SIGNS.values() for s in signs]))
+def tech_stack(content: Column, ext: Column) -> Column:
+    """Names of technologies that a text imports, in the order in which they are looked for."""
+    return F.array_compact(F.array(*[F.when(ext.isin(*exts) & marked(content, words), name) for exts, (_, marks) in MARKS.items() for words, name, _, _ in marks if name]))
 
 
 def merge_ranges(ranges: DataFrame) -> DataFrame:

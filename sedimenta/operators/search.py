@@ -137,12 +137,39 @@ def confidence(*signals: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sqrt(var)))
 
 
-def reason(vector: Column, path: Column, syms: Column, summary: Column, recency: Column) -> Column:
-    parts = [
-        F.when(vector > 0.28, F.lit("strong semantic match")), F.when(path > 0.20, F.lit("path match")), F.when(syms > 0.15, F.lit("symbol match")),
-        F.when(summary > 0.12, F.lit("summary match")), F.when(recency > 1, F.lit("recently changed")),
-    ]
-    return F.concat_ws(", ", *parts)
+def relevance(vector: Column, path: Column, symbols: Column, summary: Column, weights: Column, recency: Column, size: Column) -> tuple[Column, Column]:
+    """(base, final): the weighted sum of the signals, and the same with recency and size, within 0 and 1."""
+    base = vector * weights["vector"] + path * weights["path"] + symbols * weights["symbols"] + summary * weights["summary"]
+    return base, F.least(F.greatest(base * recency * size, F.lit(0.0)), F.lit(1.0))
+
+
+def some_names(names: Column) -> Column:
+    return F.concat(F.lit("contains relevant symbols ("), F.array_join(F.slice(names, 1, 3), ", "), F.lit(")"))
+
+
+def told(*parts: Column) -> Column:
+    text = F.concat_ws(", ", *parts)
+    return F.when(text == "", "found in search results").otherwise(text)
+
+
+#: Thresholds above which a signal is named.
+def reason(base: Column, weights: Column, names: Column, recency: Column, sure: Column) -> Column:
+    """Why a file was selected: each weight's part of the base score, recency and confidence (see confidence())."""
+    part = {k: base * weights[k] for k in ("vector", "path", "symbols", "summary")}
+    return told(
+        F.when(part["vector"] > 0.28, "high semantic similarity").when(part["vector"] > 0.20, "good semantic match"),
+        F.when(part["path"] > 0.12, "path matches query"),
+        F.when((part["symbols"] > 0.15) & (F.size(names) > 0), some_names(names)),
+        F.when(part["summary"] > 0.10, "summary matches query"), F.when(recency > 1.0, "recently modified"), F.when(sure > 0.8, "high confidence"),
+    )
+
+
+def plain_reason(vector: Column, path: Column, symbols: Column, summary: Column, names: Column) -> Column:
+    """The older form, from the signals themselves."""
+    return told(
+        F.when(vector > 0.7, "high semantic similarity").when(vector > 0.5, "good semantic match"), F.when(path > 0.3, "path matches query keywords"),
+        F.when((symbols > 0.5) & (F.size(names) > 0), some_names(names)), F.when(summary > 0.5, "summary matches query"),
+    )
 
 
 def preview(content: Column) -> Column:
@@ -151,16 +178,41 @@ def preview(content: Column) -> Column:
     return F.concat(F.array_join(F.slice(parts, 1, 3), "\n"), F.when(F.size(parts) > 3, F.lit("...")).otherwise(F.lit("")))
 
 
-def match_reason(line: Column) -> Column:
-    t = F.ltrim(line)
+def match_reason(content: Column, symbol: Column, kind: Column, query: str) -> Column:
+    """What of a hit holds the query: its symbol's name (by kind), the beginning of a doc comment, a text with imports, one with type
+    definitions, or just its text."""
+    q = F.lit(query.lower())
+    inside = lambda text: F.coalesce(F.contains(F.lower(text), q), F.lit(False))
+    any_of = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(content, w))
+    name = F.when(kind == "function", "FunctionName").when(kind.isin("struct", "class"), "ClassName").when(kind.isin("enum", "trait", "interface"), "TypeDefinition").otherwise("SymbolName")
+    place = F.coalesce(*[F.nullif(F.position(F.lit(mark), content), F.lit(0)) for mark in ("///", "/**", '"""')])
+    comment = F.substr(content, place, F.lit(200))
     return (
-        F.when(t.rlike(r"^(pub |async )*(fn|def|function|func) "), "FunctionName")
-        .when(t.rlike(r"^(pub |export )*(class|struct|interface) "), "ClassName")
-        .when(t.rlike(r"^(pub |export )*(type|enum) "), "TypeDefinition")
-        .when(t.rlike(r"^(///|//!|\*|#)"), "DocComment")
-        .when(t.rlike(r"^(use|import|from) "), "ImportStatement")
-        .otherwise("CodeContent")
-    )
+        F.when(inside(symbol), name).when(F.coalesce(inside(comment), F.lit(False)), "DocComment")
+        .when(any_of("use ", "import ", "from ") & inside(content), "ImportStatement")
+        .when(any_of("struct ", "enum ", "class ", "interface ", "type ") & inside(content), "TypeDefinition").otherwise("CodeContent")
+    )
+
+
+#: How a declaration names what it declares, in the order in which they are looked for.
+DECLARED = (r"\sfn [^\p{L}\p{N}_]*([^(<]+)[(<]", r"^(?:export )?function\s+(\S*?)\(*(?:\s|$)", r"const (.*?) = ", r"^def ([^(]*)", r"class (.*?)[ {(<]", r"(?:struct|enum) (.*?)[ {<]")
+
+
+def declared_name(content: Column) -> Column:
+    """The name that one of the first five lines declares; null without one."""
+    lines = F.transform(F.slice(F.split(content, "\n", -1), 1, 5), lambda t: F.trim(t))
+
+    def name(line: Column) -> Column:
+        got = [F.nullif(F.trim(F.regexp_extract(line, p, 1)), F.lit("")) for p in DECLARED]
+        return F.coalesce(*got)
+
+    return F.get(F.filter(F.transform(lines, name), lambda x: x.isNotNull()), F.lit(0))
+
+
+def sanitised(query: Column) -> Column:
+    """A phrase for the keyword index: trimmed, quotes doubled, quoted; null for an empty query, which finds nothing."""
+    q = F.trim(query)
+    return F.when(q != "", F.concat(F.lit('"'), F.replace(q, F.lit('"'), F.lit('""')), F.lit('"')))
 
 
 def ivf_assign(vectors: DataFrame, centroids: list[list[float]], *, vector_col: str = "embedding") -> DataFrame:

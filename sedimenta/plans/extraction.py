@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from sedimenta.operators import extract as x
 from sedimenta.operators import routes as r
-from sedimenta.operators import search as s
 from sedimenta.sources import adapters as a
 
 from .registry import query
@@ -145,8 +144,3 @@ def component_meta(spark, d):
     text = F.concat(F.lit("<script setup>defineProps<{ size: number; q"), s, F.lit("?: string }>()\ndefineEmits(['save'])</script><template><slot/><slot name=\"s"), k, F.lit("\"/></template>"))
     x = r.vue_meta(text)
     return a.table(spark, d, "part").select("p_partkey", x["props"].alias("props"), x["emits"].alias("emits"), x["slots"].alias("slots"))
-
-
-@query()
-def stem_path_score(spark, d):
-    return a.files(spark, d).select("id", F.round(s.stem_path_score(["src1", "corpus", "12"], F.col("path")), 6).alias("score"))

@@ -121,29 +121,47 @@ def file_history(spark, d):
     return o.orderBy(F.desc("ts"), "commit_id").limit(20)
 
 
-_COMMITS = """c AS (SELECT l_orderkey AS commit_id, count(*) AS files, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS additions, CAST(sum(CAST(l_quantity * l_discount * 20 AS INTEGER)) AS BIGINT) AS deletions,
-  bool_and(l_returnflag = 'R') AS tests, bool_and(l_linestatus = 'F') AS docs FROM lineitem GROUP BY 1)"""
+_PATHS = ("src/cart/mod.rs", "src/cart/test_sum.rs", "docs/guide.txt", "README.md", "Cargo.toml", ".github/workflows/ci.yml", "Dockerfile", "src/db/rows.go", "lib/spec_api.py", "ui/.gitlab-ci.yml")
+_COMMITS = f"""c AS (SELECT l_orderkey AS commit_id, count(*) AS files, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS additions, CAST(sum(CAST(round(l_quantity * l_discount * 20) AS INTEGER)) AS BIGINT) AS deletions,
+  list(CASE WHEN l_partkey % 60 < 10 THEN {list(_PATHS)!r}[CAST(1 + l_partkey % 60 AS INTEGER)] ELSE 'src/m' || l_suppkey || '/run.rs' END) AS paths, list(CASE l_returnflag WHEN 'A' THEN CASE WHEN l_partkey % 7 = 0 THEN 'added' ELSE 'modified' END WHEN 'R' THEN 'modified' ELSE 'deleted' END) AS statuses
+  FROM lineitem GROUP BY 1)"""
 
 
 def _commits(spark, d):
+    """A commit per order, with a path and a status for each of its lines."""
     li = a.table(spark, d, "lineitem")
+    k = (F.col("l_partkey") % 60).cast("int")
+    path = F.when(k < 10, F.get(F.array(*map(F.lit, _PATHS)), k)).otherwise(F.concat(F.lit("src/m"), F.col("l_suppkey").cast("string"), F.lit("/run.rs")))
+    status = F.when(F.col("l_returnflag") == "A", F.when(F.col("l_partkey") % 7 == 0, "added").otherwise("modified")).when(F.col("l_returnflag") == "R", "modified").otherwise("deleted")
     return li.groupBy(F.col("l_orderkey").alias("commit_id")).agg(
         F.count("*").alias("files"),
         F.sum(F.col("l_quantity").cast("int")).alias("additions"),
         F.sum(F.round(F.col("l_quantity") * F.col("l_discount") * 20).cast("int")).alias("deletions"),
-        F.bool_and(F.col("l_returnflag") == "R").alias("tests"),
-        F.bool_and(F.col("l_linestatus") == "F").alias("docs"),
+        F.collect_list(path).alias("paths"),
+        F.collect_list(status).alias("statuses"),
     )
 
 
-_COMMITS = _COMMITS.replace("CAST(l_quantity * l_discount * 20 AS INTEGER)", "CAST(round(l_quantity * l_discount * 20) AS INTEGER)")
+_KIND = """CASE WHEN len(list_filter(paths, lambda p: contains(p, 'test') OR contains(p, 'spec'))) > 0 THEN 'test' WHEN len(list_filter(paths, lambda p: p LIKE '%.md' OR p LIKE 'docs/%')) > 0 THEN 'docs'
+  WHEN len(list_filter(paths, lambda p: p LIKE '%.toml' OR p LIKE '%.json' OR p LIKE '.github/%')) > 0 THEN 'chore' WHEN len(list_filter(paths, lambda p: contains(p, '.github/workflows') OR contains(p, '.gitlab-ci') OR p = 'Dockerfile')) > 0 THEN 'ci'
+  WHEN deletions > additions * 2 THEN 'refactor' WHEN list_contains(statuses, 'added') THEN 'feat' WHEN files <= 3 AND additions + deletions < 50 THEN 'fix' ELSE 'refactor' END"""
 
 
-@query(f"""WITH {_COMMITS} SELECT commit_id, CASE WHEN tests THEN 'test' WHEN docs THEN 'docs' WHEN deletions > additions * 2 THEN 'refactor' WHEN files <= 3 AND additions + deletions < 50 THEN 'fix' WHEN additions > deletions THEN 'feat' ELSE 'refactor' END AS kind,
+@query(f"""WITH {_COMMITS} SELECT commit_id, {_KIND} AS kind,
   CASE WHEN files > 10 OR additions + deletions > 500 THEN 'large' WHEN files > 3 OR additions + deletions > 100 THEN 'medium' ELSE 'simple' END AS complexity FROM c""")
 def change_type(spark, d):
     c = _commits(spark, d)
-    return c.select("commit_id", sc.change_type(F.col("files"), F.col("additions"), F.col("deletions"), F.col("tests"), F.col("docs")).alias("kind"), sc.complexity(F.col("files"), F.col("additions") + F.col("deletions")).alias("complexity"))
+    return c.select("commit_id", sc.change_type(F.col("paths"), F.col("statuses"), F.col("additions"), F.col("deletions")).alias("kind"), sc.complexity(F.col("files"), F.col("additions") + F.col("deletions")).alias("complexity"))
+
+
+@query(f"""WITH {_COMMITS}, k AS (SELECT *, {_KIND} AS kind FROM c)
+SELECT commit_id, CASE kind WHEN 'ci' THEN 'CI/CD pipeline updates'
+  WHEN 'feat' THEN CASE WHEN list_contains(statuses, 'added') THEN 'New functionality added across ' || files || ' file(s)' ELSE 'Feature enhancement in ' || files || ' file(s)' END
+  WHEN 'fix' THEN 'Bug fix in ' || files || ' file(s)' WHEN 'docs' THEN 'Documentation update for ' || files || ' file(s)' WHEN 'test' THEN 'Test updates in ' || files || ' file(s)' WHEN 'chore' THEN 'Build/config changes in ' || files || ' file(s)'
+  ELSE CASE WHEN list_contains(statuses, 'deleted') THEN 'Code refactoring with cleanup (' || len(list_filter(statuses, lambda s: s = 'modified')) || ' files modified, ' || len(list_filter(statuses, lambda s: s = 'deleted')) || ' removed)' ELSE 'Code refactoring in ' || files || ' file(s)' END END AS summary FROM k""")
+def change_summary(spark, d):
+    c = _commits(spark, d).withColumn("kind", sc.change_type(F.col("paths"), F.col("statuses"), F.col("additions"), F.col("deletions")))
+    return c.select("commit_id", sc.change_summary(F.col("kind"), F.col("statuses")).alias("summary"))
 
 
 @query(f"WITH {_COMMITS} SELECT CAST(sum(files) AS BIGINT) AS files, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(additions) // count(*) AS BIGINT) AS mean_additions FROM c")

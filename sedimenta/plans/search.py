@@ -147,22 +147,65 @@ def _signals(f):
     })
 
 
-@query(f"""WITH {a.FILES}, {Q},
-v AS (SELECT vec_id AS id, 1 / (1 + {D2}) AS score FROM embeddings e, q ORDER BY {D2}, vec_id LIMIT 60),
-j AS (SELECT f.id, v.score AS vs, {_PATH} AS ps, {_SUMM} AS ss, {_REC} AS rec, {_SIZE} AS siz FROM v JOIN files f ON f.id = v.id),
-t AS (SELECT *, least(greatest((vs * 0.40 + ps * 0.20 + ss * 0.15) * rec * siz, 0), 1) AS final FROM j)
-SELECT id, round(final, 6) AS score,
-  concat_ws(', ', CASE WHEN vs * 0.40 > 0.28 THEN 'strong semantic match' END, CASE WHEN ps > 0.20 THEN 'path match' END, CASE WHEN ss > 0.12 THEN 'summary match' END, CASE WHEN rec > 1 THEN 'recently changed' END) AS reason
-FROM t WHERE final >= 0.01 ORDER BY round(final, 9) DESC, id LIMIT 20""")
+#: What is asked for: words of the query, then each table of a file's signals.
+ASKED = ("where", "src1", "tion", "12")
+
+
+def _path_v2(word):
+    """SQL of one word's part of the path score."""
+    return f"""CASE WHEN stem = '{word}' THEN 0.5 WHEN contains(stem, '{word}') THEN 0.3 * len(list_filter(string_split('{word}', ''), lambda c: contains(stem, c))) / greatest(strlen('{word}'), strlen(stem))
+    ELSE coalesce(list_sum(list_transform(dirs, lambda x, i: CASE WHEN contains(x, '{word}') THEN 0.15 * (CASE WHEN x IN ('src', 'core', 'api', 'lib') THEN 1.2 ELSE 1.0 END) / (len(dirs) - i + 1) ELSE 0 END)), 0) + CASE WHEN levenshtein(stem, '{word}') <= 2 THEN 0.2 ELSE 0 END END"""
+
+
+_PATH_V2 = "least(" + " + ".join(_path_v2(w) for w in ASKED) + ", 1.0)"
+_STEMS = "(SELECT *, regexp_replace(string_split(lower(path), '/')[-1], '\\.[^.]*$', '') AS stem, list_filter(string_split(lower(path), '/')[:-2], lambda x: x <> '') AS dirs FROM files)"
+
+
+@query(f"WITH {a.FILES} SELECT id, round(CAST({_PATH_V2} AS DOUBLE), 6) AS score FROM {_STEMS}")
+def stem_path_score(spark, d):
+    return a.files(spark, d).select("id", F.round(s.stem_path_score(list(ASKED), F.col("path")), 6).alias("score"))
+
+
+def _selected(spark, d):
+    """The files nearest to the query vector with every signal: stored summaries (benchmark), symbols, paths, age and size."""
+    near = s.vector_topk(a.table(spark, d, "embeddings"), query_vector(spark, d), 60).select(F.col("vec_id").alias("id"), F.col("score").alias("vector_s"))
+    f = a.files(spark, d).join(F.broadcast(near), "id")  # 60 rows
+    syms = a.symbols(a.lines(f)).groupBy(F.col("file_id").alias("id")).agg(F.count_if(F.contains("name", F.lit("tion")) | F.contains("name", F.lit("12"))).alias("hits"), F.transform(F.sort_array(F.collect_list(F.struct("line_start", "name"))), lambda x: x["name"]).alias("names"))
+    told = a.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lower("text").alias("summary"))
+    rows = _signals(f).join(syms, "id", "left").join(told, "id", "left")
+    rows = rows.withColumns({
+        "path_v2": s.stem_path_score(list(ASKED), F.col("path")), "symbol_s": F.coalesce(F.least(F.col("hits") / 2.0, F.lit(1.0)), F.lit(0.0)),
+        "summary_v2": F.coalesce(s.keyword_share(list(ASKED), F.col("summary")), F.lit(0.0)), "names": F.coalesce("names", F.array().cast("array<string>")), "w": s.adaptive_weights(F.lit(" ".join(ASKED))),
+    })
+    base, final = s.relevance(F.col("vector_s"), F.col("path_v2"), F.col("symbol_s"), F.col("summary_v2"), F.col("w"), F.col("recency"), F.col("size_p"))
+    return rows.withColumns({"base": base, "final": final, "sure": s.confidence(F.col("vector_s"), F.col("path_v2"), F.col("symbol_s"))})
+
+
+_NAMED = "'contains relevant symbols (' || array_to_string(names[1:3], ', ') || ')'"
+_SELECTED = f"""{a.SYMBOLS}, {Q},
+v AS (SELECT vec_id AS id, 1 / (1 + {D2}) AS vs FROM embeddings e, q ORDER BY {D2}, vec_id LIMIT 60),
+y AS (SELECT file_id AS id, least(count(*) FILTER (WHERE contains(name, 'tion') OR contains(name, '12')) / 2.0, 1.0) AS ys, list(name ORDER BY line_start) AS names FROM symbols GROUP BY 1),
+j AS (SELECT f.id, vs, CAST({_PATH_V2} AS DOUBLE) AS ps, CAST(coalesce(ys, 0) AS DOUBLE) AS ys, coalesce(names, []) AS names, {_REC} AS rec, {_SIZE} AS siz,
+  CAST(coalesce((SELECT len(list_filter(['where', 'src1', 'tion', '12'], lambda w: contains(lower(b.text), w))) / 4.0 FROM benchmark b WHERE b.item_id = f.id), 0) AS DOUBLE) AS ss FROM v JOIN {_STEMS} f ON f.id = v.id LEFT JOIN y ON y.id = f.id),
+b AS (SELECT *, vs * 0.25 + ps * 0.15 + ys * 0.50 + ss * 0.10 AS base, (vs + ps + ys) / 3 AS mu FROM j),
+t AS (SELECT *, least(greatest(base * rec * siz, 0), 1) AS final, greatest(0, least(1, 1 - sqrt(((vs - mu) ** 2 + (ps - mu) ** 2 + (ys - mu) ** 2) / 3))) AS sure FROM b)"""
+
+
+@query(f"""WITH {_SELECTED}, r AS (SELECT id, final, concat_ws(', ', CASE WHEN base * 0.25 > 0.28 THEN 'high semantic similarity' WHEN base * 0.25 > 0.20 THEN 'good semantic match' END, CASE WHEN base * 0.15 > 0.12 THEN 'path matches query' END,
+  CASE WHEN base * 0.50 > 0.15 AND len(names) > 0 THEN {_NAMED} END, CASE WHEN base * 0.10 > 0.10 THEN 'summary matches query' END, CASE WHEN rec > 1 THEN 'recently modified' END, CASE WHEN sure > 0.8 THEN 'high confidence' END) AS why FROM t)
+SELECT id, round(final, 6) AS score, CASE WHEN why = '' THEN 'found in search results' ELSE why END AS reason FROM r WHERE final >= 0.3 ORDER BY round(final, 9) DESC, id LIMIT 20""")
 def smart_file_selection(spark, d):
-    v = s.vector_topk(a.table(spark, d, "embeddings"), query_vector(spark, d), 60).select(F.col("vec_id").alias("id"), F.col("score").alias("vs"))
-    j = _signals(a.files(spark, d)).join(v, "id")
-    final = F.least(F.greatest((F.col("vs") * 0.40 + F.col("path_s") * 0.20 + F.col("summary_s") * 0.15) * F.col("recency") * F.col("size_p"), F.lit(0.0)), F.lit(1.0))
-    out = j.withColumn("final", final).where("final >= 0.01")
-    why = s.reason(F.col("vs") * 0.40, F.col("path_s"), F.lit(0.0), F.col("summary_s"), F.col("recency"))
+    out = _selected(spark, d).where("final >= 0.3")
+    why = s.reason(F.col("base"), F.col("w"), F.col("names"), F.col("recency"), F.col("sure"))
     return out.orderBy(F.desc(F.round("final", 9)), "id").limit(20).select("id", F.round("final", 6).alias("score"), why.alias("reason"))
 
 
+@query(f"""WITH {_SELECTED}, r AS (SELECT id, concat_ws(', ', CASE WHEN vs > 0.7 THEN 'high semantic similarity' WHEN vs > 0.5 THEN 'good semantic match' END, CASE WHEN ps > 0.3 THEN 'path matches query keywords' END,
+  CASE WHEN ys > 0.5 AND len(names) > 0 THEN {_NAMED} END, CASE WHEN ss > 0.5 THEN 'summary matches query' END) AS why FROM t) SELECT id, CASE WHEN why = '' THEN 'found in search results' ELSE why END AS reason FROM r""")
+def selection_reason_plain(spark, d):
+    return _selected(spark, d).select("id", s.plain_reason(F.col("vector_s"), F.col("path_v2"), F.col("symbol_s"), F.col("summary_v2"), F.col("names")).alias("reason"))
+
+
 @query(f"WITH {a.FILES} SELECT id, round(CAST({_PATH} AS DOUBLE), 6) AS score FROM files")
 def path_score(spark, d):
     return _signals(a.files(spark, d)).select("id", F.round(F.col("path_s").cast("double"), 6).alias("score"))
@@ -223,10 +266,22 @@ def search_preview(spark, d):
     return a.files(spark, d).select("id", s.preview(F.col("content")).alias("preview"))
 
 
-@query(f"""WITH {a.LINES} SELECT file_id, line, CASE WHEN regexp_matches(ltrim(text), '^(pub |async )*(fn|def|function|func) ') THEN 'FunctionName' WHEN regexp_matches(ltrim(text), '^(pub |export )*(class|struct|interface) ') THEN 'ClassName'
-  WHEN regexp_matches(ltrim(text), '^(pub |export )*(type|enum) ') THEN 'TypeDefinition' WHEN regexp_matches(ltrim(text), '^(///|//!|\\*|#)') THEN 'DocComment' WHEN regexp_matches(ltrim(text), '^(use|import|from) ') THEN 'ImportStatement' ELSE 'CodeContent' END AS reason FROM lines""")
+_HIT = """p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_name END AS symbol, ['function', 'struct', 'enum', 'trait', 'field'][1 + p_size % 5] AS kind,
+  CASE p_size % 6 WHEN 0 THEN '/// about ' || p_name WHEN 1 THEN 'use shop;' || chr(10) || p_name WHEN 2 THEN 'struct ' || p_type WHEN 3 THEN p_brand || ' ring' WHEN 4 THEN '/** ' || repeat('x', 200) || ' ring' ELSE 'type T = ' || p_name END AS content"""
+
+
+@query(f"""WITH h AS (SELECT {_HIT} FROM part) SELECT p_partkey, CASE WHEN coalesce(contains(symbol, 'ring'), false) THEN CASE kind WHEN 'function' THEN 'FunctionName' WHEN 'struct' THEN 'ClassName' WHEN 'field' THEN 'SymbolName' ELSE 'TypeDefinition' END
+  WHEN content LIKE '///%' AND contains(content, 'ring') THEN 'DocComment' WHEN contains(content, 'use ') AND contains(content, 'ring') THEN 'ImportStatement' WHEN (contains(content, 'struct ') OR contains(content, 'type ')) AND contains(lower(content), 'ring') THEN 'TypeDefinition' ELSE 'CodeContent' END AS reason FROM h""")
 def match_reason(spark, d):
-    return a.lines(a.files(spark, d)).select("file_id", "line", s.match_reason(F.col("text")).alias("reason"))
+    """Hits of a query for "Ring" among made texts: comments, imports, declarations and others, with a symbol or none."""
+    n, k = F.col("p_name"), F.col("p_size") % 6
+    text = (
+        F.when(k == 0, F.concat(F.lit("/// about "), n)).when(k == 1, F.concat(F.lit("use shop;\n"), n)).when(k == 2, F.concat(F.lit("struct "), "p_type")).when(k == 3, F.concat("p_brand", F.lit(" ring")))
+        .when(k == 4, F.lit("/** " + "x" * 200 + " ring")).otherwise(F.concat(F.lit("type T = "), n))
+    )
+    kind = F.get(F.array(*map(F.lit, ("function", "struct", "enum", "trait", "field"))), (F.col("p_size") % 5).cast("int"))
+    symbol = F.when(F.col("p_size") % 5 != 0, n)
+    return a.table(spark, d, "part").select("p_partkey", s.match_reason(text, symbol, kind, "Ring").alias("reason"))
 
 
 @query(f"""WITH {a.FILES}, s AS (SELECT id, path, 0.40 * (1.0 / (1 + id)) + 0.20 * {_PATH} + 0.15 * {_SUMM} + 0.10 * ({_REC}) + 0.10 * ({_SIZE}) + 0.05 * CASE WHEN domain IS NULL THEN 0 ELSE 1 END AS score FROM files)

@@ -54,7 +54,7 @@ def symbols(lines_: DataFrame) -> DataFrame:
         lines_.withColumn("name", F.get(first, F.lit(0)))
         .where("name is not null")
         .select(
-            (F.col("file_id") * 100_000 + F.col("line")).alias("id"),
+            (F.col("file_id") * (1 << 32) + F.col("line")).alias("id"),
             "file_id",
             "name",
             F.element_at(F.array(*map(F.lit, ("function", "struct", "enum", "class"))), n % 4 + 1).alias("kind"),
@@ -120,7 +120,7 @@ SYMBOLS = (
     TOKENS
     + """,
 symbols AS (
-  SELECT t.file_id * 100000 + t.line AS id, t.file_id, t.term AS name, ['function', 'struct', 'enum', 'class'][1 + length(t.term) % 4] AS kind,
+  SELECT t.file_id * 4294967296 + t.line AS id, t.file_id, t.term AS name, ['function', 'struct', 'enum', 'class'][1 + length(t.term) % 4] AS kind,
     t.line AS line_start, CAST(t.line + length(t.term) % 5 AS INTEGER) AS line_end, l.text AS signature
   FROM tokens t JOIN lines l ON t.file_id = l.file_id AND t.line = l.line WHERE t.pos = 1)"""
 )
