@@ -25,6 +25,9 @@ class Parsed:
     refs: list[tuple] = field(default_factory=list)  # name, kind, line
     imports: list[tuple] = field(default_factory=list)  # module, item, relative, line
     fields: list[tuple] = field(default_factory=list)  # type, field
+    exports: list[tuple] = field(default_factory=list)  # name, kind, line
+    decorators: list[tuple] = field(default_factory=list)  # symbol, decorator, line
+    impls: list[tuple] = field(default_factory=list)  # type, trait (null for its own methods), line
 
 
 class LanguagePack:
@@ -46,6 +49,11 @@ class PythonPack(LanguagePack):
             return out
         rows = text.split("\n")
 
+        def typed(annotation: ast.AST | None) -> None:
+            for x in ast.walk(annotation) if annotation is not None else ():
+                if isinstance(x, ast.Name) and x.id not in PRIMITIVES:
+                    out.refs.append((x.id, "type_usage", x.lineno))
+
         def visit(node: ast.AST, inside: str | None) -> None:
             for child in ast.iter_child_nodes(node):
                 here = inside
@@ -53,11 +61,22 @@ class PythonPack(LanguagePack):
                     kind = "class" if isinstance(child, ast.ClassDef) else "method" if inside == "class" else "function"
                     first = min([child.lineno, *(d.lineno for d in child.decorator_list)])
                     out.symbols.append((child.name, kind, first, child.end_lineno, rows[child.lineno - 1].strip()))
+                    out.decorators += [(child.name, ast.unparse(d), d.lineno) for d in child.decorator_list]
+                    if inside is None and not child.name.startswith("_"):
+                        out.exports.append((child.name, kind, child.lineno))
+                    if kind == "class":
+                        out.refs += [(b.id, "type_usage", b.lineno) for b in child.bases if isinstance(b, ast.Name) and b.id not in PRIMITIVES]
+                    else:
+                        a = child.args
+                        typed(child.returns)
+                        for arg in [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]:
+                            typed(arg.annotation)
                     here = "class" if kind == "class" else "function"
                     if kind == "class":
                         for item in child.body:
                             if isinstance(item, ast.AnnAssign) and isinstance(item.target, ast.Name):
                                 out.fields.append((child.name, item.target.id))
+                                typed(item.annotation)
                 elif isinstance(child, ast.Call):
                     f = child.func
                     if name := f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None:
@@ -69,6 +88,7 @@ class PythonPack(LanguagePack):
                 visit(child, here)
 
         visit(tree, None)
+        out.refs += [(item if item != "*" else module.split(".")[-1], "import", line) for module, item, _, line in out.imports]
         return out
 
     def skeleton(self, text: str) -> str:
@@ -92,6 +112,14 @@ class PythonPack(LanguagePack):
 
 
 BLANK = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`|\'(?:\\.|[^\'\\\n])\'', re.S)
+#: Names that no reference is kept for.
+PRIMITIVES = frozenset(
+    """bool char str u8 u16 u32 u64 u128 usize i8 i16 i32 i64 i128 isize f32 f64 Self String Vec Option Result Box Rc Arc Ok Err Some None true
+    false string number boolean void null undefined any never unknown object Array Promise console JSON Math Date Error int int8 int16 int32
+    int64 uint uint8 uint16 uint32 uint64 float32 float64 complex64 complex128 byte rune error nil""".split()
+)
+#: A capitalised name where a type may stand: behind a colon, an arrow, an angle bracket, a reference or pointer mark, or the words of a base type.
+TYPED = re.compile(r"(?:(?<!:):(?!:)|->|=>|[<&*|,\]]|\bextends\b|\bimplements\b|\bdyn\b|\bimpl\b)\s*(?:mut\s+|dyn\s+|impl\s+|\[\])*([A-Z]\w*)\b(?!\s*[({:.])")
 CALL = re.compile(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(")
 # Names before a parenthesis that are no calls.
 KEYWORDS = frozenset("if for while switch match return fn func function catch await typeof sizeof new in loop impl struct enum pub let const var type interface class super self".split())
@@ -100,9 +128,11 @@ KEYWORDS = frozenset("if for while switch match return fn func function catch aw
 class BracePack(LanguagePack):
     """Declarations by pattern; a declaration's end is the brace that closes the first one it opens."""
 
-    def __init__(self, declarations: list[tuple[str, str]], imports, members: str | None = None):
+    def __init__(self, declarations: list[tuple[str, str]], imports, members: str | None = None, *, exported: str | None = None, receivers: bool = False, more=None):
         self.declarations = [(kind, re.compile(p, re.M)) for kind, p in declarations]
         self.find_imports, self.member = imports, re.compile(members, re.M) if members else None
+        self.exported = re.compile(exported) if exported else None  # on a declaration's first line, or its name where types follow names
+        self.receivers, self.more = receivers, more
 
     @staticmethod
     def blanked(text: str) -> str:
@@ -124,8 +154,27 @@ class BracePack(LanguagePack):
         for kind, pattern in self.declarations:
             for m in pattern.finditer(clear):
                 found.append((m.group("name"), kind, m.start("head"), self.closing(clear, m.end())))
+        if self.more:
+            found += [(name, kind, first, self.closing(clear, end)) for name, kind, first, end in self.more(clear)]
         return sorted(found, key=lambda x: x[2])
 
+    def used(self, clear: str, declared: list[tuple]) -> Iterator[tuple[str, int]]:
+        """Types in heads of functions and in bodies of types: name and place."""
+        for _, kind, first, last in declared:
+            if kind in ("function", "method"):
+                start = clear.find("{", first, last)
+                end = start if start >= 0 else last
+            elif kind in ("struct", "interface", "class", "type"):
+                end = last
+            else:
+                continue
+            if self.receivers:  # the type follows its name
+                for m in re.finditer(r"\w\s+(?:\*|\[\])*([A-Z]\w*)\b(?!\s*[(.])|\)\s*(?:\*|\[\])*([A-Z]\w*)\b(?!\s*[(.])", clear[first:end]):
+                    yield m.group(1) or m.group(2), first + m.start(1 if m.group(1) else 2)
+            else:
+                for m in TYPED.finditer(clear, first, end):
+                    yield m.group(1), m.start(1)
+
     def parse(self, text: str) -> Parsed:
         out, clear = Parsed(), self.blanked(text)
         starts = [0, *(m.end() for m in re.finditer("\n", text))]
@@ -133,10 +182,16 @@ class BracePack(LanguagePack):
 
         line = lambda at: bisect.bisect_right(starts, at)
         heads = set()
-        for name, kind, first, last in self.declared(clear):
+        declared = self.declared(clear)
+        for name, kind, first, last in declared:
             end = text.find("\n", first)
-            out.symbols.append((name, kind, line(first), line(last), text[first : end if end >= 0 else None].strip()))
+            head = text[first : end if end >= 0 else None].strip()
+            out.symbols.append((name, kind, line(first), line(last), head))
             heads.add((name, line(first)))
+            if kind == "impl":
+                out.impls.append((name, trait_of(clear[first:last]), line(first)))
+            elif self.exported and self.exported.search(name if self.receivers else head):
+                out.exports.append((name, kind, line(first)))
             if self.member and kind in ("struct", "interface", "class") and "{" in clear[first:last]:
                 body = clear[clear.index("{", first) + 1 : last]
                 out.fields += [(name, m.group(1)) for m in self.member.finditer(body)]
@@ -144,6 +199,8 @@ class BracePack(LanguagePack):
             if m.group(1) not in KEYWORDS and (m.group(1), line(m.start())) not in heads:
                 out.refs.append((m.group(1), "call", line(m.start())))
         out.imports = self.find_imports(text)
+        out.refs += [(item if item != "*" else re.split(r"[/:.]", module)[-1], "import", at) for module, item, _, at in out.imports]
+        out.refs += [(name, "type_usage", line(at)) for name, at in self.used(clear, declared) if name not in PRIMITIVES and (name, line(at)) not in heads]
         return out
 
     def skeleton(self, text: str) -> str:
@@ -156,6 +213,61 @@ class BracePack(LanguagePack):
         return "".join(out) + text[at:]
 
 
+def angled(text: str, at: int) -> int:
+    """The place behind the angle brackets that open at `at`; arrows close none."""
+    depth = 0
+    for k in range(at, len(text)):
+        if text[k] == "<":
+            depth += 1
+        elif text[k] == ">" and text[k - 1] not in "-=":
+            depth -= 1
+            if not depth:
+                return k + 1
+    return len(text)
+
+
+def impl_head(text: str) -> list[str]:
+    """The names of the trait, if any, and the type of an impl block's head, without generics and paths."""
+    head, at, depth = "", 4, 0
+    while at < len(text) and text[at] != "{":
+        if text[at] == "<":
+            at = angled(text, at)
+            continue
+        head += text[at]
+        at += 1
+    head = re.split(r"\bwhere\b", head)[0]
+    return [re.split(r"\W+", x.strip(" &\n\t"))[-1] or x.strip() for x in re.split(r"\bfor\b", head)]
+
+
+def trait_of(text: str) -> str | None:
+    names = impl_head(text)
+    return names[0] if len(names) > 1 else None
+
+
+def rust_impls(clear: str) -> list[tuple]:
+    out = []
+    for m in re.finditer(r"^[ \t]*(?P<head>(?:unsafe\s+)?impl\b)", clear, re.M):
+        body = clear[m.end("head") - 4 :]
+        out.append((impl_head(body)[-1], "impl", m.start("head"), m.end("head")))
+    return out
+
+
+def arrows(clear: str) -> list[tuple]:
+    """Functions that are values: const name = (arguments over any lines): type => ..."""
+    out = []
+    for m in re.finditer(r"^[ \t]*(?P<head>(?:export\s+)?(?:const|let|var)\s+(?P<name>\w+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?)(?=[(<])", clear, re.M):
+        at = angled(clear, m.end()) if clear[m.end()] == "<" else m.end()
+        depth, k = 0, at
+        while k < len(clear):
+            depth += (clear[k] == "(") - (clear[k] == ")")
+            k += 1
+            if not depth:
+                break
+        if arrow := re.compile(r"\s*(?::[^;={]*(?:\{[^}]*\}[^;={]*)?)?=>").match(clear, k):
+            out.append((m.group("name"), "function", m.start("head"), arrow.end()))
+    return out
+
+
 def rust_imports(text: str) -> list[tuple]:
     out = []
 
@@ -207,12 +319,13 @@ RUST = BracePack(
         ("struct", r"^[ \t]*(?P<head>(?:pub(?:\([a-z]+\))?\s+)?struct\s+(?P<name>\w+))"),
         ("enum", r"^[ \t]*(?P<head>(?:pub(?:\([a-z]+\))?\s+)?enum\s+(?P<name>\w+))"),
         ("trait", r"^[ \t]*(?P<head>(?:pub(?:\([a-z]+\))?\s+)?trait\s+(?P<name>\w+))"),
-        ("impl", r"^[ \t]*(?P<head>impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(?P<name>\w+))"),
         ("function", r"^[ \t]*(?P<head>(?:pub(?:\([a-z]+\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(?P<name>\w+))"),
         ("module", r"^[ \t]*(?P<head>(?:pub\s+)?mod\s+(?P<name>\w+))"),
     ],
     rust_imports,
-    r"^\s*(?:pub(?:\([a-z]+\))?\s+)?(\w+)\s*:",
+    r"^\s*(?:pub(?:\([a-z]+\))?\s+)?(\w+)\s*:(?!:)",
+    exported=r"^pub\b",
+    more=rust_impls,
 )
 TYPESCRIPT = BracePack(
     [
@@ -220,11 +333,12 @@ TYPESCRIPT = BracePack(
         ("class", r"^[ \t]*(?P<head>(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>\w+))"),
         ("enum", r"^[ \t]*(?P<head>(?:export\s+)?(?:const\s+)?enum\s+(?P<name>\w+))"),
         ("function", r"^[ \t]*(?P<head>(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>\w+))"),
-        ("function", r"^[ \t]*(?P<head>(?:export\s+)?(?:const|let)\s+(?P<name>\w+)\s*=\s*(?:async\s*)?\([^)]*\)[^=\n]*=>)"),
         ("type", r"^[ \t]*(?P<head>(?:export\s+)?type\s+(?P<name>\w+)\s*=)"),
     ],
     typescript_imports,
     r"^\s*(?:readonly\s+|public\s+|private\s+)?(\w+)\??\s*:",
+    exported=r"^export\b",
+    more=arrows,
 )
 GO = BracePack(
     [
@@ -235,6 +349,8 @@ GO = BracePack(
     ],
     go_imports,
     r"^\s*([A-Za-z]\w*)\s+[\w\[\]*.]+",
+    exported=r"^[A-Z]",
+    receivers=True,
 )
 
 
@@ -282,6 +398,9 @@ SCHEMAS = {
     "refs": "file_id long, name string, kind string, line int",
     "imports": "file_id long, module string, item string, relative boolean, line int",
     "fields": "file_id long, type string, field string",
+    "exports": "file_id long, name string, kind string, line int",
+    "decorators": "file_id long, name string, decorator string, line int",
+    "impls": "file_id long, name string, trait string, line int",
     "chunks": "file_id long, line_start int, line_end int, name string, content string",
     "skeleton": "file_id long, skeleton string",
 }

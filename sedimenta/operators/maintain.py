@@ -145,3 +145,35 @@ class VersionedTable:
 def dedup_first(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return events.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def with_cache(wanted: DataFrame, cache: DataFrame, key: str, make) -> DataFrame:
+    """cache's rows of the wanted keys, and make(the wanted keys that it lacks), with `cached`. Only the latter are computed."""
+    known = cache.join(wanted.select(key), key, "left_semi").withColumn("cached", F.lit(True))
+    new = make(wanted.select(key).join(cache.select(key), key, "left_anti")).withColumn("cached", F.lit(False))
+    return known.unionByName(new.select(*known.columns))
+
+
+def at_once(jobs: list[tuple], *, parallel: int = 10, most: int = 100, stop: bool = False) -> list[tuple]:
+    """(name, value, error) of jobs (name, function) in their order, up to `parallel` at a time, each a Spark job of its own.
+
+    A job that fails has its error, and with stop the jobs that had not begun are left out with an error of their own.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    if len(jobs) > most:
+        raise ValueError(f"{len(jobs)} jobs; at most {most} may be asked for at once")
+    failed: list[str] = []
+
+    def run(job: tuple) -> tuple:
+        name, f = job
+        if stop and failed:
+            return name, None, f"left out after {failed[0]}"
+        try:
+            return name, f(), None
+        except Exception as e:  # the caller's own work may fail in any way
+            failed.append(name)
+            return name, None, str(e)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(jobs) or 1))) as pool:
+        return list(pool.map(run, jobs))

@@ -195,7 +195,7 @@ def match_reason(content: Column, symbol: Column, kind: Column, query: str) -> C
 
 
 #: How a declaration names what it declares, in the order in which they are looked for.
-DECLARED = (r"\sfn [^\p{L}\p{N}_]*([^(<]+)[(<]", r"^(?:export )?function\s+(\S*?)\(*(?:\s|$)", r"const (.*?) = ", r"^def ([^(]*)", r"class (.*?)[ {(<]", r"(?:struct|enum) (.*?)[ {<]")
+DECLARED = (r"\sfn [^\p{L}\p{N}_]*([^(<]+)[(<]", r"^(?:export )?function\s+([^\s(<]+)", r"const (.*?) = ", r"^def ([^(]*)", r"class (.*?)[ {(<]", r"(?:struct|enum) (.*?)[ {<]")
 
 
 def declared_name(content: Column) -> Column:

@@ -47,8 +47,10 @@ def parse_symbols(spark, d):
 
 
 @query(
-    f"""SELECT p_partkey * 4 + v.f AS file_id, v.n AS name, 'call' AS kind, CAST(v.a AS INTEGER) AS line FROM (SELECT p_partkey, unnest([
-  {{'f': 0, 'n': 'h', 'a': 8}}, {{'f': 0, 'n': 'Item' || {_K}, 'a': 11}}, {{'f': 0, 'n': 'price', 'a': 11}}, {{'f': 1, 'n': 'compute', 'a': 11}}, {{'f': 2, 'n': 'load', 'a': 9}}, {{'f': 3, 'n': 'Compute', 'a': 10}}]) AS v FROM part)"""
+    f"""SELECT p_partkey * 4 + v.f AS file_id, v.n AS name, v.k AS kind, CAST(v.a AS INTEGER) AS line FROM (SELECT p_partkey, unnest([
+  {{'f': 0, 'n': 'os', 'k': 'import', 'a': 1}}, {{'f': 0, 'n': 'helper_' || {_S}, 'k': 'import', 'a': 2}}, {{'f': 0, 'n': 'h', 'k': 'call', 'a': 8}}, {{'f': 0, 'n': 'Item' || {_K}, 'k': 'call', 'a': 11}}, {{'f': 0, 'n': 'price', 'k': 'call', 'a': 11}},
+  {{'f': 1, 'n': 'Item', 'k': 'import', 'a': 2}}, {{'f': 1, 'n': 'compute', 'k': 'call', 'a': 11}}, {{'f': 2, 'n': 'load', 'k': 'import', 'a': 1}}, {{'f': 2, 'n': 'Part' || {_K}, 'k': 'type_usage', 'a': 8}}, {{'f': 2, 'n': 'load', 'k': 'call', 'a': 9}},
+  {{'f': 3, 'n': 'm' || {_S}, 'k': 'import', 'a': 3}}, {{'f': 3, 'n': 'Part' || {_K}, 'k': 'type_usage', 'a': 9}}, {{'f': 3, 'n': 'Compute', 'k': 'call', 'a': 10}}]) AS v FROM part)"""
 )
 def parse_references(spark, d):
     return x.extract(sources(spark, d), "refs")
