@@ -51,7 +51,7 @@ class PythonPack(LanguagePack):
 
         def typed(annotation: ast.AST | None) -> None:
             for x in ast.walk(annotation) if annotation is not None else ():
-                if isinstance(x, ast.Name) and x.id not in PRIMITIVES:
+                if isinstance(x, ast.Name) and x.id not in PRIMITIVES and x.id not in ("float", "bytes", "list", "dict", "tuple", "set"):
                     out.refs.append((x.id, "type_usage", x.lineno))
 
         def visit(node: ast.AST, inside: str | None) -> None:

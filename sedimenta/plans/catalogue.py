@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, health, joins, lookups, maintenance, search, text  # noqa: F401  (each registers its queries)
+from . import code, extraction, health, joins, lookups, maintenance, search, text  # noqa: F401  (each registers its queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
