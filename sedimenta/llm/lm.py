@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from .common import fold, stored
 
 #: Texts that share a vocabulary while scored; memory is bounded by this and the longest text.
-BLOCK_BYTES, BLOCK_DOCS = 6_000_000, 8000
+BLOCK_BYTES, BLOCK_DOCS = 3_000_000, 4000
 #: A task's first block; each next one may be twice as long, so that weights are learned from some evidence early on.
-FIRST_BYTES = 1 << 16
+FIRST_BYTES = 1 << 15
 CODES = 1 << 14  # contexts of the byte code, by a hash of three bytes
 ORDERS = (3, 5)  # bytes; after these tables the one of the whole prefix, then of the prefix behind the last short word
 TABLES = len(ORDERS) + 2
@@ -50,9 +50,11 @@ FEWEST_BITS, MOST_BITS = 14, 22  # slots of each context's table, as a power of
 GATES, LATE = 24, 16  # gates of step 1 and of step 2
 CHUNK, GROWTH = 16, 1.25  # tokens to the first change of a text's own weights, and how chunks grow
 SHARES = ((0.1, 0.005), (0.1, 0.05), (0.5, 0.005), (0.5, 0.05))  # of exact counts, of the text's own past
-KEEP = 0.975  # of the curvature behind the weights, from step to step
+KEEP = 0.9  # of the curvature behind the weights, from step to step
 PRIOR = 100.0  # of a text's own weights: as if learned from some hundred decisions
-SLICE = 1000  # words that are predicted at once
+SLICE = 1000  # words of texts that are predicted at once
+SHARED = 8  # bytes by which words of a vocabulary share their work
+BYTES = 5_000  # bytes of a vocabulary that are predicted at once
 SEEN_BITS = 24  # of the table of hashes of words that a task has had
 TASK_BYTES = 48_000_000  # of packed blocks that one task learns from
 PIECES = 128  # rows in which tables of counts move
@@ -79,10 +81,9 @@ def bytes_of(words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, np.arange(len(data)) - np.repeat(starts, sizes), sizes
 
 
-def before(data: np.ndarray, place: np.ndarray, back: int) -> np.ndarray:
-    """The byte `back` bytes earlier in the word plus one, 0 where the word begins later."""
-    out = np.zeros(len(data), np.uint64)
-    out[back:] = data[:-back]
+def before(data: np.ndarray, at: np.ndarray, place: np.ndarray, back: int) -> np.ndarray:
+    """Of the bytes at some places of data, the byte `back` bytes earlier in the word plus one, 0 where the word begins later."""
+    out = data[np.maximum(at - back, 0)].astype(np.uint64)
     out += np.uint64(1)
     out[place < back] = 0
     return out
@@ -95,7 +96,7 @@ def code_context(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndar
 def code_counts(words: bytes, counts: np.ndarray) -> np.ndarray:
     """How often each byte follows each context of the code, (CODES * 256); counts: of the words, the end token first."""
     data, place, sizes = bytes_of(words)
-    context = code_context(*(before(data, place, back) for back in (1, 2, 3)))
+    context = code_context(*(before(data, np.arange(len(data)), place, back) for back in (1, 2, 3)))
     return np.bincount(context * 256 + data, np.repeat(counts, sizes), CODES * 256)
 
 
@@ -143,44 +144,87 @@ def code_tables(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes.reshape(-1), lengths.reshape(-1)
 
 
+@dataclass
+class Tree:
+    """A vocabulary's words by their first SHARED bytes, so that a byte that neighbours have in common, with all before it, comes up once.
+
+    Words stand in `order`; each brings the bytes from place `shared` on. Of these bytes: the place in data and in the word, a hash of
+    the word so far, the first word with it and the one behind the last.
+    """
+
+    data: np.ndarray
+    order: np.ndarray
+    sizes: np.ndarray
+    shared: np.ndarray
+    first: np.ndarray  # the word's first byte of its own
+    at: np.ndarray
+    place: np.ndarray
+    prefix: np.ndarray
+    word: np.ndarray
+    end: np.ndarray
+
+    def sums(self, amounts: np.ndarray) -> np.ndarray:
+        """By byte, the sum over the words that have it. amounts: in the vocabulary's order."""
+        total = np.concatenate([[0], np.cumsum(amounts[self.order])])
+        return total[self.end] - total[self.word]
+
+    def source(self, place: int) -> np.ndarray:
+        """By word, the number of its byte at a place below SHARED (of some other byte where the word has none there)."""
+        owner = np.maximum.accumulate(np.where(self.shared <= place, np.arange(len(self.order)), 0))
+        return np.minimum(self.first[owner] + place - self.shared[owner], len(self.at) - 1)
+
+
+def tree_of(words: bytes) -> Tree:
+    data, place, sizes = bytes_of(words)
+    starts, n = np.cumsum(sizes) - sizes, len(sizes)
+    # the whole prefix: a polynomial of the bytes, taken from running sums so that no word is walked by itself
+    power = np.cumprod(np.full(int(place.max()) + 2, C3, np.uint64))
+    terms = np.cumsum((data + np.uint64(1)) * power[place])
+    prefix = np.concatenate([np.zeros(1, np.uint64), terms[:-1]]) - np.repeat(np.where(starts > 0, terms[starts - 1], np.uint64(0)), sizes)
+    prefix[place == 0] = 0
+    key = np.zeros(n, np.uint64)
+    for p in range(SHARED):
+        some = np.flatnonzero(sizes > p)
+        key[some] |= data[starts[some] + p].astype(np.uint64) << np.uint64(56 - 8 * p)
+    order = np.argsort(key, kind="stable")
+    key, starts, sizes = key[order], starts[order], sizes[order]
+    apart = key[1:] ^ key[:-1]
+    shared = np.concatenate([[0], sum((apart < np.uint64(1 << (56 - 8 * p))).astype(np.int64) for p in range(SHARED))])
+    own = sizes - shared
+    first = np.cumsum(own) - own
+    word = np.repeat(np.arange(n), own)
+    at_place = np.arange(len(word)) - np.repeat(first - shared, own)
+    at = np.repeat(starts, own) + at_place
+    # words with one byte in common, and all before it, are neighbours
+    nexts = np.repeat(np.arange(1, n + 1)[None], SHARED, axis=0)
+    for p in range(SHARED):
+        begin = np.flatnonzero(shared <= p)
+        nexts[p, begin] = np.append(begin[1:], n)
+    end = np.where(at_place < SHARED, nexts[np.minimum(at_place, SHARED - 1), word], word + 1)
+    return Tree(data, order, sizes, shared, first, at, at_place, prefix[at], word, end)
+
+
 @dataclass
 class Spelled:
-    """The decisions of words one after another: how many each word has, and by decision its outcome and the hash of each context."""
+    """The decisions of some bytes of a tree: how many each byte has, and by decision its outcome and the hash of each context."""
 
     size: np.ndarray
     bit: np.ndarray
     keys: list[np.ndarray]  # the last one for the whole prefix
-    early: np.ndarray  # whether the decision is about one of the word's first HEAD bytes
-
-
-def spelled(words: bytes, codes: np.ndarray, lengths: np.ndarray) -> Iterator[Spelled]:
-    """The words of a vocabulary, some at a time, so that arrays stay small."""
-    data, place, sizes = bytes_of(words)
-    ends = np.cumsum(sizes)
-    for at in range(0, len(sizes), SLICE):
-        to = min(at + SLICE, len(sizes))
-        lo, hi = ends[at] - sizes[at], ends[to - 1]
-        yield spelled_slice(data[lo:hi], place[lo:hi], sizes[at:to], codes, lengths)
 
 
-def spelled_slice(data: np.ndarray, place: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> Spelled:
-    earlier = [before(data, place, back) for back in range(1, max(ORDERS) + 1)]
-    contexts, h, done = [], np.zeros(len(data), np.uint64), 0
+def spelled(tree: Tree, some: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> Spelled:
+    at, place, prefix = tree.at[some], tree.place[some], tree.prefix[some]
+    earlier = [before(tree.data, at, place, back) for back in range(1, max(ORDERS) + 1)]
+    contexts, h, done = [], np.zeros(len(at), np.uint64), 0
     for order in ORDERS:
         for back in range(done, order):
             h = (h ^ earlier[back]) * C1
             h ^= h >> np.uint64(31)
         done = order
         contexts.append(h * C2 + np.uint64(order))
-    # the whole prefix: a polynomial of the bytes, taken from running sums so that no word is walked by itself
-    power = np.cumprod(np.full(int(place.max()) + 2, C3, np.uint64))
-    terms = np.cumsum((data + np.uint64(1)) * power[place])
-    starts = np.cumsum(sizes) - sizes
-    base = np.where(starts > 0, terms[starts - 1], np.uint64(0))
-    prefix = np.concatenate([np.zeros(1, np.uint64), terms[:-1]]) - np.repeat(base, sizes)
-    prefix[place == 0] = 0
     contexts.append((prefix ^ (prefix >> np.uint64(32))) * C1 + place.astype(np.uint64))
-    cell = code_context(*earlier[:3]) * 256 + data
+    cell = code_context(*earlier[:3]) * 256 + tree.data[at]
     size = lengths[cell].astype(np.int64)
     mine, ends = np.repeat(codes[cell], size), np.cumsum(size)
     k = np.arange(len(mine), dtype=np.uint32) - np.repeat((ends - size).astype(np.uint32), size)
@@ -192,19 +236,55 @@ def spelled_slice(data: np.ndarray, place: np.ndarray, sizes: np.ndarray, codes:
         key = np.repeat((c >> np.uint64(32)).astype(np.uint32), size)
         key += node
         keys.append(key)
-    return Spelled(np.add.reduceat(size, starts), bit, keys, np.repeat(place < HEAD, size))
+    return Spelled(size, bit, keys)
+
+
+@dataclass
+class Known:
+    """What step 2 needs of a vocabulary: by word, its early decisions (about its first HEAD bytes) as a place and a number, and the
+    logarithm of the probability of its other decisions; by early decision what told() gives."""
+
+    first: np.ndarray
+    size: np.ndarray
+    rest: np.ndarray
+    early: np.ndarray
+
+
+def known_of(tree: Tree, pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Known:
+    """pieces: bytes, and told() of them."""
+    size, rest = np.zeros(len(tree.at), np.int64), np.zeros(len(tree.at))
+    for some, n, _, logs in pieces:
+        size[some], rest[some] = n, logs
+    early = np.concatenate([x for _, _, x, _ in pieces])
+    begin = np.cumsum(size) - size
+    heads = np.stack([np.where(tree.sizes > p, tree.source(p), -1) for p in range(HEAD)], axis=1)
+    n = np.where(heads >= 0, size[heads], 0)
+    flat, each = heads[heads >= 0], n[heads >= 0]
+    ends = np.cumsum(each)
+    expanded = np.repeat(begin[flat] - (ends - each), each) + np.arange(ends[-1])
+    # the rest: shared bytes by place, then the word's own ones in a row
+    run = np.concatenate([[0.0], np.cumsum(rest)])
+    last = tree.first + tree.sizes - tree.shared
+    total = run[last] - run[np.minimum(tree.first + np.maximum(SHARED - tree.shared, 0), last)]
+    for p in range(HEAD, SHARED):
+        total += np.where(tree.sizes > p, rest[tree.source(p)], 0)
+    count = n.sum(axis=1)
+    out = Known(np.empty_like(count), np.empty_like(count), np.empty_like(total), early[expanded])
+    out.first[tree.order], out.size[tree.order], out.rest[tree.order] = np.cumsum(count) - count, count, total
+    return out
 
 
-def told(s: Spelled, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What step 2 needs of words: how many early decisions each has; of those, in 64 bits each, the key of the whole prefix and step 1's
-    logit with the outcome as its last bit; and the logarithm of the probability of each word's other decisions together."""
-    starts = np.cumsum(s.size) - s.size
-    out = np.empty((int(s.early.sum()), 2), np.uint32)
-    out[:, 0] = s.keys[-1][s.early]
-    out[:, 1] = (mixed[s.early].view(np.uint32) & np.uint32(0xFFFFFFFE)) | s.bit[s.early].view(np.uint8)
+def told(place: np.ndarray, s: Spelled, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some bytes: how many early decisions each has; of those, in 64 bits each, the key of the whole prefix and step 1's logit
+    with the outcome as its last bit; and the logarithm of each byte's probability by other decisions."""
+    is_early = place < HEAD
+    early = np.repeat(is_early, s.size)
+    out = np.empty((int(early.sum()), 2), np.uint32)
+    out[:, 0] = s.keys[-1][early]
+    out[:, 1] = (mixed[early].view(np.uint32) & np.uint32(0xFFFFFFFE)) | s.bit[early].view(np.uint8)
     right = np.log1p(-np.abs(s.bit - squash(np.clip(mixed, -16, 16))))
-    right[s.early] = 0
-    return np.add.reduceat(s.early.astype(np.int64), starts), out.view(np.uint64).reshape(-1), np.add.reduceat(right, starts)
+    logs = np.add.reduceat(right, np.cumsum(s.size) - s.size)
+    return np.where(is_early, s.size, 0), out.view(np.uint64).reshape(-1), np.where(is_early, 0, logs)
 
 
 def heard(known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,20 +415,25 @@ class Trainer:
             self.learned(words, hashes, counts, tokens, sizes, held)
 
     def learned(self, words: bytes, hashes: np.ndarray, counts: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> None:
-        vocabulary, at, again = [], 0, self.again(hashes, counts)
-        for s in spelled(words, self.codes, self.lengths):
-            to = at + len(s.size)
-            vocabulary.append(told(s, self.inside(s, counts[at:to], again[at:to])))
-            at = to
-        size, known, _ = (np.concatenate(column) for column in zip(*vocabulary))
-        first = np.cumsum(size) - size
+        tree, again = tree_of(words), self.again(hashes, counts)
+        weight, types = tree.sums(counts), tree.sums(counts > 0)
+        often = np.where(tree.place < HEAD, weight, tree.sums(counts * again))
+        taught = np.flatnonzero(weight > 0)  # other bytes are of held-out texts only
+        parts = np.split(taught, np.arange(BYTES, len(taught), BYTES))
+        pieces: list = [None] * len(parts)
+        # neighbours in the tree are alike, so its parts teach in a random order
+        for k in np.random.default_rng(len(taught)).permutation(len(parts)).tolist():
+            some = parts[k]
+            s = spelled(tree, some, self.codes, self.lengths)
+            pieces[k] = (some, *told(tree.place[some], s, self.inside(s, weight[some], types[some], often[some])))
+        known = known_of(tree, pieces)
         lead = short_before(tokens, sizes, hashes, bytes_sizes(words))
         teach = np.flatnonzero(np.repeat(~held, sizes))
         w = self.weights
         for at in range(0, len(teach), SLICE):
             pick = teach[at : at + SLICE]
-            d, n = decisions(first, size, tokens[pick])
-            key, mixed, bit = heard(known[d])
+            d, n = decisions(known, tokens[pick])
+            key, mixed, bit = heard(known.early[d])
             place = slots(key ^ np.repeat(lead[pick], n), self.bits)
             pair = outcomes(self.both[-1][place])
             x, g = [mixed, stretched(*pair)], evidence(*pair)
@@ -357,11 +442,11 @@ class Trainer:
             learn(w.late, w.late_sure, g, x, bit - p, p * (1 - p) * 2)
             np.add.at(self.n[-1], 2 * place + bit, np.uint32(1))
 
-    def inside(self, s: Spelled, counts: np.ndarray, again: np.ndarray) -> np.ndarray:
-        """Step 1 of a slice of the vocabulary, which is then learned from and counted."""
+    def inside(self, s: Spelled, weight: np.ndarray, types: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """Step 1 of some bytes, which are then learned from and counted. Amounts by byte: occurrences, words, and occurrences of which
+        the table of whole prefixes hears."""
         w, bit = self.weights, s.bit
-        own = np.repeat(counts, s.size)
-        weight = own.astype(np.float32)
+        weight = np.repeat(weight.astype(np.float32), s.size)
         where = [slots(key, self.bits) for key in s.keys]
         n = [outcomes(self.both[i][place]) for i, place in enumerate(where)]
         x = [stretched(*pair) for pair in n]
@@ -374,7 +459,7 @@ class Trainer:
         cell = g * 33 + ((np.clip(m, -7.99, 7.99) + 8) * 2 + 0.5).astype(np.int64)
         w.hits += np.bincount(cell, weight, GATES * 33).reshape(GATES, 33)
         w.ones += np.bincount(cell, weight * bit, GATES * 33).reshape(GATES, 33)
-        once, often = (own > 0).astype(np.uint32), (own * (s.early | np.repeat(again, s.size))).astype(np.uint32)
+        once, often = np.repeat(types.astype(np.uint32), s.size), np.repeat(often.astype(np.uint32), s.size)
         for i, place in enumerate(where):
             np.add.at(self.n[i], 2 * place + bit, often if i == TABLES - 2 else once)
         return out
@@ -385,11 +470,11 @@ def bytes_sizes(words: bytes) -> np.ndarray:
     return np.concatenate([[SHORT + 1], bytes_of(words)[2][1:] - 1])
 
 
-def decisions(first: np.ndarray, size: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The decisions of tokens in order, and how many each token has. first, size: of the vocabulary's words."""
-    n = size[token]
+def decisions(known: Known, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The early decisions of tokens in order, and how many each token has."""
+    n = known.size[token]
     ends = np.cumsum(n)
-    d = np.repeat(first[token] - (ends - n), n)
+    d = np.repeat(known.first[token] - (ends - n), n)
     d += np.arange(len(d))
     return d, n
 
@@ -425,10 +510,13 @@ class Model:
 
     def texts(self, words: bytes, hashes: np.ndarray, exact: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 of each text's probability. exact: count of each word of the vocabulary in all training texts."""
-        vocabulary = [told(s, self.inside(s)) for s in spelled(words, self.codes, self.lengths)]
-        size, known, rest = (np.concatenate(column) for column in zip(*vocabulary))
-        del vocabulary
-        first = np.cumsum(size) - size
+        tree, pieces = tree_of(words), []
+        for at in range(0, len(tree.at), BYTES):
+            some = np.arange(at, min(at + BYTES, len(tree.at)))
+            s = spelled(tree, some, self.codes, self.lengths)
+            pieces.append((some, *told(tree.place[some], s, self.inside(s))))
+        known = known_of(tree, pieces)
+        del tree, pieces
         lead = short_before(tokens, sizes, hashes, bytes_sizes(words))
         late = self.weights.late.T.astype(np.float32)
         starts = np.cumsum(sizes) - sizes
@@ -448,18 +536,18 @@ class Model:
             for docs, m in zip(np.split(active, cuts), np.split(n, cuts)):
                 ends = np.cumsum(m)
                 at = np.arange(ends[-1]) + np.repeat(starts[docs] + lo - (ends - m), m)
-                d, each = decisions(first, size, tokens[at])
+                d, each = decisions(known, tokens[at])
                 heads = np.cumsum(each) - each
                 by = heads[ends - m]
                 total = np.add.reduceat(each, ends - m)
-                key, mixed, bit = heard(known[d])
+                key, mixed, bit = heard(known.early[d])
                 v, seen = unpacked(self.tables[-1][slots(key ^ np.repeat(lead[at], each), self.bits)])
                 x0, x1 = late[0][seen] * mixed, late[1][seen] * v
                 z = np.repeat(own[0, docs], total) * x0 + np.repeat(own[1, docs], total) * x1
                 np.clip(z, -16, 16, out=z)
                 p = squash(z)
                 error = bit - p
-                logs[at] = np.add.reduceat(np.log1p(-np.abs(error)), heads) + rest[tokens[at]]
+                logs[at] = np.add.reduceat(np.log1p(-np.abs(error)), heads) + known.rest[tokens[at]]
                 if hi < longest:
                     curve = p * (1 - p)
                     for k, x in enumerate((x0, x1)):
