@@ -70,10 +70,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parts_for(texts: DataFrame, text_col: str, target: int = 64_000_000) -> tuple[int, int]:
-    """How many rows there are, and how many partitions of about `target` bytes of text they fill (the session's number at least)."""
-    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
-    return n, max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // target))
+def parts_for(rows: DataFrame, per_part: int = 16_384) -> tuple[int, int]:
+    """How many rows there are, and how many partitions of at most `per_part` rows on average they fill (the session's number at least)."""
+    n = rows.count()
+    return n, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // per_part))
 
 
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:

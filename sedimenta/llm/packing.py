@@ -120,7 +120,7 @@ def pack(
     in the group. Other columns are not read, whatever their names. An empty table gives an empty table.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    n, parts = parts_for(rows, "text")
+    n, parts = parts_for(rows)
     groups = max(1, -(-n // GROUP))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("long"))
     rows = rows.repartition(parts, "g").sortWithinPartitions("g", "id")

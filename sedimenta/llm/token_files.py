@@ -149,7 +149,7 @@ def write(docs: DataFrame, folder: str, *, file: str, end_id: int, id_col: str =
     one whole file. An empty table gives an empty manifest.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    _, parts = parts_for(rows, "text")
+    _, parts = parts_for(rows)
     rows = rows.repartitionByRange(parts, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h", "text").select("id", "text")
     end = struct.pack("<I", end_id)
 

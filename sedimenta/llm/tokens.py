@@ -13,8 +13,8 @@ import sys
 from array import array
 from collections.abc import Iterable
 
-#: Pieces remembered by a worker process, and half as many runs of letters; later ones are encoded each time they come up in a batch.
-MEMORY = 600_000
+#: Pieces remembered by a worker process; later ones are encoded each time they come up in a batch.
+MEMORY = 900_000
 #: A piece longer than this is encoded but not remembered.
 LONGEST = 64
 
@@ -24,6 +24,7 @@ _START = re.compile("[!-~¡-ᙿ]")
 _NONE = " "
 _CUT = re.compile(" (?=[!-~¡-ᙿ])")
 #: Letters that need no normalisation but lower case, then marks that the pre-tokenizers split from letters.
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 _CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
@@ -71,7 +72,6 @@ class Encoder:
         self.memory = memory
         self.known: dict[str, bytes] = {_NONE: b""}  # of pieces behind a space
         self.opened: dict[str, bytes] = {}  # of pieces at the beginning of a text
-        self.letters: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     @staticmethod
@@ -86,35 +86,43 @@ class Encoder:
 
     def _spelled(self, letters: str) -> bytes:
         """Ids of a run of letters: one word of the model, so no normaliser and no cutting is needed."""
-        if len(self.letters) >= self.memory // 2:
-            self.letters = {}
         spelling = self.mark + (letters if letters.isascii() else letters.translate(self.alphabet))
-        ids = self.letters[letters] = self.packed([t.id for t in self.core.model.tokenize(spelling)])
+        ids = self.packed([t.id for t in self.core.model.tokenize(spelling)])
+        if len(self.known) < self.memory and len(letters) <= LONGEST:
+            self.known[letters] = ids
         return ids
 
     def _marks(self, marks: str) -> bytes:
         if len(self.marks) >= 10_000:
-            self.marks = {}
+            self.marks.clear()
         ids = self.marks[marks] = self._encode(self.whole, [marks])[0]
         return ids
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that follow a space."""
-        rest, new = [], {}
+        rest, new, known, marks_of = [], {}, self.known, self.marks
         for p in pieces:
-            if m := _CORE.fullmatch(p):
+            bare = p[:-1]
+            if p.isascii() and p.isalpha():
+                letters, marks = p, ""
+            elif bare.isascii() and bare.isalpha() and p[-1] in _MARKS:
+                letters, marks = bare, p[-1]
+            elif m := _CORE.fullmatch(p):
                 letters, marks = m.groups()
-                if self.lower:
-                    letters = letters.lower()
-                ids = self.letters.get(letters) or self._spelled(letters)
-                if marks:
-                    ids += self.marks.get(marks) or self._marks(marks)
-                new[p] = ids
             else:
                 rest.append(p)
+                continue
+            if self.lower:
+                letters = letters.lower()
+            ids = known.get(letters)
+            if ids is None:
+                ids = self._spelled(letters)
+            if marks:
+                ids += marks_of.get(marks) or self._marks(marks)
+            new[p] = ids
         new.update(zip(rest, self._encode(self.whole, [self.lead + p for p in rest])))
-        if len(self.known) < self.memory:
-            self.known.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST)
+        if len(known) < self.memory:
+            known.update(new if len(max(new, key=len, default="")) <= LONGEST else {p: ids for p, ids in new.items() if len(p) <= LONGEST})
         return new
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
