@@ -43,7 +43,8 @@ def jaccard_links(left: DataFrame, right: DataFrame, threshold: float, *, id_col
     """Pairs of two tables whose distinct fields have a Jaccard similarity of at least threshold.
 
     Fields stand rarest first over both tables; pairs that can reach the threshold share one of the first n - ceil(t * n) + 1,
-    so only those are joined on; sizes must fit as well, and each candidate pair is then compared once.
+    so only those are joined on. Before a pair leaves the join its sizes must fit, what follows the shared field on both sides must
+    be enough, and the field must be the first that the two have in common, so that a pair comes up once.
     """
 
     def sets(df: DataFrame, tag: str) -> DataFrame:
@@ -53,12 +54,15 @@ def jaccard_links(left: DataFrame, right: DataFrame, threshold: float, *, id_col
     fields = both.select("tag", "id", F.size("f").alias("n"), F.explode("f").alias("field"))
     df = fields.groupBy("field").agg(F.count("*").alias("df"), F.count_distinct("tag").alias("tags"))
     order = fields.join(df, "field").groupBy("tag", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "field", "tags"))).alias("s"))
-    lead = order.select("tag", "id", "n", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("x"))
-    lead = lead.where("x.tags = 2").select("tag", "id", "n", "x.field")
-    l = lead.where("tag = 'l'").select(F.col("id").alias("a"), F.col("n").alias("na"), "field")
-    r = lead.where("tag = 'r'").select(F.col("id").alias("b"), F.col("n").alias("nb"), "field")
+    first = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    order = order.select("tag", "id", "n", F.transform(first, lambda x: x["field"]).alias("first"), first.alias("s"))
+    lead = order.select("tag", "id", "n", "first", F.posexplode("s").alias("at", "x")).where("x.tags = 2").select("tag", "id", "n", "first", "at", "x.field")
+    l = lead.where("tag = 'l'").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa"), F.col("at").alias("ia"), "field")
+    r = lead.where("tag = 'r'").select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb"), F.col("at").alias("ib"), "field")
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * threshold
-    pairs = l.join(r, "field").where(fits).select("a", "b").distinct()
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
+    once = F.get(F.array_intersect("fa", "fb"), F.lit(0)) == F.col("field")
+    pairs = l.join(r, "field").where(fits & enough & once).select("a", "b")
     x, y = both.where("tag = 'l'").select(F.col("id").alias("a"), F.col("f").alias("fa")), both.where("tag = 'r'").select(F.col("id").alias("b"), F.col("f").alias("fb"))
     i = F.size(F.array_intersect("fa", "fb"))
     out = pairs.join(x, "a").join(y, "b").withColumn("shared", i).withColumn("jaccard", F.col("shared") / (F.size("fa") + F.size("fb") - F.col("shared")))

@@ -48,16 +48,16 @@ def validate_index(spark, d):
     s = a.symbols(a.lines(f))
     ids, owners = f.select("id"), s.select(F.col("file_id").alias("id")).distinct()
     age = F.floor((F.lit(a.NOW) - F.col("last_modified")) / 86400)
+    # what one pass over the files tells
+    sums = f.agg(F.count_if(F.col("size_bytes") == 0).alias("empty files"), F.count_if(F.col("domain").isNull()).alias("no domain"), F.count_if(age > 30).alias("stale files"))
+    kinds = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(w).alias("severity"), F.col(c).alias("n")) for c, w in (("empty files", "info"), ("no domain", "info"), ("stale files", "warning"))])
     parts = [
         ("files without symbols", "warning", ids.join(owners, "id", "left_anti").agg(F.count("*").alias("n"))),
         ("orphaned symbols", "critical", s.join(ids.withColumnRenamed("id", "file_id"), "file_id", "left_anti").agg(F.count("*").alias("n"))),
         ("bad ranges", "critical", s.agg(F.count_if(F.col("line_end") < F.col("line_start")).alias("n"))),
         ("duplicate content", "info", f.groupBy("content_hash").agg((F.count("*") - 1).alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))),
-        ("empty files", "info", f.agg(F.count_if(F.col("size_bytes") == 0).alias("n"))),
-        ("no domain", "info", f.agg(F.count_if(F.col("domain").isNull()).alias("n"))),
-        ("stale files", "warning", f.agg(F.count_if(age > 30).alias("n"))),
     ]
-    out = None
+    out = sums.select(F.explode(kinds).alias("k")).select("k.*")
     for category, severity, df in parts:
         row = df.select(F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.col("n").cast("long").alias("n"))
         out = row if out is None else out.unionByName(row)

@@ -164,8 +164,8 @@ def blame_asof(spark, d):
     e = a.table(spark, d, "events")
     probes = e.where("event_type = 'view'").select("user_id", "ts", "event_id")
     hunks = e.where("event_type = 'purchase'").select("user_id", "ts", "value")
-    found = g.asof(probes, hunks, "user_id", "ts", "ts", "value").dropDuplicates(["user_id", "ts"])
-    return probes.join(found, ["user_id", "ts"]).select("event_id", "user_id", F.col("value").alias("last_value"))
+    found = g.asof(probes, hunks, "user_id", "ts", "ts", "value", bucket=lambda o: F.date_trunc("day", o))
+    return found.select("event_id", "user_id", F.col("value").alias("last_value"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS src, l_partkey + 1000000000 AS dst FROM lineitem UNION SELECT DISTINCT l_partkey + 1000000000, l_suppkey + 2000000000 FROM lineitem),

@@ -26,7 +26,7 @@ def _hybrid(spark, d, k=10, min_score=0.0):
     vectors = a.table(spark, d, "embeddings")
     v = s.vector_topk(vectors, query_vector(spark, d), 2 * k)
     v = s.ranked(v, "distance", "vec_id").select(F.col("vec_id").alias("id"), "rank", "score")
-    tok = a.tokens(a.lines(a.files(spark, d)))
+    tok = a.tokens(s.lines_with(a.lines(a.files(spark, d)), WORDS))
     w = s.ranked(s.keyword_topk(tok, WORDS, 2 * k), F.desc("n_words"), F.desc("n_hits"), "file_id").select(F.col("file_id").alias("id"), "rank")
     return s.fuse(v, w, min_score=min_score, k=k).select("id", F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), "match_type")
 
@@ -58,7 +58,7 @@ def hybrid_search_min_score(spark, d):
 def hybrid_search_path_filter(spark, d):
     v = s.vector_topk(a.table(spark, d, "embeddings"), query_vector(spark, d), 20, where=F.col("label") == 3)
     v = s.ranked(v, "distance", "vec_id").select(F.col("vec_id").alias("id"), "rank", "score")
-    tok = a.tokens(a.lines(a.files(spark, d).where(F.col("path").startswith("/corpus/src1"))))
+    tok = a.tokens(s.lines_with(a.lines(a.files(spark, d).where(F.col("path").startswith("/corpus/src1"))), WORDS))
     w = s.ranked(s.keyword_topk(tok, WORDS, 20), F.desc("n_words"), F.desc("n_hits"), "file_id").select(F.col("file_id").alias("id"), "rank")
     return s.fuse(v, w).select("id", F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), "match_type")
 
@@ -95,12 +95,12 @@ def ivf_probe(spark, d):
 
 @query(f"WITH {a.TOKENS} SELECT file_id, count(DISTINCT term) AS n_words, count(*) AS n_hits FROM tokens WHERE term IN {_W} GROUP BY file_id ORDER BY n_words DESC, n_hits DESC, file_id LIMIT 20")
 def keyword_or_search(spark, d):
-    return s.keyword_topk(a.tokens(a.lines(a.files(spark, d))), WORDS, 20)
+    return s.keyword_topk(a.tokens(s.lines_with(a.lines(a.files(spark, d)), WORDS)), WORDS, 20)
 
 
 @query(f"WITH {a.TOKENS} SELECT a.file_id, a.line, a.pos FROM tokens a JOIN tokens b ON a.file_id = b.file_id AND a.line = b.line AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'")
 def keyword_phrase_search(spark, d):
-    return s.phrase_hits(a.tokens(a.lines(a.files(spark, d))), ["of", "the"])
+    return s.phrase_hits(a.tokens(s.lines_with_all(a.lines(a.files(spark, d)), ["of", "the"])), ["of", "the"])
 
 
 @query(f"WITH {a.SYMBOLS} SELECT id, file_id, name FROM symbols WHERE contains(name, 'tion') ORDER BY file_id, id LIMIT 200")

@@ -47,10 +47,23 @@ def ingest(stream: DataFrame, table, keys: list[str], order: list[str], checkpoi
 
 
 def breaker(events: DataFrame, failures: int = 5) -> DataFrame:
-    """Per tool, whether a circuit breaker is open after each event: `failures` or more failures in a row up to there."""
+    """Per tool, whether a circuit breaker is open after each event: `failures` or more failures in a row up to there.
+
+    Events are ordered within tool and day. A day is summed up as the failures that end it and whether it has a success, and begins
+    with the failures that end the days before it, so that a busy tool is dealt over its days.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("tool_name").orderBy("created_at", "id")
-    run = F.sum(F.col("success").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = events.withColumn("run", run).withColumn("k", F.sum((~F.col("success")).cast("int")).over(Window.partitionBy("tool_name", "run").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.select("id", "tool_name", F.col("k").alias("failures_in_row"), (F.col("k") >= failures).alias("open"))
+    rows = events.withColumn("day", F.date_trunc("day", "created_at")).withColumn("bad", (~F.col("success")).cast("int"))
+    day = Window.partitionBy("tool_name", "day").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("run", F.sum(F.col("success").cast("int")).over(day)).withColumn("so_far", F.sum("bad").over(day))
+    # failures since the day's last success, or its beginning
+    since = F.col("so_far") - F.coalesce(F.max(F.when(F.col("success"), F.col("so_far"))).over(day), F.lit(0))
+    rows = rows.withColumn("k", since)
+    days = rows.groupBy("tool_name", "day").agg(F.max_by("k", F.struct("created_at", "id")).alias("ends"), F.max(F.col("success").cast("int")).alias("mended"))
+    over = Window.partitionBy("tool_name").orderBy("day")  # a row per day
+    days = days.withColumn("part", F.sum("mended").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    days = days.withColumn("open", F.sum("ends").over(Window.partitionBy("tool_name", "part").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
+    days = days.select("tool_name", "day", F.coalesce(F.lag("open").over(over), F.lit(0)).alias("before"))
+    out = rows.join(days, ["tool_name", "day"]).withColumn("n", F.col("k") + F.when(F.col("run") == 0, F.col("before")).otherwise(0))
+    return out.select("id", "tool_name", F.col("n").alias("failures_in_row"), (F.col("n") >= failures).alias("open"))
