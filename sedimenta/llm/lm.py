@@ -46,7 +46,7 @@ ORDERS = (3, 5)  # bytes; after these tables the one of the whole prefix, then o
 TABLES = len(ORDERS) + 2
 HEAD = 4  # bytes of a word that the last short word before it helps to predict
 SHORT = 3  # bytes of a short word, at most
-FEWEST_BITS, MOST_BITS = 14, 22  # slots of each context's table, as a power of two
+FEWEST_BITS, MOST_BITS = 14, 21  # slots of each context's table, as a power of two
 GATES, LATE = 24, 16  # gates of step 1 and of step 2
 CHUNK, GROWTH = 16, 1.25  # tokens to the first change of a text's own weights, and how chunks grow
 SHARES = ((0.1, 0.005), (0.1, 0.05), (0.5, 0.005), (0.5, 0.05))  # of exact counts, of the text's own past
@@ -58,7 +58,7 @@ BYTES = 5_000  # bytes of a vocabulary that are predicted at once
 SEEN_BITS = 24  # of the table of hashes of words that a task has had
 TASK_BYTES = 48_000_000  # of packed blocks that one task learns from
 PIECES = 128  # rows in which tables of counts move
-BUCKET = 4_000_000  # words of blocks whose counts are added up in one task
+BUCKET = 2_000_000  # words of blocks whose counts are added up in one task
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 C4, C5 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
