@@ -30,7 +30,7 @@ def normalised(passage: Column) -> Column:
 
 
 def passages(text: Column) -> Column:
-    """(level, body) in order: neighbouring lines of one level, cut at blank lines."""
+    """(level, body) in order: neighbouring lines of one level, cut at blank lines and at a line that announces the quotation behind it."""
     read = F.transform(
         F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n", -1),
         lambda line: F.struct(level_of(line).alias("level"), F.regexp_replace(line, MARKS + " ?", "").alias("body")),
@@ -41,7 +41,8 @@ def passages(text: Column) -> Column:
         def starts_here(x: Column, i: Column) -> Column:
             before = F.get(lines, i - 1)
             blank = F.btrim(x["body"], F.lit(SPACE_CHARS)) == ""
-            return (i == 0) | F.coalesce(before["level"] != x["level"], F.lit(True)) | blank
+            announces = (x["level"] == 0) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0) & x["body"].rlike(INTRO)
+            return (i == 0) | F.coalesce(before["level"] != x["level"], F.lit(True)) | blank | announces
 
         starts = F.filter(F.transform(lines, lambda x, i: F.when(starts_here(x, i), i)), lambda i: i.isNotNull())
 
@@ -77,7 +78,9 @@ def threaded(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     quotations within the conversation begins, its own without one. reply_order: place in the conversation when threads
     stand by their first turn and messages of a thread by turn. line: "role: text". Nested levels are separate passages, so a
     quotation within a quotation finds its own source. A quotation of some lines of a passage, or of passages run together, is found by
-    its lines, so it must not be wrapped anew as whole passages may. A null text is empty; empty passages link with nothing; messages with the same
+    its lines, so it must not be wrapped anew as whole passages may. Messages without a conversation are not ordered: each has reply_order 1.
+    Passages are told apart by 64-bit hashes of their words: among n passages two different ones are taken for one with chance n * n / 2**65.
+    Columns other than the four named ones are not read. A null text is empty; empty passages link with nothing; messages with the same
     conversation and turn are one source but separate rows; null conversations or turns link with nothing.
     """
     rows = messages.select(
@@ -138,7 +141,7 @@ def threaded(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
 
     out = rows.join(linked.select("row", "source", "n_linked"), "row", "left").join(step, ["conv", "turn"], "left")
     out = out.withColumn("thread", F.coalesce("up", "turn"))
-    place = F.row_number().over(Window.partitionBy("conv").orderBy("thread", "turn", "role", "text"))
+    place = F.row_number().over(Window.partitionBy("conv", F.when(F.col("conv").isNull(), F.col("row"))).orderBy("thread", "turn", "role", "text"))
     return out.select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "text",
         F.concat_ws(": ", F.coalesce("role", F.lit("user")), "text").alias("line"),

@@ -386,6 +386,79 @@ def test_chat(spark):
     assert chat.threaded(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_rows(spark):
+    """Announcing lines go, rows repeat, long texts pass, null turns and conversations stand alone, other columns do not matter."""
+    from pyspark.sql import functions as F
+
+    data = [
+        (1, 0, "user", "One stone."), (1, 1, "user", "My view.\nAnna wrote:\n> One stone.\nYes."), (1, 1, "user", "My view.\nAnna wrote:\n> One stone.\nYes."),
+        (1, None, "user", "> One stone."), (None, 3, None, "> One stone."), (None, 3, None, "> One stone."), (2, 0, "user", "word " * 100_000 + "\n> One stone."), (2, 1, "user", "Anna wrote:\nnothing quoted"),
+    ]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumns({"row": F.lit(1), "own": F.lit("x"), "quotes": F.lit(2)})
+    got = Counter((r.conv_id, r.turn, r.n_linked, r.reply_order, r.text[:20]) for r in chat.threaded(df).collect())
+    assert got == Counter({
+        (1, 0, 0, 2, "One stone."): 1, (1, 1, 1, 3, "My view.\nYes."): 1, (1, 1, 1, 4, "My view.\nYes."): 1, (1, None, 0, 1, ""): 1, (None, 3, 0, 1, ""): 2, (2, 0, 1, 1, "word word word word "): 1,
+        (2, 1, 0, 2, "Anna wrote:\nnothing "): 1,
+    })
+
+
+def test_minhash_repeated_ids_keep_links(spark):
+    """An id with two texts stands for both: near copies of either are linked with it."""
+    w = [f"a{k}" for k in range(100)]
+    v = [f"b{k}" for k in range(100)]
+    rows = [(1, " ".join(w)), (1, " ".join(v)), (2, " ".join([*w[:99], "x"])), (3, " ".join([*v[:99], "y"])), (4, "else " * 20)]
+    got = {(r.doc_id, r.component_id) for r in minhash.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_minhash_without_broadcast(spark, docs, monkeypatch):
+    """Beyond SMALL ids both sides are shuffled, with the same rows."""
+    ids = docs.select(docs.doc_id.alias("id")).where("id % 2 = 0")
+    texts = docs.select(docs.doc_id.alias("id"), "text")
+    assert sorted(minhash.chosen(texts, ids).collect(), key=str) == sorted(minhash.chosen(texts, ids, small=0).collect(), key=str)
+
+
+def test_names_of_other_columns(spark):
+    """Columns that operators use inside do no harm, and dots in names pass."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "mail a@b.cd now"), (2, None)], "doc_id long, text string").withColumns({"pii_spans": F.lit("mine"), "id": F.lit(9), "n": F.lit(8), "a.b": F.lit(7)})
+    clean = pii.redact(df)
+    assert clean.columns == df.columns and {(r.doc_id, r.text, r.pii_spans) for r in clean.collect()} == {(1, "mail <email> now", "mine"), (2, None, "mine")}
+    with pytest.raises(ValueError):
+        pii.find(df.withColumn("pii", F.lit(1)))
+    assert minhash.linked(df).count() == packing.pack(df, file="byte_bpe_50k.json", end_id=1).select("doc_id").distinct().count() == 2
+    e = spark.createDataFrame([(1, [1.0, 0.0], 1, "x"), (2, [1.0, 0.0], 1, "x"), (2, [1.0, 0.0], 1, "x")], "vec_id long, embedding array<float>, label int, key string").withColumns({"cls": F.lit(1), "u": F.lit(2), "v": F.lit(3)})
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.linked(e).collect()) == [(1, 2, 1), (2, 2, 1), (2, 2, 1)]
+
+
+def test_context_words_are_whole(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f"the turkey {key}", f"{key} is my api key", f"api_key={key}", f"KEY: {key}", f"monkeys {key}", f"keys {key}", "key" + "x" * 38 + " " + key, "tur" + "key" + " " * 38 + key]
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [len(r.pii) for r in sorted(got)] == [0, 1, 1, 1, 0, 1, 0, 0]
+
+
+def test_toxicity_rows(spark):
+    """Repeated rows, very long texts and other columns."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, ("scum idiot " * 5 if k % 4 == 0 else "") + f"plain words{k % 7} here and there " * 10) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "half": F.lit(2), "toxic": F.lit(3)})
+    model = toxicity.fit(docs, spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int"))
+    more = docs.union(docs.limit(1)).union(docs.limit(1).withColumn("text", F.lit("plain " * 200_000)))
+    got = toxicity.score(more, model)
+    assert got.count() == 82 and got.columns == ["doc_id", "score", "passages"]
+
+
+def test_packing_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c " * 50)] * 3000 + [(2, "x")], "doc_id long, text string")
+    got = packing.pack(df, file="byte_bpe_50k.json", end_id=1)
+    n = len(tokens.encoder("byte_bpe_50k.json").whole.encode("a b c " * 50, add_special_tokens=False).ids) + 1
+    assert got.where("doc_id = 1").groupBy().sum("length").first()[0] == 3000 * n
+    assert got.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
 def test_chat_parts_of_passages(spark):
     data = [
         (1, 0, "user", "First line here\nsecond line here\nthird line here\n\nAnother paragraph."),

@@ -131,11 +131,13 @@ def assert_threads(rows, got):
 
     def passages(text):
         out, last = [], None
-        for line in re.sub("\r\n?", "\n", text or "").split("\n"):
-            marks = re.match(r"^(?:[ \t]*>)+", line)
-            level = marks.group().count(">") if marks else 0
+        lines = re.sub("\r\n?", "\n", text or "").split("\n")
+        depth = lambda line: m.group().count(">") if (m := re.match(r"^(?:[ \t]*>)+", line)) else 0
+        for n, line in enumerate(lines):
+            level = depth(line)
             body = re.sub(r"^(?:[ \t]*>)+ ?", "", line)
-            if last != level or not body.strip(" \t\n\x0b\x0c\r"):
+            announces = level == 0 and n + 1 < len(lines) and depth(lines[n + 1]) > 0 and re.match(r"(?i)^.{0,200}\bwrote\s*:\s*$", body)
+            if last != level or not body.strip(" \t\n\x0b\x0c\r") or announces:
                 out.append((level, []))
             out[-1][1].append(body)
             last = level
