@@ -67,3 +67,8 @@ def breaker(events: DataFrame, failures: int = 5) -> DataFrame:
     days = days.select("tool_name", "day", F.coalesce(F.lag("open").over(over), F.lit(0)).alias("before"))
     out = rows.join(days, ["tool_name", "day"]).withColumn("n", F.col("k") + F.when(F.col("run") == 0, F.col("before")).otherwise(0))
     return out.select("id", "tool_name", F.col("n").alias("failures_in_row"), (F.col("n") >= failures).alias("open"))
+
+
+def progress(spark, query) -> DataFrame:
+    """(rows_read) of a query's batches so far, from its own progress reports."""
+    return spark.createDataFrame([(sum(int(p["numInputRows"]) for p in query.recentProgress),)], "rows_read long")
