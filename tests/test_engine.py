@@ -231,8 +231,8 @@ def test_routes_and_imports(spark):
     files = spark.createDataFrame([(1, "/s/a.ts"), (2, "/s/b/index.ts"), (3, "/c.ts")], "id long, path string")
     imports = spark.createDataFrame([(9, "/s/x.ts", "./a"), (9, "/s/x.ts", "./b"), (9, "/s/x.ts", "../c"), (9, "/s/x.ts", "react"), (9, "/s/x.ts", "./none")], "file_id long, path string, module string")
     assert {(r.module, r.target) for r in routes.resolve_imports(imports, files).collect()} == {("./a", 1), ("./b", 2), ("../c", 3)}
-    one = spark.createDataFrame([("//! Top\n//! # no\n//! more\nfn f() {}", "rust")], "c string, l string").select(routes.docstring(F.col("c"), F.col("l")).alias("d"), routes.domain_by_imports(F.lit("use axum;")).alias("s"))
-    assert tuple(one.first()) == ("Top more", "backend")
+    one = spark.createDataFrame([("//! Top\n//! # no\n//! more\nfn f() {}", "rust")], "c string, l string").select(routes.docstring(F.col("c"), F.col("l")).alias("d"), routes.domain_by_imports(F.lit("use axum;"), F.lit("rs")).alias("s"))
+    assert tuple(one.first()) == ("Top more", "rust")
     table = spark.createDataFrame([(1, "{path: '/a', component: () => import('./A.vue')}")], "file_id long, text string").withColumn("line", F.lit(1))
     assert tuple(routes.router_map(table).first()) == (1, 1, "/a", "./A.vue")
 
