@@ -819,7 +819,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
                 words, token, sizes = zstandard.ZstdDecompressor().decompress(get("words")), unpress(get("tokens"), np.int32), unpress(get("sizes"), np.int64)
-                hashes = hashes_of([b"", *words.split()])
+                hashes = np.frombuffer(get("hashes"), np.uint64)
                 exact = np.empty(len(hashes), np.int64)
                 exact[dealt(hashes, buckets)[0]] = np.concatenate([unpress(v, np.int64) for v in get("known")])
                 total = model.value.texts(words, hashes, exact, token, sizes)
@@ -838,4 +838,4 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
 
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     with one_by_one(spark):
-        return stored(blocks.select("block", "ids", "nulls", "held", "sizes", "tokens", "words").join(known, "block").mapInArrow(run, schema), "lm-scores")
+        return stored(blocks.select("block", "ids", "nulls", "held", "sizes", "tokens", "words", "hashes").join(known, "block").mapInArrow(run, schema), "lm-scores")
