@@ -308,7 +308,7 @@ def go_dependencies(spark, d):
     return reports.go_mod(texts(spark, d, "module example.com/p{k}\n\ngo 1.22\n\nrequire (\n\texample.com/m{s} v1.{s}.0\n)\nrequire github.com/x/y v0.2.0 // indirect\n").select("path", "value"))
 
 
-@query("SELECT 'repo' AS repo, 'c' || p_partkey AS commit_id, 'Ann' AS author, p_size * 1000 AS at, 'f' || v AS file FROM (SELECT p_partkey, p_size, unnest([1, 2]) AS v FROM part)")
+@query("SELECT 'repo' AS repo, 'c' || p_partkey AS commit_id, 'Ann' AS author, CAST(p_size * 1000 AS BIGINT) AS at, 'f' || v AS file FROM (SELECT p_partkey, p_size, unnest([1, 2]) AS v FROM part)")
 def commit_history(spark, d):
     h = reports.history(texts(spark, d, "\0c{k}\x01Ann\x01{s}000\x01say: it\n\nf1\nf2\n").select(F.lit("repo").alias("repo"), "value"))
     return h.select("repo", "commit_id", "author", F.unix_timestamp("ts").alias("at"), "file")
@@ -321,7 +321,7 @@ def blame_lines(spark, d):
     return reports.blame(texts(spark, d, t).select("file", "value")).select("file", "line", "author")
 
 
-@query("SELECT p_partkey AS id, v.f AS file, v.a AS added, v.d AS deleted FROM (SELECT p_partkey, unnest([{'f': 'a' || p_partkey, 'a': 2, 'd': 1}, {'f': 'b' || p_size, 'a': 0, 'd': 1}]) AS v FROM part)")
+@query("SELECT p_partkey AS id, v.f AS file, CAST(v.a AS BIGINT) AS added, CAST(v.d AS BIGINT) AS deleted FROM (SELECT p_partkey, unnest([{'f': 'a' || p_partkey, 'a': 2, 'd': 1}, {'f': 'b' || p_size, 'a': 0, 'd': 1}]) AS v FROM part)")
 def diff_sizes(spark, d):
     t = "--- a/a{k}\n+++ b/a{k}\n@@ -1 +1,2 @@\n-x\n+y\n+z\n keep\n--- a/b{s}\n+++ b/b{s}\n@@ -1 +0,0 @@\n-gone\n"
     return reports.diff(texts(spark, d, t).select("id", "value"))
