@@ -93,11 +93,12 @@ def code_context(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndar
     return (((one * np.uint64(257) + two) * np.uint64(257) + three) * C1 >> np.uint64(50)).view(np.int64)
 
 
-def code_counts(words: bytes, counts: np.ndarray) -> np.ndarray:
-    """How often each byte follows each context of the code, (CODES * 256); counts: of the words, the end token first."""
+def code_counts(words: bytes, counts: np.ndarray, into: np.ndarray) -> np.ndarray:
+    """Adds to `into`, (CODES * 256), how often each byte follows each context of the code; counts: of the words, the end token first."""
     data, place, sizes = bytes_of(words)
     context = code_context(*(before(data, np.arange(len(data)), place, back) for back in (1, 2, 3)))
-    return np.bincount(context * 256 + data, np.repeat(counts, sizes), CODES * 256)
+    np.add.at(into, context * 256 + data, np.repeat(counts, sizes).astype(into.dtype))
+    return into
 
 
 def huffman(weights: list[float]) -> list[int]:
@@ -624,13 +625,13 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         code = np.zeros(CODES * 256)
 
         def block() -> pa.RecordBatch:
-            nonlocal ids, held, texts, size, number, code
+            nonlocal ids, held, texts, size, number
             sizes = np.array([len(t) for t in texts], np.int64)
             tokens, out = np.concatenate(texts), np.array(held)
             vocabulary = list(index)
             counts = np.bincount(tokens[np.repeat(~out, sizes)], minlength=len(vocabulary))
             joined = b"".join([w + b" " for w in vocabulary[1:]])
-            code += code_counts(joined, counts)
+            code_counts(joined, counts, code)
             hashes = hashes_of(vocabulary)
             row = [
                 (part << 32) + number, press(np.array([i or 0 for i in ids], np.int64)), bytes(i is None for i in ids), out.tobytes(), press(sizes), press(tokens), zstandard.ZstdCompressor(level=1).compress(joined),
@@ -819,7 +820,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
                 words, token, sizes = zstandard.ZstdDecompressor().decompress(get("words")), unpress(get("tokens"), np.int32), unpress(get("sizes"), np.int64)
-                hashes = np.frombuffer(get("hashes"), np.uint64)
+                hashes = hashes_of([b"", *words.split()])
                 exact = np.empty(len(hashes), np.int64)
                 exact[dealt(hashes, buckets)[0]] = np.concatenate([unpress(v, np.int64) for v in get("known")])
                 total = model.value.texts(words, hashes, exact, token, sizes)
@@ -838,4 +839,4 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
 
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     with one_by_one(spark):
-        return stored(blocks.select("block", "ids", "nulls", "held", "sizes", "tokens", "words", "hashes").join(known, "block").mapInArrow(run, schema), "lm-scores")
+        return stored(blocks.select("block", "ids", "nulls", "held", "sizes", "tokens", "words").join(known, "block").mapInArrow(run, schema), "lm-scores")

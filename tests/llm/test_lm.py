@@ -33,7 +33,7 @@ def made():
     held = np.array([k % 5 == 1 for k in range(len(texts))])
     words, hashes, tokens, sizes, vocabulary = block(texts)
     counts = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(vocabulary))
-    codes, lengths = lm.code_tables(lm.code_counts(words, counts))
+    codes, lengths = lm.code_tables(lm.code_counts(words, counts, np.zeros(lm.CODES * 256)))
     trainer = lm.Trainer(16, codes, lengths)
     for _ in range(2):
         trainer.block(words, hashes, counts, tokens, sizes, held)
