@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, minhash, mixing, packing, pii, quality, token_files, toxicity, vectors
+from . import bpe, chat, lm, merkle, minhash, mixing, packing, phrases, pii, quality, token_files, toxicity, vectors
 from .common import fold, table
 
 
@@ -117,6 +117,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    other = F.when(fold(F.col("doc_id")) == 0, merkle.tampered_leaf(docs))
+    made = merkle.manifest(docs, merkle.FIELDS, extra={"other": other})
+    root = F.lit(made.root)
+    rows = made.leaves.withColumn("folded_root", merkle.folded(F.coalesce("other", "leaf"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", root.alias("root"), merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), file="byte_bpe_50k.tiktoken", with_decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash": op2_minhash,
@@ -128,6 +146,9 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_lm_scores": op9_lm_scores,
     "op10_pii": op10_pii,
+    "op11_merkle": op11_merkle,
+    "op12_bpe": op12_bpe,
+    "op13_phrases": op13_phrases,
 }
 # shingles by window of words; pairs that share a shingle; links by exact similarity; components by recursion
 OP2_SQL = r"""
@@ -162,4 +183,69 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT c.id AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.c AS component_id, c.id = c.c AS kept FROM c LEFT JOIN n ON n.a = c.id
 """
 
-ORACLES = {"op3_vectors": OP3_SQL, "op2_minhash": OP2_SQL, "op8_mix_sources": OP8_SQL}
+# leaves, nodes level by level, each leaf's siblings by the places of its parents, folding by reduction
+OP11_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS k,
+         list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS v,
+         list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS o,
+         xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+           lambda s, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(s, b)), 4294967295)) % 5 = 0 AS bad
+  FROM documents),
+l AS (
+  SELECT doc_id, k, sha256(array_to_string(v, '')) AS leaf, CASE WHEN bad THEN sha256(array_to_string(o, '')) ELSE sha256(array_to_string(v, '')) END AS other FROM f),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY k) AS n FROM l),
+t AS (
+  SELECT 0 AS lv, k, idx, leaf AS digest, n FROM p
+  UNION ALL
+  SELECT lv + 1, k, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16 FROM t WHERE n > 1 GROUP BY lv, k, idx // 16, n),
+s AS (SELECT k, digest AS subroot, row_number() OVER (ORDER BY k) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lv, idx, subroot AS digest, n FROM s
+  UNION ALL
+  SELECT lv + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY lv, idx // 16, n),
+w AS (
+  SELECT p.k, p.idx AS place, t.lv, coalesce(string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx < p.idx // (16 ** t.lv)::BIGINT), '') AS a,
+         coalesce(string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx > p.idx // (16 ** t.lv)::BIGINT), '') AS b
+  FROM p JOIN t ON t.k = p.k AND t.n > 1 AND t.idx // 16 = p.idx // (16 ** (t.lv + 1))::BIGINT GROUP BY ALL
+  UNION ALL
+  SELECT p.k, p.idx, 100 + u.lv, coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx < s.idx // (16 ** u.lv)::BIGINT), ''),
+         coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx > s.idx // (16 ** u.lv)::BIGINT), '')
+  FROM p JOIN s ON s.k = p.k JOIN u ON u.n > 1 AND u.idx // 16 = s.idx // (16 ** (u.lv + 1))::BIGINT GROUP BY ALL),
+x AS (SELECT k, place, list({'a': a, 'b': b} ORDER BY lv) AS steps, string_agg(a || b, '' ORDER BY lv) AS proof FROM w GROUP BY k, place),
+r AS (
+  SELECT p.doc_id, p.leaf, s.subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(coalesce(x.proof, '')) AS proof_sha256,
+         list_reduce(coalesce(x.steps, []), lambda y, z: {'a': sha256(z.a || y.a || z.b), 'b': ''}, {'a': p.other, 'b': ''}).a AS folded_root
+  FROM p JOIN s ON s.k = p.k LEFT JOIN x ON x.k = p.k AND x.place = p.idx)
+SELECT *, folded_root = root AS verified FROM r
+"""
+
+# all n-grams of all pieces, counted; the weakest cut of each; what a longer one holds goes
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+o AS (SELECT lang, ws, unnest([1, 2, 3, 4]) AS size FROM w),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM o WHERE len(ws) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+k AS (SELECT lang, phrase, a, size, ws, unnest(range(1, size)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, l.a AS l, r.a AS r, CAST((2000000::HUGEINT * k.a) // (l.a + r.a) AS BIGINT) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS a
+  FROM (SELECT lang, ws, a, m, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM c WHERE size > 2)) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, n.n, b.score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase
+WHERE h.a IS NULL OR 100 * h.a < 80 * b.a
+QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op11_merkle": OP11_SQL, "op13_phrases": OP13_SQL, "op3_vectors": OP3_SQL, "op2_minhash": OP2_SQL, "op8_mix_sources": OP8_SQL}
