@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.sources.versions import Versions
+
 
 def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row of each key, the largest by its other columns in their order; a null key is a key like others."""
@@ -94,41 +98,35 @@ def model_checked(cache: DataFrame, stored_model: str | None, model: str) -> Dat
 
 
 class VersionedTable:
-    """A table as numbered Parquet versions and a pointer to the current one.
+    """A table as numbered versions and, for each, the folder that holds it.
 
-    A write makes a new version and then moves the pointer by a rename, so readers see whole versions only and a write that fails
-    changes nothing. One writer at a time. Paths may be anything that Spark's file system layer opens.
+    A write fills a folder of its own and then makes the next version by naming it, so readers see whole versions only, a write that
+    fails changes nothing, and of two writers of one version the second fails without touching the other's files.
+    Paths may be anything that Spark's file system layer opens.
     """
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
+        self.versions = Versions(spark, f"{self.path}/_versions")
 
     def version(self) -> int:
-        fs, path = self._fs()
-        root = path(f"{self.path}/_versions")
-        if not fs.exists(root):
-            return 0
-        return max((int(s.getPath().getName()) for s in fs.listStatus(root) if s.getPath().getName().isdigit()), default=0)
+        return self.versions.latest()[0]
 
     def read(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.path}/v{v}") if v else None
+        _, now = self.versions.latest()
+        return self.spark.read.parquet(f"{self.path}/{now['folder']}") if now else None
 
     def write(self, df: DataFrame) -> int:
-        v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        fs, path = self._fs()
-        fs.mkdirs(path(f"{self.path}/_versions"))
-        fs.create(path(f"{self.path}/_versions/.{v}"), True).close()
-        if not fs.rename(path(f"{self.path}/_versions/.{v}"), path(f"{self.path}/_versions/{v}")):
-            raise OSError(f"version {v} of {self.path} was written by someone else")
+        v, folder = self.version() + 1, f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        self.versions.put(v, {"folder": folder})
         return v
 
+    def clean(self, keep: int = 1) -> None:
+        """Deletes all versions but the last `keep`, with their folders."""
+        old = self.versions.numbers()[:-keep]
+        self.versions.drop([f"{self.path}/{c['folder']}" for n in old if (c := self.versions.get(n))], old)
+
     def merge(self, new: DataFrame, keys: list[str], combine: dict[str, Column] | None = None) -> int:
         old = self.read()
         return self.write(new if old is None else merge(old, new, keys, combine))

@@ -38,28 +38,6 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, *, id_col: str =
     return rows.withColumn("distance", d).orderBy("distance", id_col).limit(k).withColumn("score", 1 / (1 + F.col("distance")))
 
 
-def lines_with(lines: DataFrame, words: list[str]) -> DataFrame:
-    """Lines that hold some word anywhere: what is left to be cut into tokens for a search of whole words."""
-    lower = F.lower("text")
-    return lines.where(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(lower, w)))
-
-
-def lines_with_all(lines: DataFrame, words: list[str]) -> DataFrame:
-    lower, out = F.lower("text"), F.lit(True)
-    for w in words:
-        out = out & F.contains(lower, F.lit(w))
-    return lines.where(out)
-
-
-def keyword_hits(tokens: DataFrame, words: list[str], *, id_col: str = "file_id", term_col: str = "term") -> DataFrame:
-    """Rows per id that hold any word: how many distinct words, and how often."""
-    return tokens.where(F.col(term_col).isin(words)).groupBy(id_col).agg(F.count_distinct(term_col).alias("n_words"), F.count("*").alias("n_hits"))
-
-
-def keyword_topk(tokens: DataFrame, words: list[str], k: int, *, id_col: str = "file_id") -> DataFrame:
-    return keyword_hits(tokens, words, id_col=id_col).orderBy(F.desc("n_words"), F.desc("n_hits"), id_col).limit(k)
-
-
 def phrase_hits(tokens: DataFrame, phrase: list[str], *, keys: tuple[str, ...] = ("file_id", "line")) -> DataFrame:
     """Where the words stand in a row: each word's positions shifted to the phrase's start, then counted."""
     parts = [tokens.where(F.col("term") == w).select(*keys, (F.col("pos") - k).alias("pos"), F.lit(k).alias("part")) for k, w in enumerate(phrase)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sedimenta.operators import search as s
 from sedimenta.sources import adapters as a
 
+from . import indexes
 from .registry import query
 
 WORDS = ["the", "que", "der"]
@@ -26,8 +27,7 @@ def _hybrid(spark, d, k=10, min_score=0.0):
     vectors = a.table(spark, d, "embeddings")
     v = s.vector_topk(vectors, query_vector(spark, d), 2 * k)
     v = s.ranked(v, "distance", "vec_id").select(F.col("vec_id").alias("id"), "rank", "score")
-    tok = a.tokens(s.lines_with(a.lines(a.files(spark, d)), WORDS))
-    w = s.ranked(s.keyword_topk(tok, WORDS, 2 * k), F.desc("n_words"), F.desc("n_hits"), "file_id").select(F.col("file_id").alias("id"), "rank")
+    w = s.ranked(indexes.project_index(spark, d).keyword_topk(WORDS, 2 * k), F.desc("n_words"), F.desc("n_hits"), "file_id").select(F.col("file_id").alias("id"), "rank")
     return s.fuse(v, w, min_score=min_score, k=k).select("id", F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), "match_type")
 
 
@@ -58,8 +58,8 @@ def hybrid_search_min_score(spark, d):
 def hybrid_search_path_filter(spark, d):
     v = s.vector_topk(a.table(spark, d, "embeddings"), query_vector(spark, d), 20, where=F.col("label") == 3)
     v = s.ranked(v, "distance", "vec_id").select(F.col("vec_id").alias("id"), "rank", "score")
-    tok = a.tokens(s.lines_with(a.lines(a.files(spark, d).where(F.col("path").startswith("/corpus/src1"))), WORDS))
-    w = s.ranked(s.keyword_topk(tok, WORDS, 20), F.desc("n_words"), F.desc("n_hits"), "file_id").select(F.col("file_id").alias("id"), "rank")
+    found = indexes.project_index(spark, d).keyword_topk(WORDS, 20, F.col("path").startswith("/corpus/src1"))
+    w = s.ranked(found, F.desc("n_words"), F.desc("n_hits"), "file_id").select(F.col("file_id").alias("id"), "rank")
     return s.fuse(v, w).select("id", F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), "match_type")
 
 
@@ -95,12 +95,14 @@ def ivf_probe(spark, d):
 
 @query(f"WITH {a.TOKENS} SELECT file_id, count(DISTINCT term) AS n_words, count(*) AS n_hits FROM tokens WHERE term IN {_W} GROUP BY file_id ORDER BY n_words DESC, n_hits DESC, file_id LIMIT 20")
 def keyword_or_search(spark, d):
-    return s.keyword_topk(a.tokens(s.lines_with(a.lines(a.files(spark, d)), WORDS)), WORDS, 20)
+    """From the stored postings of the words."""
+    return indexes.project_index(spark, d).keyword_topk(WORDS, 20)
 
 
 @query(f"WITH {a.TOKENS} SELECT a.file_id, a.line, a.pos FROM tokens a JOIN tokens b ON a.file_id = b.file_id AND a.line = b.line AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'")
 def keyword_phrase_search(spark, d):
-    return s.phrase_hits(a.tokens(s.lines_with_all(a.lines(a.files(spark, d)), ["of", "the"])), ["of", "the"])
+    """From the stored postings of the words."""
+    return indexes.project_index(spark, d).phrase(["of", "the"])
 
 
 @query(f"WITH {a.SYMBOLS} SELECT id, file_id, name FROM symbols WHERE contains(name, 'tion') ORDER BY file_id, id LIMIT 200")
@@ -167,15 +169,17 @@ def stem_path_score(spark, d):
 
 
 def _selected(spark, d):
-    """The files nearest to the query vector with every signal: stored summaries (benchmark), symbols, paths, age and size."""
+    """The files nearest to the query vector with every signal: stored summaries (benchmark), and symbols, paths, age and size from the scoring index; no text is read."""
     near = s.vector_topk(a.table(spark, d, "embeddings"), query_vector(spark, d), 60).select(F.col("vec_id").alias("id"), F.col("score").alias("vector_s"))
-    f = a.files(spark, d).join(F.broadcast(near), "id")  # 60 rows
-    syms = a.symbols(a.lines(f)).groupBy(F.col("file_id").alias("id")).agg(F.count_if(F.contains("name", F.lit("tion")) | F.contains("name", F.lit("12"))).alias("hits"), F.transform(F.sort_array(F.collect_list(F.struct("line_start", "name"))), lambda x: x["name"]).alias("names"))
+    kept = indexes.project_index(spark, d).live("signals").select(F.col("file_id").alias("id"), "path", "size_bytes", "last_modified", "names")
+    f = kept.join(F.broadcast(near), "id")  # 60 rows
+    age = F.floor((F.lit(a.NOW) - F.col("last_modified")) / 86400)
+    f = f.withColumns({"recency": s.recency_boost(age), "size_p": s.size_penalty(F.col("size_bytes")), "hits": F.size(F.filter("names", lambda n: F.contains(n, F.lit("tion")) | F.contains(n, F.lit("12"))))})
     told = a.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lower("text").alias("summary"))
-    rows = _signals(f).join(syms, "id", "left").join(told, "id", "left")
+    rows = f.join(told, "id", "left")
     rows = rows.withColumns({
         "path_v2": s.stem_path_score(list(ASKED), F.col("path")), "symbol_s": F.coalesce(F.least(F.col("hits") / 2.0, F.lit(1.0)), F.lit(0.0)),
-        "summary_v2": F.coalesce(s.keyword_share(list(ASKED), F.col("summary")), F.lit(0.0)), "names": F.coalesce("names", F.array().cast("array<string>")), "w": s.adaptive_weights(F.lit(" ".join(ASKED))),
+        "summary_v2": F.coalesce(s.keyword_share(list(ASKED), F.col("summary")), F.lit(0.0)), "w": s.adaptive_weights(F.lit(" ".join(ASKED))),
     })
     base, final = s.relevance(F.col("vector_s"), F.col("path_v2"), F.col("symbol_s"), F.col("summary_v2"), F.col("w"), F.col("recency"), F.col("size_p"))
     return rows.withColumns({"base": base, "final": final, "sure": s.confidence(F.col("vector_s"), F.col("path_v2"), F.col("symbol_s"))})
