@@ -1,8 +1,9 @@
-"""Phrase collocations: count-min sketches of all n-grams pick what may be frequent, a second pass counts just that exactly.
+"""Phrase collocations: count-min sketches of n-grams pick what may be frequent, a second pass counts just that exactly.
 
-First pass: each block of texts hashes its n-grams of 1 to LONGEST words and gives, per row of the sketch and shard of its counters, the
+First pass: each block of texts hashes its n-grams of 1 to SKETCHED words and gives, per row of the sketch and shard of its counters, the
 counters that it raises; shards are merged by adding, up to the least count that matters. A counter is never below an n-gram's true count, so
-an n-gram whose counters do not all reach it is rare. Second pass: the n-grams that may be frequent, and whose parts may, are counted
+an n-gram whose counters do not all reach it is rare; and the counters of the two parts of a longer n-gram, each a word shorter, are never
+below its count either. Second pass: the n-grams that may be frequent, and whose parts may, are counted
 by their words, block by block and then over all. So no frequent phrase is lost and every count is exact, whatever the
 sketch's size; the size decides how many rare n-grams are counted beside them.
 """
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 LONGEST = 4
+#: Longer n-grams have no counters of their own; their parts' ones stand for them.
+SKETCHED = 3
 LEAST = 30
 KEEP = 2000
 SUBSUMED = 80
@@ -45,7 +48,7 @@ class Block:
     """The words of some texts of one language, as numbers.
 
     words: the distinct words, from number 2; ids: the number of each word in order, 1 between pieces; starts[k]: where a
-    run of k words within a piece begins; hashes[k]: a 64-bit hash of these runs and the language, the same in every block.
+    run of k words within a piece begins; hashes[k], for k up to SKETCHED: a 64-bit hash of these runs and the language, the same in every block.
     """
 
     def __init__(self, lang: str, texts: list[str]):
@@ -64,8 +67,10 @@ class Block:
         self.starts, self.hashes = {1: np.flatnonzero(whole)}, {1: own[whole]}
         for k in range(2, LONGEST + 1):
             whole = whole[:-1] & held[k - 1 :]
-            now = _mixed(now[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[k - 1 :])
-            self.starts[k], self.hashes[k] = np.flatnonzero(whole), now[whole]
+            self.starts[k] = np.flatnonzero(whole)
+            if k <= SKETCHED:
+                now = _mixed(now[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[k - 1 :])
+                self.hashes[k] = now[whole]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -131,7 +136,7 @@ def sketched(rows: DataFrame, bits: int, least: int) -> Filter:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            hashes = np.concatenate([block.hashes[k] for k in range(1, LONGEST + 1)])
+            hashes = np.concatenate([block.hashes[k] for k in range(1, SKETCHED + 1)])
             for row in range(ROWS):
                 at = np.sort(counter_of(hashes, row, bits))
                 if not len(at):
@@ -171,7 +176,8 @@ def _survivors(block: Block, passing: Filter) -> Iterator[tuple[int, list[bytes]
     """Per number of words the n-grams of a block that may be frequent, and their counts in it."""
     before = np.zeros(len(block.ids) + 1, np.int64)  # per start: 1 + number of the n-gram there, one word shorter, or 0
     for k in range(1, LONGEST + 1):
-        starts, ok = block.starts[k], passing.passes(block.hashes[k])
+        starts = block.starts[k]
+        ok = passing.passes(block.hashes[k]) if k <= SKETCHED else np.ones(len(starts), bool)
         if k > 1:
             ok &= (before[starts] > 0) & (before[starts + 1] > 0)  # both parts may be frequent
         starts = starts[ok]
