@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -115,15 +116,16 @@ def pack(
 
     A document's ids (its text's, then end_id; a null text is empty) are cut at multiples of `length`; whole sequences stand
     alone and the rest is packed within a group of documents drawn by a hash of id and text. Rows with equal ids
-    are separate documents with equal doc_id; copies of one document are in one group and may share a sequence. A group in which
-    copies leave more than 4 * GROUP rests is packed in turns of so many. sequence_id is the group's number times 2**32 plus the number
+    are separate documents with equal doc_id. Copies of one document (equal id and text) never share a sequence: in a group the first copies
+    are packed together, then the second ones, and so on; they are dealt over groups by the partition in which they are read, so that
+    no row is all of a group. A group with more than 4 * GROUP rests is packed in turns of so many. sequence_id is the group's number times 2**32 plus the number
     in the group. Other columns are not read, whatever their names. An empty table gives an empty table.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     n, parts = parts_for(rows)
     groups = max(1, -(-n // GROUP))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("long"))
-    rows = rows.repartition(parts, "g").sortWithinPartitions("g", "id")
+    rows = rows.withColumn("h", F.xxhash64("id", "text")).withColumn("g", F.pmod(F.xxhash64("h", F.spark_partition_id()), F.lit(groups)).cast("long"))
+    rows = rows.repartition(parts, "g").sortWithinPartitions("g", "id", "h")
     end = struct.pack("<I", end_id)
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     fields += [("ids", pa.binary())] if with_ids else []
@@ -138,13 +140,21 @@ def pack(
 
         def flush():
             nonlocal number, rests
-            for pieces in arrange([len(r[3]) // 4 for r in rests], length):
-                offset = 0
-                for k, start, n in pieces:
-                    doc_id, before, total, ids = rests[k]
-                    piece(doc_id, before + start, ids[start * 4 : (start + n) * 4], total, number, offset)
-                    offset += n
-                number += 1
+            turns: list[list[tuple]] = []  # the first copies of each rest, the second ones, ...
+            seen: Counter = Counter()
+            for r in rests:
+                if seen[r] == len(turns):
+                    turns.append([])
+                turns[seen[r]].append(r)
+                seen[r] += 1
+            for turn in turns:
+                for pieces in arrange([len(r[3]) // 4 for r in turn], length):
+                    offset = 0
+                    for k, start, n in pieces:
+                        doc_id, before, total, ids = turn[k]
+                        piece(doc_id, before + start, ids[start * 4 : (start + n) * 4], total, number, offset)
+                        offset += n
+                    number += 1
             rests = []
 
         def emit() -> pa.RecordBatch:
