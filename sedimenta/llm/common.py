@@ -48,6 +48,13 @@ def fold(key: Column, of: int = 5) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % of
 
 
+def free_prefix(prefix: str, columns: list[str]) -> str:
+    """prefix, made longer by underscores until no column begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder of spark.checkpoint.dir.
 

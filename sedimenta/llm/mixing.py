@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import free_prefix, stored, word_count
 
 #: The random offset has this many values, so that prefix sums plus offset stay exact in a double.
 GRAIN = 1 << 20
@@ -71,44 +71,53 @@ def mix(
     the number of documents in the cells before, so a source of any size is dealt over many tasks.
 
     Null texts have size 0 and null sources form one source; a null id is digested as the word "null"; repeated rows are separate
-    documents; an empty table gives an empty table. Names of docs' other columns do not matter unless
-    they begin with mix_.
+    documents; documents of equal size and id stand by a hash of the text; an empty table gives an empty table. Names of docs'
+    other columns do not matter: where one begins with mix_, the four new names begin with prefix_of(docs) instead.
     """
+    p = prefix_of(docs)
+    kept = docs.columns if keep_text else [id_col]
     measured = docs.select(
-        *([F.col(f"`{c}`") for c in docs.columns] if keep_text else [F.col(id_col)]),
-        word_count(F.col(text_col)).alias("mix_size"),
-        F.col(source_col).cast("string").alias("mix_source"),
-        F.col(id_col).alias("mix_id"),
+        F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)]).alias("row"),
+        word_count(F.col(f"`{text_col}`")).alias("size"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("h"),
     )
-    sizes = stored(measured.select("mix_size", "mix_source", "mix_id"), "mix-sizes")
-    rows = measured if keep_text else sizes.withColumn(id_col, F.col("mix_id"))
+    sizes = stored(measured.select("size", "source", "id"), "mix-sizes")
+    rows = measured if keep_text else sizes.select(F.struct(F.col("id").alias("c0")).alias("row"), "*", F.lit(0).alias("h"))
 
     def placed(df: DataFrame) -> DataFrame:
         return df.withColumns({
-            "mix_k": source_key(F.col("mix_source")),
-            "mix_class": size_class(F.col("mix_size")),
-            "mix_cell": F.substring(digest(F.coalesce(F.col("mix_id").cast("string"), F.lit("null"))), 1, 2),
+            "k": source_key(F.col("source")),
+            "class": size_class(F.col("size")),
+            "cell": F.substring(digest(F.coalesce(F.col("id").cast("string"), F.lit("null"))), 1, 2),
         })
 
-    goal = targets(sizes.select(source_key(F.col("mix_source")).alias("k"), F.col("mix_size").alias("size"), F.col("mix_source").alias("source")), weights, max_copies, seed)
-    cell = ["mix_k", "mix_class", "mix_cell"]
+    goal = targets(sizes.select(source_key(F.col("source")).alias("k"), "size", "source"), weights, max_copies, seed)
+    cell = ["k", "class", "cell"]
     cells = placed(sizes).groupBy(*cell).agg(F.count("*").alias("n"))
-    cells = cells.withColumn("mix_before", F.coalesce(F.sum("n").over(Window.partitionBy("mix_k").orderBy("mix_class", "mix_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    cells = cells.drop("n").join(goal.withColumnRenamed("k", "mix_k"), "mix_k")
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy("mix_size", "mix_id"))
-    out = placed(rows).withColumn("mix_place", place).join(cells, cell)
-    last = F.floor(F.col("rate") * (F.col("mix_before") + F.col("mix_place")) + F.col("offset"))
-    first = F.floor(F.col("rate") * (F.col("mix_before") + F.col("mix_place") - 1) + F.col("offset"))
+    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("class", "cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cells = cells.drop("n").join(goal, "k")
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "id", "h"))
+    out = placed(rows).withColumn("place", place).join(cells, cell)
+    last = F.floor(F.col("rate") * (F.col("before") + F.col("place")) + F.col("offset"))
+    first = F.floor(F.col("rate") * (F.col("before") + F.col("place") - 1) + F.col("offset"))
     return out.select(
-        *[F.col(f"`{c}`") for c in (docs.columns if keep_text else [id_col])],
-        "mix_size",
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        (last - first).cast("int").alias("mix_copies"),
+        *[F.col(f"row.c{k}").alias(c) for k, c in enumerate(kept)],
+        F.col("size").alias(f"{p}size"),
+        F.col("source_size").alias(f"{p}source_size"),
+        F.col("target").alias(f"{p}target"),
+        (last - first).cast("int").alias(f"{p}copies"),
     )
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    keep = [c for c in mixed.columns if not c.startswith("mix_")]
-    return mixed.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in keep])
+def prefix_of(docs: DataFrame) -> str:
+    """What the new columns of mix(docs) begin with."""
+    return free_prefix("mix_", docs.columns)
+
+
+def repeated(mixed: DataFrame, prefix: str = "mix_") -> DataFrame:
+    """Each document as often as the mix takes it, without the columns of the mix. prefix: prefix_of() what was mixed."""
+    new = {f"{prefix}{c}" for c in ("size", "source_size", "target", "copies")}
+    copies = F.sequence(F.lit(1), F.col(f"{prefix}copies"))
+    return mixed.where(F.col(f"{prefix}copies") > 0).withColumn(f"{prefix}copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in mixed.columns if c not in new])
