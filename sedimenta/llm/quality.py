@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, bind, fold, stored, words
+from .common import SPACE_CHARS, bind, fold, free_prefix, stored, words
 
 #: Measures whose thresholds the rules use.
 MEASURES = ("q_words", "q_word_len", "q_symbols", "q_dup_lines", "q_repeats", "q_upper", "q_marks", "q_digits", "q_bars")
@@ -49,44 +49,49 @@ def repeat_words(ws: Column) -> Column:
     return of(ws).cast("long")
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the base counts q_n_words, q_word_chars, q_n_symbols, q_n_dup_lines, q_n_repeat_words and MEASURES.
+def measured(docs: DataFrame, text_col: str = "text", prefix: str = "q_") -> DataFrame:
+    """docs with the base counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and MEASURES, all of whose names begin with prefix.
 
     Null counts as the empty text, which has no words and zero for every measure.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.col(f"`{text_col}`")
+    t = F.coalesce(text, F.lit(""))
+    of = lambda name: F.col(prefix + name)
     removed = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("long")
     lines = F.filter(F.split(t, "\n", -1), lambda line: F.btrim(line, F.lit(SPACE_CHARS)) != "")
-    out = docs.withColumns({
-        "q_counts": bind(words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))),
-        "q_n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "q_word_chars": F.length(F.translate(t, SPACE_CHARS, "")).cast("long"),
-        "q_n_symbols": removed("#*$%&|<>"),
-        "q_n_upper": removed("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "q_n_marks": removed("!?"),
-        "q_n_digits": removed("0123456789"),
-        "q_n_bars": removed("|{}[]\\/=~^_"),
-        "q_n_lines": (removed("\n") + 1),
-    })
-    n = F.greatest(F.col("q_counts.n_words"), F.lit(1)).cast("double")
-    chars = F.greatest(F.col("q_word_chars"), F.lit(1)).cast("double")
-    return out.withColumns({
-        "q_n_words": F.col("q_counts.n_words"),
-        "q_n_repeat_words": F.col("q_counts.n_repeat_words"),
-        "q_words": F.col("q_counts.n_words").cast("double"),
-        "q_word_len": F.col("q_word_chars") / n,
-        "q_symbols": F.col("q_n_symbols") / n,
-        "q_dup_lines": F.col("q_n_dup_lines") / F.col("q_n_lines"),
-        "q_repeats": F.col("q_counts.n_repeat_words") / n,
-        "q_upper": F.col("q_n_upper") / chars,
-        "q_marks": F.col("q_n_marks") / n,
-        "q_digits": F.col("q_n_digits") / chars,
-        "q_bars": F.col("q_n_bars") / n,
-    }).drop("q_counts")
-
-
-def base_failed() -> Column:
-    return (F.col("q_n_words") < 50) | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * 50)
+    counts = {
+        "counts": bind(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))),
+        "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "word_chars": F.length(F.translate(t, SPACE_CHARS, "")).cast("long"),
+        "n_symbols": removed("#*$%&|<>"),
+        "n_upper": removed("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "n_marks": removed("!?"),
+        "n_digits": removed("0123456789"),
+        "n_bars": removed("|{}[]\\/=~^_"),
+        "n_lines": (removed("\n") + 1),
+    }
+    n = F.greatest(of("counts.n_words"), F.lit(1)).cast("double")
+    chars = F.greatest(of("word_chars"), F.lit(1)).cast("double")
+    shares = {
+        "n_words": of("counts.n_words"),
+        "n_repeat_words": of("counts.n_repeat_words"),
+        "words": of("counts.n_words").cast("double"),
+        "word_len": of("word_chars") / n,
+        "symbols": of("n_symbols") / n,
+        "dup_lines": of("n_dup_lines") / of("n_lines"),
+        "repeats": of("counts.n_repeat_words") / n,
+        "upper": of("n_upper") / chars,
+        "marks": of("n_marks") / n,
+        "digits": of("n_digits") / chars,
+        "bars": of("n_bars") / n,
+    }
+    named = lambda columns: {prefix + k: v for k, v in columns.items()}
+    return docs.withColumns(named(counts)).withColumns(named(shares)).drop(f"{prefix}counts")
+
+
+def base_failed(prefix: str = "q_") -> Column:
+    n, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (n < 50) | (repeats * 100 > n * 50)
 
 
 @dataclass(frozen=True)
@@ -95,8 +100,9 @@ class Literal:
     above: bool
     edge: float
 
-    def column(self) -> Column:
-        return F.col(self.measure) > self.edge if self.above else F.col(self.measure) <= self.edge
+    def column(self, prefix: str = "q_") -> Column:
+        value = F.col(prefix + self.measure.removeprefix("q_"))
+        return value > self.edge if self.above else value <= self.edge
 
     def __str__(self) -> str:
         return f"{self.measure} {'>' if self.above else '<='} {self.edge:.6g}"
@@ -110,10 +116,10 @@ class Rule:
     right: int = 0
     wrong: int = 0
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "q_") -> Column:
         out = F.lit(True)
         for x in self.literals:
-            out = out & x.column()
+            out = out & x.column(prefix)
         return out
 
     def __str__(self) -> str:
@@ -126,11 +132,11 @@ class DecisionList:
 
     rules: list[Rule] = field(default_factory=list)
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "q_") -> Column:
         """0 for keep, else the number of the first rule that rejects."""
         out = F.lit(0)
         for k, rule in reversed(list(enumerate(self.rules, 1))):
-            out = F.when(rule.column(), F.lit(k)).otherwise(out)
+            out = F.when(rule.column(prefix), F.lit(k)).otherwise(out)
         return out
 
     def __str__(self) -> str:
@@ -217,16 +223,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     with several labels counts once for each. Documents that fail the base rules teach nothing: they are
     rejected anyway. Without labelled rows the list is empty and keeps everything.
     """
-    told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("q_id"), (F.col(label_col) == 0).alias("q_bad"))
+    of = lambda c: F.col(f"`{c}`")
+    told = labels.where(of(label_col).isNotNull() & of(id_col).isNotNull()).select(of(id_col).alias("q_id"), (of(label_col) == 0).alias("q_bad"))
     told = told.orderBy(F.xxhash64("q_id"), "q_id", "q_bad").limit(SAMPLE)
-    known = docs.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("q_text")).join(F.broadcast(told), "q_id")
+    known = docs.select(of(id_col).alias("q_id"), of(text_col).alias("q_text")).join(F.broadcast(told), "q_id")
     rows = measured(known, "q_text").withColumn("q_prune", fold(F.col("q_id"), 3) == 0).withColumn("q_failed", base_failed())
     # the filter comes after the table, so that it does not draw the measures below the join
     rows = stored(rows.select(*MEASURES, "q_bad", "q_prune", "q_failed"), "quality-labelled").where(~F.col("q_failed"))
     return learn(rows, "q_bad")
 
 
+def prefix_of(docs: DataFrame) -> str:
+    """What the new columns of judge(docs) begin with."""
+    return free_prefix("q_", docs.columns)
+
+
 def judge(docs: DataFrame, rules: DecisionList, *, text_col: str = "text") -> DataFrame:
-    """docs with the base counts (q_*), q_base_failed, q_rule (0: none) and q_kept."""
-    out = measured(docs, text_col).withColumn("q_base_failed", base_failed()).withColumn("q_rule", rules.column())
-    return out.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_rule") == 0))
+    """docs with the base counts, base_failed, rule (0: none) and kept; their names begin with q_, or with prefix_of(docs) where docs has such columns.
+
+    A null or empty text has no words and fails the base rules; repeated rows are judged alike; other columns stay as they are."""
+    p = prefix_of(docs)
+    out = measured(docs, text_col, p).withColumn(f"{p}base_failed", base_failed(p)).withColumn(f"{p}rule", rules.column(p))
+    return out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}rule") == 0))
