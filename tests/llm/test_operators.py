@@ -485,7 +485,7 @@ def test_queries_and_pipeline(spark):
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "near_duplicates", "personal_data", "mixture", "packing"]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
