@@ -22,7 +22,7 @@ def same_columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned rules reject."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return same_columns(quality.judge(docs, rules).where("q_kept"), docs)
+    return same_columns(quality.judge(docs, rules).where(F.col(f"{quality.prefix_of(docs)}kept")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return same_columns(mixing.repeated(mixing.mix(docs)), docs)
+    return same_columns(mixing.repeated(mixing.mix(docs), mixing.prefix_of(docs)), docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
