@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import code, extraction, health, indexes, joins, lookups, maintenance, search, services, text  # noqa: F401  (each registers its queries)
+from . import code, extraction, flows, health, indexes, joins, lookups, maintenance, projects, search, services, text  # noqa: F401  (each registers its queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

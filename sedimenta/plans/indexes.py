@@ -93,7 +93,7 @@ def streamed_index(spark, d: str) -> ProjectIndex:
         made, folder = ProjectIndex(spark, scratch.folder(spark, "streamed-index")), scratch.folder(spark, "changes")
         batches = changes(spark, d)
         for k, rows in enumerate(batches):
-            rows.coalesce(1).write.mode("append").parquet(f"{folder}/{k}")
+            rows.write.parquet(f"{folder}/{k}")
         schema = batches[0].schema
         for k in range(len(batches)):
             stream = spark.readStream.schema(schema).parquet(f"{folder}/{k}")
