@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.operators.graph import BIN, in_bins
+
 #: Beginnings of a line that declares a type, and of a doc comment.
 TYPE_STARTS = ("struct ", "enum ", "interface ", "type ", "class ", "pub struct ", "pub enum ", "pub type ")
 DOC_STARTS = ("///", "/**")
@@ -16,6 +18,12 @@ def starts(text: Column, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: text.startswith(w))
 
 
+def within(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """Each of spans (file_id, line_start, line_end, ...) with the points (file_id, line, ...) of its lines. They meet on bins of lines, a point in one."""
+    p = points.withColumn("bin", F.floor(F.col("line") / BIN))
+    return in_bins(spans).join(p, ["file_id", "bin"]).where("line BETWEEN line_start AND line_end").drop("bin")
+
+
 def types_only(lines: DataFrame, *, kind: str | None = None, docs: bool = True) -> DataFrame:
     """(file_id, line, text) of the lines of skeletons that declare types, or are doc comments; with kind, those that hold the word."""
     t = F.trim("text")
@@ -43,7 +51,7 @@ def referenced_types(functions: DataFrame, refs: DataFrame, symbols: DataFrame)
     """(file_id, function, line_start, type, kind, type_start): types used in a function's lines that its own file declares."""
     used = refs.where("kind = 'type_usage'").select("file_id", F.col("name").alias("type"), "line")
     f = functions.select("file_id", F.col("name").alias("function"), "line_start", "line_end")
-    inside = f.join(used, "file_id").where("line BETWEEN line_start AND line_end").select("file_id", "function", "line_start", "type").distinct()
+    inside = within(f, used).select("file_id", "function", "line_start", "type").distinct()
     types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select("file_id", F.col("name").alias("type"), "kind", F.col("line_start").alias("type_start"))
     return inside.join(types, ["file_id", "type"])
 
@@ -55,7 +63,7 @@ def function_context(functions: DataFrame, lines: DataFrame, refs: DataFrame, sy
     types = referenced_types(functions, refs, symbols).groupBy("file_id", "function", "line_start").agg(F.array_sort(F.collect_set("type")).alias("types"))
     called = refs.where("kind = 'call'").select("file_id", F.col("name").alias("callee"), "line")
     own = symbols.where("kind IN ('function', 'method')").select("file_id", F.col("name").alias("callee")).distinct()
-    calls = f.join(called.join(own, ["file_id", "callee"], "left_semi"), "file_id").where("line BETWEEN line_start AND line_end AND callee <> function")
+    calls = within(f, called.join(own, ["file_id", "callee"], "left_semi")).where("callee <> function")
     calls = calls.groupBy("file_id", "function", "line_start").agg(F.array_sort(F.collect_set("callee")).alias("callees"))
     taken = imports.groupBy("file_id").agg(F.array_sort(F.collect_set("module")).alias("imports"))
     key = ["file_id", "function", "line_start"]
@@ -70,9 +78,9 @@ def explained(structs: DataFrame, fields: DataFrame, impls: DataFrame, symbols:
     base = structs.select(*key, "line_start").distinct()
     f = fields.select("file_id", F.col("type").alias("name"), "field").groupBy(*key).agg(F.array_sort(F.collect_set("field")).alias("fields"))
     t = impls.where("trait IS NOT NULL").groupBy(*key).agg(F.array_sort(F.collect_set("trait")).alias("traits"))
-    blocks = symbols.where("kind = 'impl'").select(*key, F.col("line_start").alias("first"), F.col("line_end").alias("last"))
-    inner = symbols.where("kind IN ('function', 'method')").select("file_id", F.col("name").alias("method"), F.col("line_start").alias("at"))
-    m = blocks.join(inner, "file_id").where("at BETWEEN first AND last").groupBy(*key).agg(F.array_sort(F.collect_set("method")).alias("methods"))
+    blocks = symbols.where("kind = 'impl'").select(*key, "line_start", "line_end")
+    inner = symbols.where("kind IN ('function', 'method')").select("file_id", F.col("name").alias("method"), F.col("line_start").alias("line"))
+    m = within(blocks, inner).groupBy(*key).agg(F.array_sort(F.collect_set("method")).alias("methods"))
     empty = F.array().cast("array<string>")
     out = base.join(f, key, "left").join(t, key, "left").join(m, key, "left")
     return out.select(*key, "line_start", *[F.coalesce(c, empty).alias(c) for c in ("fields", "traits", "methods")])
@@ -86,11 +94,16 @@ def trait_impls(impls: DataFrame, trait: Column) -> DataFrame:
 def interface_impls(interfaces: DataFrame, wanted: DataFrame, methods: DataFrame) -> DataFrame:
     """(interface, type): types that have all methods of an interface. wanted: (interface, method); methods: (type, method).
 
-    Only methods that an interface names go on, and each pair is a row of their counts.
+    An interface starts from the types that have its rarest method, and only these are asked for its others: a method that all types
+    have brings up no pair.
     """
-    need = wanted.distinct().groupBy("interface").agg(F.count("*").alias("n"))
-    have = methods.distinct().join(wanted.distinct(), "method").groupBy("interface", "type").agg(F.count("*").alias("have"))
-    return interfaces.select("interface").distinct().join(need, "interface").join(have, "interface").where("have = n").select("interface", "type")
+    wanted, methods = wanted.distinct(), methods.distinct()
+    held = methods.groupBy("method").agg(F.count("*").alias("types"))
+    need = wanted.join(held, "method", "left").groupBy("interface").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("types", F.lit(0)).alias("types"), "method")).alias("rarest"))
+    need = need.where("rarest.types > 0").join(interfaces.select("interface").distinct(), "interface", "left_semi")
+    some = need.select("interface", "n", F.col("rarest.method").alias("method")).join(methods, "method").select("interface", "n", "type")
+    have = some.join(wanted, "interface").join(methods, ["type", "method"], "left_semi").groupBy("interface", "type", "n").agg(F.count("*").alias("have"))
+    return have.where("have = n").select("interface", "type")
 
 
 def module_candidates(module: Column, root: str = "src") -> Column:

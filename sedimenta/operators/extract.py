@@ -123,21 +123,33 @@ TYPED = re.compile(r"(?:(?<!:):(?!:)|->|=>|[<&*|,\]]|\bextends\b|\bimplements\b|
 CALL = re.compile(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(")
 # Names before a parenthesis that are no calls.
 KEYWORDS = frozenset("if for while switch match return fn func function catch await typeof sizeof new in loop impl struct enum pub let const var type interface class super self".split())
+#: Before and behind the name and bracket that begin a method of a class.
+MODIFIERS = re.compile(r"\s*(?:(?:public|private|protected|static|abstract|override|async|get|set)\s+)*\*?\s*")
+METHOD_HEAD = re.compile(r"[^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{};=]+)?\{")
 
 
 class BracePack(LanguagePack):
     """Declarations by pattern; a declaration's end is the brace that closes the first one it opens."""
 
-    def __init__(self, declarations: list[tuple[str, str]], imports, members: str | None = None, *, exported: str | None = None, receivers: bool = False, more=None):
+    def __init__(self, declarations: list[tuple[str, str]], imports, members: str | None = None, *, exported: str | None = None, receivers: bool = False, more=None, methods: bool = False):
         self.declarations = [(kind, re.compile(p, re.M)) for kind, p in declarations]
         self.find_imports, self.member = imports, re.compile(members, re.M) if members else None
         self.exported = re.compile(exported) if exported else None  # on a declaration's first line, or its name where types follow names
         self.receivers, self.more = receivers, more
+        self.methods = methods  # classes have methods that no word announces
 
     @staticmethod
     def blanked(text: str) -> str:
         return BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
 
+    def declares(self, clear: str, m: re.Match, inside: list[tuple[int, int]]) -> bool:
+        """Whether a name before a bracket is declared there: a function behind its word, a method of a class in a script or of an
+        interface in Go, or the name of an attribute in Rust."""
+        before_ = clear[clear.rfind("\n", 0, m.start()) + 1 : m.start()]
+        if re.search(r"\b(?:function\s*\*?|fn|func)\s+$|#!?\[\s*$", before_) or any(first < m.start() < last for first, last in inside):
+            return True
+        return bool(self.methods and MODIFIERS.fullmatch(before_) and METHOD_HEAD.match(clear, m.end()))
+
     @staticmethod
     def closing(text: str, at: int) -> int:
         """The place of the brace that closes the first one from `at`, or the end of the statement without one."""
@@ -195,8 +207,9 @@ class BracePack(LanguagePack):
             if self.member and kind in ("struct", "interface", "class") and "{" in clear[first:last]:
                 body = clear[clear.index("{", first) + 1 : last]
                 out.fields += [(name, m.group(1)) for m in self.member.finditer(body)]
+        inside = [(first, last) for _, kind, first, last in declared if kind == "interface" and self.receivers]
         for m in CALL.finditer(clear):
-            if m.group(1) not in KEYWORDS and (m.group(1), line(m.start())) not in heads:
+            if m.group(1) not in KEYWORDS and (m.group(1), line(m.start())) not in heads and not self.declares(clear, m, inside):
                 out.refs.append((m.group(1), "call", line(m.start())))
         out.imports = self.find_imports(text)
         out.refs += [(item if item != "*" else re.split(r"[/:.]", module)[-1], "import", at) for module, item, _, at in out.imports]
@@ -339,6 +352,7 @@ TYPESCRIPT = BracePack(
     r"^\s*(?:readonly\s+|public\s+|private\s+)?(\w+)\??\s*:",
     exported=r"^export\b",
     more=arrows,
+    methods=True,
 )
 GO = BracePack(
     [

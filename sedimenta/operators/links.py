@@ -22,21 +22,22 @@ def is_parameter(segment: Column) -> Column:
 def match_routes(routes: DataFrame, calls: DataFrame) -> DataFrame:
     """Routes and calls whose segments agree one by one, a parameter on either side standing for any.
 
-    Both sides are summed up by shape first. Candidates meet on the number of segments and the first segment; those that begin
-    with a parameter meet on the number alone, from whichever side it stands.
+    Both sides are distinct first. A route meets calls at its first fixed segment: those that have this segment in its place, and those
+    that have a parameter there. Only routes of nothing but parameters meet all calls of their length, all of which they match.
     """
 
     def shaped(df: DataFrame, name: str) -> DataFrame:
         seg = segments(F.col("path"))
-        first = F.get(seg, F.lit(0))
-        return df.select("path").distinct().select(F.col("path").alias(name), seg.alias(f"{name}_s"), F.size(seg).alias("n"), F.coalesce(first, F.lit("")).alias("first"), F.coalesce(is_parameter(first), F.lit(False)).alias("free"))
+        return df.select("path").distinct().select(F.col("path").alias(name), seg.alias(f"{name}_s"), F.size(seg).alias("n"))
 
     r, c = shaped(routes, "route"), shaped(calls, "call")
-    exact = r.where("not free").join(c.where("not free"), ["n", "first"]).select("route", "call", "route_s", "call_s")
-    free_r = r.where("free").join(c.drop("first", "free"), "n").select("route", "call", "route_s", "call_s")
-    free_c = c.where("free").join(r.where("not free").drop("first", "free"), "n").select("route", "call", "route_s", "call_s")
+    r = r.withColumn("fixed", F.filter(F.transform("route_s", lambda s, k: F.struct(k.alias("place"), s.alias("seg"))), lambda x: ~is_parameter(x["seg"]))[0])
+    keyed = r.where("fixed is not null").select("route", "route_s", "n", "fixed.place", F.explode(F.array(F.col("fixed.seg"), F.lit(None).cast("string"))).alias("seg"))
+    places = c.select("call", "call_s", "n", F.posexplode("call_s").alias("place", "s")).withColumn("seg", F.when(~is_parameter(F.col("s")), F.col("s")))
+    keyed, places = (x.withColumn("seg", F.coalesce(F.concat(F.lit("="), "seg"), F.lit(":"))) for x in (keyed, places))
     agree = F.forall(F.zip_with("route_s", "call_s", lambda a, b: (a == b) | is_parameter(a) | is_parameter(b)), lambda x: x)
-    return exact.unionByName(free_r).unionByName(free_c).where(agree).select("route", "call")
+    met = keyed.join(places.drop("s"), ["n", "place", "seg"]).where(agree).select("route", "call")
+    return met.unionByName(r.where("fixed is null").join(c, "n").select("route", "call"))
 
 
 def jaccard_links(left: DataFrame, right: DataFrame, threshold: float, *, id_col: str = "file_id", fields_col: str = "fields") -> DataFrame:

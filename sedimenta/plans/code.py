@@ -81,11 +81,11 @@ def parse_nested_symbols(spark, d):
     return x.extract(sources(spark, d), "symbols").drop("signature")
 
 
-@query(f"""WITH {_P} SELECT f AS file_id, 'Clone' AS name, 0 AS n FROM p WHERE false
+@query(f"""WITH {_P} SELECT f AS file_id, 'F' AS name, 1 AS n FROM p
 UNION ALL SELECT f + 1, 'Row' || k, 2 FROM p UNION ALL SELECT f + 2, 'Item', 1 FROM p UNION ALL SELECT f + 2, 'Cart' || k, 2 FROM p
 UNION ALL SELECT f + 3, 'B', 1 FROM p UNION ALL SELECT f + 3, 'Owner', 1 FROM p UNION ALL SELECT f + 3, 'Cart', n FROM p UNION ALL SELECT f + 3, 'Total', n FROM p""")
 def type_usages(spark, d):
-    u = x.extract(sources(spark, d).where("language <> 'rust'"), "refs").where("kind = 'type_usage'")
+    u = x.extract(sources(spark, d), "refs").where("kind = 'type_usage'")
     return u.groupBy("file_id", "name").agg(F.count("*").cast("int").alias("n"))
 
 

@@ -61,13 +61,17 @@ def has_documentation(spark, d):
     return a.lines(a.files(spark, d)).withColumn("before", before).select("file_id", "line", F.coalesce(F.col("before").rlike("^[A-Z][a-z]+"), F.lit(False)).alias("documented"))
 
 
-@query(f"""WITH {a.FILES}, c AS (SELECT id, unnest([replace(path, '/en/', '/fr/'), replace(path, '/fr/', '/en/'), replace(path, '1.txt', '2.txt')]) AS cand, path FROM files)
-SELECT DISTINCT c.id, c.cand AS test_path FROM c JOIN files f ON f.path = c.cand WHERE c.cand <> c.path""")
+@query(f"""WITH {a.FILES} SELECT id, regexp_extract(path, '^(.*)/[^/]*$', 1) || '/test_' || id || '.txt' AS test_path FROM files WHERE id % 3 = 0
+UNION ALL SELECT id, regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || id || '.spec.txt' FROM files WHERE id % 4 = 1 UNION ALL SELECT id, '/corpus/tests/' || id || '.txt' FROM files WHERE id % 5 = 2""")
 def has_tests_for(spark, d):
-    f = a.files(spark, d)
-    cands = F.array(F.replace("path", F.lit("/en/"), F.lit("/fr/")), F.replace("path", F.lit("/fr/"), F.lit("/en/")), F.replace("path", F.lit("1.txt"), F.lit("2.txt")))
-    c = f.select("id", "path", F.explode(cands).alias("test_path")).where("test_path <> path").select("id", "test_path").distinct()
-    return c.join(f.select(F.col("path").alias("test_path")), "test_path", "left_semi").select("id", "test_path")
+    """Files with the paths of their tests: beside them by two ways of naming, or in the folder of tests. Some files have none, some several, and
+    some tests have no file."""
+    f = a.files(spark, d).select("id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.col("id").cast("string").alias("stem"))
+    beside, spec, apart = F.concat("dir", F.lit("/test_"), "stem", F.lit(".txt")), F.concat("dir", F.lit("/"), "stem", F.lit(".spec.txt")), F.concat(F.lit("/corpus/tests/"), "stem", F.lit(".txt"))
+    made = F.array_compact(F.array(F.when(F.col("id") % 3 == 0, beside), F.when(F.col("id") % 4 == 1, spec), F.when(F.col("id") % 5 == 2, apart), F.when(F.col("id") % 7 == 0, F.concat("dir", F.lit("/test_none"), "stem", F.lit(".txt")))))
+    there = f.select(F.explode(made).alias("test_path"))
+    asked = f.select("id", F.explode(F.array(beside, spec, apart)).alias("test_path"))
+    return asked.join(there, "test_path", "left_semi").select("id", "test_path")
 
 
 @query("""SELECT p_name AS dependency, count(*) AS uses, count(DISTINCT l_orderkey) AS files FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name""")
@@ -257,10 +261,11 @@ def golden_samples(spark, d):
     return a.table(spark, d, "labels").where("quality = 1").join(a.table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id").select("doc_id", "lang", "source")
 
 
-@query(f"WITH {a.FILES} SELECT f.path, substr(f.content, 1, 150) AS summary FROM files f LEFT JOIN labels l ON l.doc_id = f.id")
+@query(f"WITH {a.FILES} SELECT f.path, b.text AS summary FROM files f JOIN benchmark b ON b.item_id = f.id")
 def summaries_join(spark, d):
-    f = a.files(spark, d)
-    return f.join(a.table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left").select("path", F.left("content", F.lit(150)).alias("summary"))
+    """The stored summaries (benchmark) with their files' paths."""
+    told = a.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("summary"))
+    return a.files(spark, d).select("id", "path").join(told, "id").select("path", "summary")
 
 
 @query("SELECT p_partkey, p_name || '@' || p_size || ' (' || lower(p_type) || ')' || CASE WHEN p_size > 25 THEN ' [dev]' ELSE '' END AS label FROM part ORDER BY p_type, p_name, p_partkey")

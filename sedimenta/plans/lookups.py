@@ -72,9 +72,12 @@ def entity_links_frontend(spark, d):
     return links(spark, d).where("source = 33").join(p, "target").select("source", "target", "name", "confidence")
 
 
-@query("SELECT r_name AS key, CAST(r_regionkey AS VARCHAR) AS value FROM region WHERE r_name = 'ASIA'")
+@query("SELECT 'nation.' || n_name AS key, CASE WHEN n_regionkey = 2 THEN 'set again' ELSE n_nationkey::VARCHAR END AS value FROM nation WHERE n_regionkey IN (1, 2)")
 def index_meta(spark, d):
-    return a.table(spark, d, "region").select(F.col("r_name").alias("key"), F.col("r_regionkey").cast("string").alias("value")).where("key = 'ASIA'")
+    """Values of keys that are set, some of them again, and then asked for by a list of keys."""
+    n = a.table(spark, d, "nation").select(F.concat(F.lit("nation."), "n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value"), "n_regionkey")
+    stored = m.merge(n.drop("n_regionkey"), n.where("n_regionkey = 2").select("key", F.lit("set again").alias("value")), ["key"])
+    return stored.join(n.where("n_regionkey IN (1, 2)").select("key"), "key", "left_semi")
 
 
 _PROBES = "probes AS (SELECT DISTINCT lower(string_split(text, ' ')[1]) AS name, CASE WHEN item_id % 3 = 0 THEN NULL ELSE item_id END AS file_id FROM benchmark)"
@@ -159,12 +162,17 @@ def health_check(spark, d):
 
 
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1)
-SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 6) AS relevance FROM embeddings, q WHERE label = 4""")
+, r AS (SELECT label AS service, vec_id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 9) AS c FROM embeddings, q)
+SELECT service, vec_id, round(c, 6) AS relevance, row_number() OVER (PARTITION BY service ORDER BY c DESC, vec_id) AS rank FROM r QUALIFY rank <= 5""")
 def tool_ranking(spark, d):
-    """The tools of one service (label 4) by the cosine of their description to the request."""
+    """The five best tools of each service (label) by the cosine of their description to the request."""
+    from pyspark.sql import Window
+
     e = a.table(spark, d, "embeddings")
     q = [float(x) for x in e.where("vec_id = 1").select("embedding").first()[0]]
-    return e.where("label = 4").select("vec_id", F.round(s.cosine(F.col("embedding"), s.literal_vector(q)), 6).alias("relevance")).orderBy(F.desc("relevance"), "vec_id")
+    rows = e.select(F.col("label").alias("service"), "vec_id", F.round(s.cosine(F.col("embedding"), s.literal_vector(q)), 9).alias("c"))
+    rank = F.row_number().over(Window.partitionBy("service").orderBy(F.desc("c"), "vec_id"))  # tasks keep the first five of each
+    return rows.withColumn("rank", rank).where("rank <= 5").select("service", "vec_id", F.round("c", 6).alias("relevance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT table_name AS name, n FROM (VALUES ('documents', (SELECT count(*) FROM documents)), ('part', (SELECT count(*) FROM part)), ('region', (SELECT count(*) FROM region))) t(table_name, n)")

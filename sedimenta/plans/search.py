@@ -118,14 +118,14 @@ def term_document_frequency(spark, d):
 
 @query(f"""WITH {a.FILES}, {Q},
 v AS (SELECT vec_id AS id, 1 / (1 + {D2}) AS score FROM embeddings e, q ORDER BY {D2}, vec_id LIMIT 30),
-k AS (SELECT id, 0.1 * ((CASE WHEN contains(lower(substr(content, 1, 150)), 'tion') OR contains(path, 'tion') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(substr(content, 1, 150)), 'src1') OR contains(path, 'src1') THEN 1 ELSE 0 END)) AS bonus FROM files),
+k AS (SELECT id, 0.1 * ((CASE WHEN coalesce(contains(lower(b.text), 'tion'), false) OR contains(path, 'tion') THEN 1 ELSE 0 END) + (CASE WHEN coalesce(contains(lower(b.text), 'src1'), false) OR contains(path, 'src1') THEN 1 ELSE 0 END)) AS bonus FROM files LEFT JOIN benchmark b ON b.item_id = files.id),
 j AS (SELECT coalesce(v.id, k.id) AS id, coalesce(score, 0) + coalesce(bonus, 0) AS score FROM v FULL OUTER JOIN (SELECT * FROM k WHERE bonus > 0) k ON v.id = k.id)
 SELECT id, round(score, 6) AS score FROM j ORDER BY round(j.score, 9) DESC, id LIMIT 10""")
 def search_by_purpose(spark, d):
     v = s.vector_topk(a.table(spark, d, "embeddings"), query_vector(spark, d), 30).select(F.col("vec_id").alias("id"), "score")
-    f = a.files(spark, d)
-    summary = F.lower(F.left("content", F.lit(150)))
-    hits = sum(F.when(F.contains(summary, F.lit(w)) | F.contains("path", F.lit(w)), 1).otherwise(0) for w in ("tion", "src1"))
+    told = a.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lower("text").alias("summary"))
+    f = a.files(spark, d).select("id", "path").join(told, "id", "left")
+    hits = sum(F.when(F.coalesce(F.contains("summary", F.lit(w)), F.lit(False)) | F.contains("path", F.lit(w)), 1).otherwise(0) for w in ("tion", "src1"))
     k = f.select("id", (hits * 0.1).alias("bonus")).where("bonus > 0")
     j = v.join(k, "id", "full_outer").select("id", F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)), 9).alias("score"))
     return j.orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 6).alias("score"))
@@ -136,19 +136,27 @@ _PATH = """least(CASE WHEN contains(lower(string_split(path, '/')[-1]), 'src1')
 _AGE = "((1700000000 - last_modified) // 86400)"
 _REC = f"CASE WHEN {_AGE} <= 1 THEN 1.15 WHEN {_AGE} <= 7 THEN 1.05 WHEN {_AGE} <= 30 THEN 1.0 WHEN {_AGE} <= 90 THEN 0.95 ELSE 0.90 END"
 _SIZE = "CASE WHEN size_bytes // 1024 <= 50 THEN 1.0 WHEN size_bytes // 1024 <= 200 THEN 0.98 WHEN size_bytes // 1024 <= 500 THEN 0.95 WHEN size_bytes // 1024 <= 1000 THEN 0.90 ELSE 0.85 END"
-_SUMM = "((CASE WHEN contains(lower(substr(content, 1, 150)), 'tion') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(substr(content, 1, 150)), 'the') THEN 1 ELSE 0 END)) / 2.0"
+_TOLD = "lower(coalesce((SELECT b.text FROM benchmark b WHERE b.item_id = files.id), content))"
+_SUMM = f"((CASE WHEN contains({_TOLD}, 'tion') THEN 1 ELSE 0 END) + (CASE WHEN contains({_TOLD}, 'the') THEN 1 ELSE 0 END)) / 2.0"
 
 
 def _signals(f):
+    """Signals of files that may have a stored summary (column summary); the others' whole text stands for it."""
+    told = F.coalesce("summary", "content") if "summary" in f.columns else F.col("content")
     age = F.floor((F.lit(a.NOW) - F.col("last_modified")) / 86400)
     return f.withColumns({
         "path_s": s.path_score(["src1", "12"], F.col("path")),
-        "summary_s": s.keyword_share(["tion", "the"], F.lower(F.left("content", F.lit(150)))),
+        "summary_s": s.keyword_share(["tion", "the"], F.lower(told)),
         "recency": s.recency_boost(age),
         "size_p": s.size_penalty(F.col("size_bytes")),
     })
 
 
+def _summed(spark, d):
+    """Files with their stored summaries."""
+    return a.files(spark, d).join(a.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("summary")), "id", "left")
+
+
 #: What is asked for: words of the query, then each table of a file's signals.
 ASKED = ("where", "src1", "tion", "12")
 
@@ -223,7 +231,7 @@ def recency_and_size(spark, d):
 
 @query(f"WITH {a.FILES} SELECT id, round({_SUMM}, 6) AS score FROM files")
 def summary_score(spark, d):
-    return _signals(a.files(spark, d)).select("id", F.round("summary_s", 6).alias("score"))
+    return _signals(_summed(spark, d)).select("id", F.round("summary_s", 6).alias("score"))
 
 
 @query(f"""WITH {a.SYMBOLS}, per AS (SELECT file_id, count(*) FILTER (WHERE contains(name, 'tion') OR contains(name, 'er')) AS hits FROM symbols GROUP BY file_id)
@@ -291,6 +299,6 @@ def match_reason(spark, d):
 @query(f"""WITH {a.FILES}, s AS (SELECT id, path, 0.40 * (1.0 / (1 + id)) + 0.20 * {_PATH} + 0.15 * {_SUMM} + 0.10 * ({_REC}) + 0.10 * ({_SIZE}) + 0.05 * CASE WHEN domain IS NULL THEN 0 ELSE 1 END AS score FROM files)
 SELECT id, round(score, 6) AS score FROM s ORDER BY round(s.score, 9) DESC, id LIMIT 50""")
 def multi_factor_ranking(spark, d):
-    f = _signals(a.files(spark, d))
+    f = _signals(_summed(spark, d))
     score = 0.40 * (1.0 / (1 + F.col("id"))) + 0.20 * F.col("path_s") + 0.15 * F.col("summary_s") + 0.10 * F.col("recency").cast("double") + 0.10 * F.col("size_p").cast("double") + 0.05 * F.when(F.col("domain").isNull(), 0).otherwise(1)
     return f.select("id", F.round(score, 9).alias("s")).orderBy(F.desc("s"), "id").limit(50).select("id", F.round("s", 6).alias("score"))

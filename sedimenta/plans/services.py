@@ -129,10 +129,11 @@ def language_tools(spark, d):
     return rows.groupBy("service").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_type AS language, p_brand AS type, list(DISTINCT p_name ORDER BY p_name) AS fields FROM part WHERE p_type = 'ECONOMY' GROUP BY 1, 2")
+@query("SELECT p_type AS language, p_brand AS type, list(DISTINCT p_name ORDER BY p_name) AS fields, count(DISTINCT p_name) AS field_count FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_name) >= 3")
 def fingerprints_by_language(spark, d):
-    p = a.table(spark, d, "part").where("p_type = 'ECONOMY'")
-    return p.groupBy(F.col("p_type").alias("language"), F.col("p_brand").alias("type")).agg(F.array_sort(F.collect_set("p_name")).alias("fields"))
+    """Types with three fields or more, by language."""
+    rows = a.table(spark, d, "part").groupBy(F.col("p_type").alias("language"), F.col("p_brand").alias("type")).agg(F.array_sort(F.collect_set("p_name")).alias("fields"))
+    return rows.withColumn("field_count", F.size("fields").cast("long")).where("field_count >= 3").orderBy("language", "type")
 
 
 @query("SELECT p_name AS name, p_size AS version, CASE p_size % 4 WHEN 1 THEN 'npm' END AS ecosystem FROM part WHERE p_size % 4 = 1")
