@@ -31,7 +31,8 @@ def match_routes(routes: DataFrame, calls: DataFrame) -> DataFrame:
         return df.select("path").distinct().select(F.col("path").alias(name), seg.alias(f"{name}_s"), F.size(seg).alias("n"))
 
     r, c = shaped(routes, "route"), shaped(calls, "call")
-    r = r.withColumn("fixed", F.filter(F.transform("route_s", lambda s, k: F.struct(k.alias("place"), s.alias("seg"))), lambda x: ~is_parameter(x["seg"]))[0])
+    fixed = F.filter(F.transform("route_s", lambda s, k: F.struct(k.alias("place"), s.alias("seg"))), lambda x: ~is_parameter(x["seg"]))
+    r = r.withColumn("fixed", F.get(fixed, F.lit(0)))
     keyed = r.where("fixed is not null").select("route", "route_s", "n", "fixed.place", F.explode(F.array(F.col("fixed.seg"), F.lit(None).cast("string"))).alias("seg"))
     places = c.select("call", "call_s", "n", F.posexplode("call_s").alias("place", "s")).withColumn("seg", F.when(~is_parameter(F.col("s")), F.col("s")))
     keyed, places = (x.withColumn("seg", F.coalesce(F.concat(F.lit("="), "seg"), F.lit(":"))) for x in (keyed, places))

@@ -104,5 +104,5 @@ def rolled_sketches(spark, d):
     sketches.daily(e, ["event_type"], time="ts", item="user_id", value="value", label="k").write.parquet(folder)
     rolled = sketches.rolled(spark.read.parquet(folder), ["event_type"])
     rank = e.join(F.broadcast(rolled.select("event_type", F.col("quantiles")[0].alias("median"))), "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("median")).cast("double")).alias("rank"))
-    out = _exact(e).join(rolled.select("event_type", "distinct", F.col("top")[0]["count"].alias("most")), "event_type").join(rank, "event_type")
+    out = _exact(e).join(rolled.select("event_type", "distinct", F.get("top", F.lit(0))["count"].alias("most")), "event_type").join(rank, "event_type")
     return out.select("event_type", "n", "users", (F.abs(F.col("distinct") - F.col("users")) <= F.col("users") / 20).alias("users_near"), (F.abs(F.col("rank") - 0.5) <= 0.03).alias("median_near"), "most")

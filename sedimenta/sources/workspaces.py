@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from .scratch import folder
 
-#: Patterns of a manifest in JSON: a list of workspaces, or an object with packages.
-_LISTED = F.from_json(F.get_json_object("content", "$.workspaces"), "array<string>")
-_NESTED = F.from_json(F.get_json_object("content", "$.workspaces.packages"), "array<string>")
-
 
 def patterns(manifests: DataFrame) -> DataFrame:
     """(root, pattern) from manifests (root, name, content). A pnpm-workspace.yaml takes the place of the package.json beside it."""
@@ -18,7 +14,9 @@ def patterns(manifests: DataFrame) -> DataFrame:
     item = F.regexp_replace(F.trim(F.regexp_replace(F.trim("line"), "^-+", "")), "^['\"]+|['\"]+$", "")
     pnpm = lines.select("root", item.alias("pattern")).where("pattern <> '' AND pattern NOT LIKE '#%' AND pattern <> 'packages:'")
     told = manifests.where("name = 'package.json'").join(manifests.where("name = 'pnpm-workspace.yaml'").select("root"), "root", "left_anti")
-    npm = told.select("root", F.explode(F.coalesce(_LISTED, _NESTED)).alias("pattern")).where("pattern is not null")
+    # a list of workspaces, or an object with packages
+    listed, nested = (F.from_json(F.get_json_object("content", p), "array<string>") for p in ("$.workspaces", "$.workspaces.packages"))
+    npm = told.select("root", F.explode(F.coalesce(listed, nested)).alias("pattern")).where("pattern is not null")
     return pnpm.unionByName(npm).distinct()
 
 
