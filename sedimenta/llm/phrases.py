@@ -1,7 +1,7 @@
 """Phrase collocations: count-min sketches of n-grams pick what may be frequent, a second pass counts just that exactly.
 
-First pass: each block of texts hashes its n-grams of 1 to SKETCHED words and gives, per row of the sketch and shard of its counters, the
-counters that it raises; shards are merged by adding, up to the least count that matters. A counter is never below an n-gram's true count, so
+First pass: blocks of texts hash their n-grams of 1 to SKETCHED words and give, per row of the sketch and shard of its counters, the
+counters that they raise; shards are merged by adding, up to the least count that matters. A counter is never below an n-gram's true count, so
 an n-gram whose counters do not all reach it is rare; and the counters of the two parts of a longer n-gram, each a word shorter, are never
 below its count either. Second pass: the n-grams that may be frequent, and whose parts may, are counted
 by their words, block by block and then over all. So no frequent phrase is lost and every count is exact, whatever the
@@ -37,7 +37,9 @@ FEWEST_BITS, MOST_BITS = 18, 29
 #: Counters of a shard.
 SHARD_BITS = 20
 #: Bytes of text of a block.
-BLOCK = 8_000_000
+BLOCK = 6_000_000
+#: N-grams of a task's blocks whose counters are sorted and sent together: the more, the smaller the gaps between counters.
+PENDING = 6_000_000
 
 _GAP = b"\n"
 #: A-Z to lower case, what ends a piece to \n, tab to space: all ASCII, so UTF-8 stays whole.
@@ -135,20 +137,31 @@ def sketched(rows: DataFrame, bits: int, least: int) -> Filter:
     shards = ROWS << (bits - shard_bits)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [[] for _ in range(ROWS)], 0
         for block in blocks(batches):
-            hashes = np.concatenate([block.hashes[k] for k in range(1, SKETCHED + 1)])
-            for row in range(ROWS):
-                at = np.sort(counter_of(hashes, row, bits))
-                if not len(at):
-                    continue
-                heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                times = np.minimum(np.diff(heads, append=len(at)), least).astype(np.uint8)
-                at = at[heads]
-                edges = np.searchsorted(at >> np.uint32(shard_bits), np.arange((1 << (bits - shard_bits)) + 1))
-                full = np.flatnonzero(np.diff(edges))
-                low = at & np.uint32((1 << shard_bits) - 1)
-                data = [packed(low[edges[s] : edges[s + 1]], times[edges[s] : edges[s + 1]]) for s in full]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(row << (bits - shard_bits) | full, pa.int32()), "data": pa.array(data, pa.binary())})
+            for k in range(1, SKETCHED + 1):
+                for row in range(ROWS):
+                    held[row].append(counter_of(block.hashes[k], row, bits))
+                n += len(block.hashes[k])
+            if n >= PENDING:
+                yield from raised(held)
+                held, n = [[] for _ in range(ROWS)], 0
+        if n:
+            yield from raised(held)
+
+    def raised(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for row in range(ROWS):
+            at = np.concatenate(held[row])
+            held[row] = []
+            at.sort()
+            heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            times = np.minimum(np.diff(heads, append=len(at)), least).astype(np.uint8)
+            at = at[heads]
+            edges = np.searchsorted(at >> np.uint32(shard_bits), np.arange((1 << (bits - shard_bits)) + 1))
+            full = np.flatnonzero(np.diff(edges))
+            low = at & np.uint32((1 << shard_bits) - 1)
+            data = [packed(low[edges[s] : edges[s + 1]], times[edges[s] : edges[s + 1]]) for s in full]
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(row << (bits - shard_bits) | full, pa.int32()), "data": pa.array(data, pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}

@@ -263,6 +263,7 @@ def test_phrases_of_any_sketch(spark, bits):
 def test_blocks_change_nothing(spark, monkeypatch):
     rows = list(zip(["en", "fr", None] * 50, talk(3, 150)))
     monkeypatch.setattr(phrases, "BLOCK", 500)
+    monkeypatch.setattr(phrases, "PENDING", 900)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
     assert sorted(map(tuple, phrases.mine(docs, least=5).collect())) == plain_phrases(rows, 5)
 
