@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, bind, lower_ascii, stored
+from .common import SPACE_CHARS, bind, lower_ascii, positions, stored
 
 #: Leading quote marks with spaces between them.
 MARKS = r"^(?:[ \t]*>)+"
@@ -84,13 +84,13 @@ def threaded(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     conversation and turn are one source but separate rows; null conversations or turns link with nothing.
     """
     rows = messages.select(
-        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), passages(F.col(text_col)).alias("ps")
+        *[F.col(f"`{c}`").alias(a) for c, a in ((conv_col, "conv"), (turn_col, "turn"))], F.col(f"`{role_col}`").cast("string").alias("role"), passages(F.col(f"`{text_col}`")).alias("ps")
     )
     quoted = F.filter(F.filter("ps", lambda p: p["level"] > 0), lambda p: normalised(p["body"]) != NOTHING)
 
     def quote(p: Column) -> Column:
         whole = F.xxhash64(normalised(p["body"]))
-        return bind(line_hashes(p["body"]), lambda ls: F.struct(whole.alias("whole"), run_hash(ls).alias("run"), F.get(ls, F.lit(0)).alias("first"), F.size(ls).alias("n")))
+        return bind(line_hashes(p["body"]), lambda ls: F.struct(whole.alias("whole"), run_hash(ls).alias("run"), F.get(ls, F.lit(0)).alias("first"), F.get(ls, F.lit(1)).alias("second"), F.size(ls).alias("n")))
 
     own = F.filter("ps", lambda p: p["level"] == 0)
     kept = F.filter(own, lambda p: ~F.regexp_like(F.btrim(p["body"], F.lit(SPACE_CHARS)), F.lit(INTRO)) | (F.size(F.filter("ps", lambda q: q["level"] > 0)) == 0))
@@ -105,22 +105,31 @@ def threaded(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
 
     known = rows.where("conv is not null and turn is not null")
     quotes = known.select("row", "conv", "turn", F.posexplode("quotes").alias("q", "x")).select("row", "conv", "turn", "q", "x.*")
-    # places where a quotation's first line stands; the lines that follow are hashed there only
-    begun = quotes.select("first", "n").distinct()
-    places = known.select("row", F.posexplode("lines").alias("at", "first")).join(begun, "first").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("places"))
+    # places where a quotation's first two lines stand (its only one, if it has no more); the lines that follow are hashed there only
+    begun = quotes.select("first", "second", "n").distinct()
+    pairs = F.transform("lines", lambda x, i: F.struct(x.alias("first"), F.get("lines", i + 1).alias("second")))
+    each = known.select("row", F.posexplode(pairs).alias("at", "x")).select("row", "at", "x.*")
+    places = each.join(begun.where("n > 1"), ["first", "second"]).select("row", "at", "n")
+    places = places.unionByName(each.drop("second").join(begun.where("n = 1").select("first", "n"), "first").select("row", "at", "n"))
+    places = places.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("places"))
     runs = F.array_distinct(F.transform("places", lambda x: run_hash(F.slice("lines", x["at"] + 1, x["n"]))))
     told = known.select("conv", "turn", F.explode("own").alias("h"))
     told = told.unionByName(known.select("row", "conv", "turn", "lines").join(places, "row").select("conv", "turn", F.explode(runs).alias("h")))
     ways = F.posexplode(F.array("whole", "run")).alias("way", "h")
     asked = quotes.select("row", "conv", "turn", "q", ways)
-    # only passages that someone quotes go on; the sources of a passage are summed up before they meet the quotations
+    # only passages that someone quotes go on; a passage is one source a conversation and turn, however often it stands there
     wanted = asked.select("h").distinct()
-    sources = told.join(wanted, "h").groupBy("h", "conv").agg(F.sort_array(F.collect_set("turn")).alias("turns"))
+    sources = told.join(wanted, "h").select("h", "conv", "turn").distinct()
+    # within a conversation the last source before each asking turn, from one ordered run over both
+    both = sources.withColumn("source", F.col("turn")).unionByName(asked.select("h", "conv", "turn").distinct().withColumn("source", F.lit(None).cast(rows.schema["turn"].dataType)))
+    earlier = Window.partitionBy("h", "conv").orderBy("turn", F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = both.withColumn("latest", F.max("source").over(earlier)).where("source is null").select("h", "conv", "turn", "latest")
     # the first two conversations, as one of them may be the asker's own
-    least = sources.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("conv"))).where("place <= 2")
-    anywhere = least.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("conv", F.col("turns")[0].alias("turn")))).alias("first"))
-    near = asked.join(sources, ["h", "conv"], "left").join(anywhere, "h", "left")
-    latest = F.array_max(F.filter("turns", lambda t: t < F.col("turn")))
+    first = sources.groupBy("h", "conv").agg(F.min("turn").alias("turn"))
+    least = first.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("conv"))).where("place <= 2")
+    anywhere = least.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("conv", "turn"))).alias("first"))
+    near = asked.join(before, ["h", "conv", "turn"], "left").join(anywhere, "h", "left")
+    latest = F.col("latest")
     elsewhere = F.get(F.filter("first", lambda x: x["conv"] != F.col("conv")), F.lit(0))
     found = near.withColumn("source", F.when(latest.isNotNull(), F.struct(F.col("conv").alias("conv"), latest.alias("turn"))).otherwise(elsewhere))
     # of one quotation: the conversation itself goes before others, and the whole passage before its lines
@@ -141,7 +150,10 @@ def threaded(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
 
     out = rows.join(linked.select("row", "source", "n_linked"), "row", "left").join(step, ["conv", "turn"], "left")
     out = out.withColumn("thread", F.coalesce("up", "turn"))
-    place = F.row_number().over(Window.partitionBy("conv", F.when(F.col("conv").isNull(), F.col("row"))).orderBy("thread", "turn", "role", "text"))
+    # places by ranges, so that a conversation of any length is dealt over tasks; a message without a conversation is one by itself
+    k = F.coalesce(F.concat(F.lit("1"), F.col("conv").cast("string")), F.concat(F.lit("0"), F.col("row").cast("string")))
+    out = positions(out.withColumn("k", k), [F.col(c) for c in ("thread", "turn", "role", "text")], "chat-places")
+    place = F.col("idx") + 1
     return out.select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "text",
         F.concat_ws(": ", F.coalesce("role", F.lit("user")), "text").alias("line"),

@@ -14,11 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, parts_for, stored
+from .common import lower_ascii, positions, stored
 
 FANOUT = 16
-#: Leaves of a task when positions are given.
-PER_TASK = 100_000
 
 
 def field(value: Column) -> Column:
@@ -36,21 +34,6 @@ def group_key(group: Column) -> Column:
     return F.coalesce(F.concat(F.lit("1"), group.cast("string")), F.lit("0"))
 
 
-def positions(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """rows (k, ...) with idx, the place from 0 within k by `order`, and n, the rows of k.
-
-    Rows are dealt by ranges of (k, order), numbered within their range, and each range's number of rows moves the next ones
-    on; so a k of any size is spread over tasks. Rows that `order` does not tell apart have to be equal.
-    """
-    _, parts = parts_for(rows, PER_TASK)
-    placed = stored(rows.repartitionByRange(parts, "k", *order).sortWithinPartitions("k", *order).withColumn("m", F.monotonically_increasing_id()), name)
-    placed = placed.withColumn("part", F.shiftright("m", 33))
-    ranges = placed.groupBy("k", "part").agg(F.count("*").alias("c"), F.min("m").alias("first"))  # a row per range and group that meets it
-    before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("k", "part", "first", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy("k")).alias("n"))
-    return placed.join(ranges, ["k", "part"]).withColumn("idx", F.col("before") + F.col("m") - F.col("first")).drop("m", "part", "first", "before")
-
-
 def runs(nodes: DataFrame) -> DataFrame:
     """nodes (k, idx, digest, ...) with p (the parent's idx), parent (its digest), and what stands left and right of the node in its run."""
     run = Window.partitionBy("k", "p").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
