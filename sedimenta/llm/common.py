@@ -55,19 +55,37 @@ def free_prefix(prefix: str, columns: list[str]) -> str:
     return prefix
 
 
+_LOCAL: list[str] = []
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder of spark.checkpoint.dir.
+    """A new folder name below the shared folder of spark.checkpoint.dir. The folders stay until clear() deletes them, as lazy results read them.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder stands in for it; it goes
-    when the process ends. On a cluster the folders stay until the owner of the shared folder clears it.
+    Only where that setting is absent a temporary folder stands in for it, which goes when the process ends; it serves a session in one
+    process (tests, a laptop), and on a cluster the setting is asked for.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='sedimenta-')}"
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/sedimenta/{name}-{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="sedimenta-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], True)
+        base = f"file://{_LOCAL[0]}"
+    _MADE.append(f"{base.rstrip('/')}/sedimenta/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the folders that this process has asked for, when no result that reads them is needed any more; returns how many."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_MADE)
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
