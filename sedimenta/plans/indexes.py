@@ -26,10 +26,15 @@ def _state(spark, d: str, name: str) -> tuple:
     return (spark.sparkContext.applicationId, name, *out)
 
 
+def _there(key: tuple) -> bool:
+    """Whether an index was built and its folder has not been cleared since."""
+    return key in _BUILT and bool(_BUILT[key].store.versions.numbers())
+
+
 def project_index(spark, d: str) -> ProjectIndex:
     """The index of `documents` as files."""
     key = _state(spark, d, "documents")
-    if key not in _BUILT:
+    if not _there(key):
         made = ProjectIndex(spark, scratch.folder(spark, "project-index"))
         made.apply(a.files(spark, d), now=a.NOW)
         _BUILT[key] = made
@@ -39,7 +44,7 @@ def project_index(spark, d: str) -> ProjectIndex:
 def vector_index(spark, d: str) -> VectorIndex:
     """The index of `embeddings`."""
     key = _state(spark, d, "embeddings")
-    if key not in _BUILT:
+    if not _there(key):
         made = VectorIndex(spark, scratch.folder(spark, "vector-index"))
         made.build(a.table(spark, d, "embeddings"))
         _BUILT[key] = made
@@ -89,7 +94,7 @@ AFTER = a.SYMBOLS.replace(a.FILES, CHANGED).replace("AS ls FROM files)", "AS ls
 def streamed_index(spark, d: str) -> ProjectIndex:
     """The index of the files after the changes, taken from a stream of three files of changes; the last one is replayed."""
     key = ("streamed", *_state(spark, d, "documents"))
-    if key not in _BUILT:
+    if not _there(key):
         made, folder = ProjectIndex(spark, scratch.folder(spark, "streamed-index")), scratch.folder(spark, "changes")
         batches = changes(spark, d)
         for k, rows in enumerate(batches):

@@ -229,3 +229,24 @@ def test_embedders(spark):
     of = lambda model: with_cache(wanted, cache.where(F.col("model") == model), "id", make(model))
     assert of("hash64").where("cached").count() == len([i for i in plain if i < 10]) and of("hash64-int8").where("cached").count() == 0
     assert keyed("hash64").count() == len(plain) and {r.model for r in of("hash64-int8").collect()} == {"hash64-int8"}
+
+
+def test_scratch_folders(spark, tmp_path, monkeypatch):
+    """Folders go when they are cleared; without a shared folder a cluster's session is refused."""
+    from types import SimpleNamespace
+
+    from sedimenta.sources import scratch
+
+    monkeypatch.setattr(scratch, "_MADE", [])
+    path = scratch.folder(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and scratch.clear(spark) == 1 and scratch.clear(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+    for master, ok in (("spark://host:7077", False), ("local-cluster[2,1,1024]", False), ("local[4]", True)):
+        other = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master))
+        if ok:
+            assert scratch.folder(other, "y").startswith("file://")
+        else:
+            with pytest.raises(RuntimeError):
+                scratch.folder(other, "y")
