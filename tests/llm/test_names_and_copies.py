@@ -87,3 +87,20 @@ def test_one_document_very_often(spark):
     n = got.agg(F.sum("length"), F.count("*"), F.count_distinct("sequence_id")).first()
     total = got.first().doc_tokens
     assert n[0] == 9000 * total and n[1] >= 9000
+
+
+def test_shared_folders(spark, monkeypatch):
+    """Folders go when they are cleared; without a shared folder a cluster's session is refused."""
+    from types import SimpleNamespace
+
+    from sedimenta.llm import common
+
+    monkeypatch.setattr(common, "_MADE", [])
+    kept_rows = common.stored(spark.range(3), "x")
+    assert kept_rows.count() == 3 and common.clear(spark) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(*kept_rows.inputFiles())
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master)), "y")
+    assert common.free_prefix("q_", ["a", "Q_x", "q__"]) == "q___"
