@@ -37,9 +37,9 @@ FEWEST_BITS, MOST_BITS = 18, 29
 #: Counters of a shard.
 SHARD_BITS = 20
 #: Bytes of text of a block.
-BLOCK = 6_000_000
+BLOCK = 4_000_000
 #: N-grams of a task's blocks whose counters are sorted and sent together: the more, the smaller the gaps between counters.
-PENDING = 6_000_000
+PENDING = 5_000_000
 
 _GAP = b"\n"
 #: A-Z to lower case, what ends a piece to \n, tab to space: all ASCII, so UTF-8 stays whole.
