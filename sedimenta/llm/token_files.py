@@ -27,6 +27,8 @@ from .common import parts_for, shared_dir, stored
 from .tokens import encoder
 
 FRAME_IDS = 1 << 16
+#: Pieces that a worker remembers (some 150 bytes each). Where tasks are short an executor has more workers than cores for a while.
+REMEMBERED = 250_000
 LEVEL = 3
 # Fixed values of the seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -159,15 +161,15 @@ def write(docs: DataFrame, folder: str, *, file: str, end_id: int, id_col: str =
         writer, sink, n_docs = None, None, 0
         temporary, final = f"{base}/.{uuid.uuid4().hex}.tmp", f"{base}/part-{part:06d}.ids.zst"
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("id").to_pylist()
             if writer is None:
                 files.create_dir(base, recursive=True)
                 sink = files.open_output_stream(temporary)
                 writer = Writer(sink)
-            for at in range(0, len(texts), 256):
-                for doc_id, got in zip(ids[at : at + 256], encoder(file).batch(texts[at : at + 256])):
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                for doc_id, got in zip(rows.column("id").to_pylist(), encoder(file, REMEMBERED).batch(rows.column("text").to_pylist())):
                     writer.add(doc_id, got + end)
-            n_docs += len(texts)
+            n_docs += batch.num_rows
         if writer is not None:
             total = writer.close()
             sink.close()

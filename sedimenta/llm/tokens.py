@@ -173,11 +173,11 @@ class Encoder:
         return joined
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(file: str) -> Encoder:
+def encoder(file: str, memory: int = MEMORY) -> Encoder:
     """This worker process's encoder, kept from task to task."""
-    if file not in _ENCODERS:
-        _ENCODERS[file] = Encoder(file)
-    return _ENCODERS[file]
+    if (file, memory) not in _ENCODERS:
+        _ENCODERS[file, memory] = Encoder(file, memory)
+    return _ENCODERS[file, memory]

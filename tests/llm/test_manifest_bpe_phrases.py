@@ -287,3 +287,14 @@ def test_packed_counters():
     times = (at % 30 + 1).astype(np.uint8)
     back, told = phrases.unpacked(phrases.packed(at, times))
     assert (back == at).all() and (told == times).all()
+
+
+def test_token_files_remember_few_pieces():
+    """A worker's memory of pieces is bounded, and smaller for token files than in general; what is not remembered gets the same ids."""
+    from sedimenta.llm import token_files, tokens
+
+    assert token_files.REMEMBERED <= 300_000
+    small, texts = tokens.encoder("word_bpe_49k.json", 500), [" ".join(f"w{k}x{n}" for n in range(100)) for k in range(40)]
+    got = [small.batch([t])[0] for t in texts]
+    assert len(small.known) <= 600
+    assert got == tokens.Encoder("word_bpe_49k.json").batch(texts)
