@@ -9,7 +9,7 @@ from sedimenta.operators import code as c
 from sedimenta.operators import extract as x
 from sedimenta.operators import routes as r
 from sedimenta.sources import adapters as a
-from sedimenta.sources import corpus, reports
+from sedimenta.sources import corpus, reports, scratch
 
 from .registry import query
 
@@ -31,6 +31,16 @@ def parts(spark, d):
     return p.withColumns({"k": F.col("p_partkey").cast("string"), "s": F.col("p_size").cast("string"), "n": (F.col("p_size") % 4 + 1).cast("int")})
 
 
+#: Parts whose files are made by one task.
+DEAL = 8192
+
+
+def dealt(spark, d):
+    """parts(), dealt over tasks by their number before files are made of them: the table is small and its files are not, and one task may read it whole."""
+    p = parts(spark, d)
+    return p.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-p.count() // DEAL)), "p_partkey")
+
+
 def repeated(template: str):
     """n copies of the template, numbered by {i} from 0."""
     return F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: filled(template, i=i.cast("string"), k=F.col("k"))), "")
@@ -50,7 +60,6 @@ PY_TAIL = "def _hidden_{k}(): return None\n"
 
 def sources(spark, d):
     """(file_id, language, content): four files for each part, numbered part * 4 + language."""
-    p = parts(spark, d)
     k, s = F.col("k"), F.col("s")
     texts = (
         ("rust", F.concat(filled(RUST_HEAD, k=k, s=s), repeated(RUST_METHOD), filled(RUST_TAIL, k=k))),
@@ -58,8 +67,11 @@ def sources(spark, d):
         ("go", filled(GO_TEXT, k=k, s=s)),
         ("python", F.concat(filled(PY_HEAD, k=k), repeated(PY_METHOD), filled(PY_TAIL, k=k))),
     )
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(lang).alias("language"), text.alias("content")) for i, (lang, text) in enumerate(texts)])).alias("f")
-    return p.select("p_partkey", rows).select((F.col("p_partkey") * 4 + F.col("f.i")).alias("file_id"), "f.language", "f.content")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(lang).alias("language")) for i, (lang, _) in enumerate(texts)])).alias("f")
+    content = F.when(F.lit(False), F.lit(None).cast("string"))  # a row makes its own text only
+    for i, (_, text) in enumerate(texts):
+        content = content.when(F.col("f.i") == i, text)
+    return dealt(spark, d).select("p_partkey", "k", "s", "n", each).select((F.col("p_partkey") * 4 + F.col("f.i")).alias("file_id"), "f.language", content.alias("content"))
 
 
 def source_lines(spark, d):
@@ -85,7 +97,7 @@ def parse_nested_symbols(spark, d):
 UNION ALL SELECT f + 1, 'Row' || k, 2 FROM p UNION ALL SELECT f + 2, 'Item', 1 FROM p UNION ALL SELECT f + 2, 'Cart' || k, 2 FROM p
 UNION ALL SELECT f + 3, 'B', 1 FROM p UNION ALL SELECT f + 3, 'Owner', 1 FROM p UNION ALL SELECT f + 3, 'Cart', n FROM p UNION ALL SELECT f + 3, 'Total', n FROM p""")
 def type_usages(spark, d):
-    u = x.extract(sources(spark, d), "refs").where("kind = 'type_usage'")
+    u = x.extract(sources(spark, d), "refs", "type_usage")
     return u.groupBy("file_id", "name").agg(F.count("*").cast("int").alias("n"))
 
 
@@ -120,10 +132,11 @@ UNION ALL SELECT f, 'm' || i, CAST(11 + 3 * i AS INTEGER), '    fn m' || i || '(
 def read_function_context(spark, d):
     """The functions of the scripts and the methods of Rust files, with what they need to be understood."""
     src = sources(spark, d).where("language IN ('typescript', 'rust')")
-    y = x.extract(src, "symbols")
+    got = x.extract_tables(src, ("symbols", "refs", "imports"), scratch.folder(spark, "function-context"))
+    y = got["symbols"]
     wanted = y.where("kind = 'function' AND name NOT LIKE 'helper%'")
     ls = a.lines(src.select(F.col("file_id").alias("id"), "content"))
-    return c.function_context(wanted, ls, x.extract(src, "refs"), y, x.extract(src, "imports"))
+    return c.function_context(wanted, ls, got["refs"], y, got["imports"])
 
 
 @query(f"WITH {_P} SELECT f + 1 AS file_id, 'load' || k AS function, 7 AS line_start, 'Row' || k AS type, 'interface' AS kind, 3 AS type_start FROM p UNION ALL SELECT f + 2, 'open' || k, 22, 'Cart' || k, 'struct', 8 FROM p UNION ALL SELECT f + 2, 'Price', 15, 'Cart' || k, 'struct', 8 FROM p")
@@ -171,7 +184,7 @@ def module_paths(spark, d):
 
 def project(spark, d):
     """(id, path, content): p{k}/app/main.ts, p{k}/src/api/m.ts, p{k}/src/ui/index.tsx, p{k}/src/deep.ts."""
-    p, k = parts(spark, d), F.col("k")
+    p, k = dealt(spark, d), F.col("k")
     one = lambda i, path, text: F.struct(F.lit(i).alias("i"), filled(path, k=k).alias("path"), filled(text, k=k, s=F.col("s")).alias("content"))
     rows = F.array(
         one(0, "p{k}/app/main.ts", "import { a } from \"@/api/m\";\nimport { u } from \"~ui\";\nimport x from \"react\";\nexport function main() { a(u); }\n"),
@@ -183,7 +196,7 @@ def project(spark, d):
 
 def resolved(spark, d):
     f = project(spark, d)
-    imports = x.extract(f.select(F.col("id").alias("file_id"), F.lit("typescript").alias("language"), "content"), "imports").join(f.select(F.col("id").alias("file_id"), "path"), "file_id")
+    imports = x.extract(f.select(F.col("id").alias("file_id"), F.lit("typescript").alias("language"), "content"), "imports").join(f.select(F.col("id").alias("file_id"), "path").hint("merge"), "file_id")
     config = '{ // aliases\n "compilerOptions": { "baseUrl": ".", "paths": { "@/*": ["none/*", "src/*"], "~ui": ["src/ui"] } } }'
     configs = parts(spark, d).select(F.concat(F.lit("p"), "k").alias("directory"), F.lit(config).alias("value"))
     by_alias = c.resolve_aliases(imports.select("file_id", "path", "module"), configs, f)
