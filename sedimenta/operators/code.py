@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from sedimenta.operators.graph import BIN, in_bins
 
+# Tables of files are exploded out of smaller ones, and Spark expects them to be as small as these; a join that says merge is never
+# broadcast, which would take a whole table through the driver.
+
 #: Beginnings of a line that declares a type, and of a doc comment.
 TYPE_STARTS = ("struct ", "enum ", "interface ", "type ", "class ", "pub struct ", "pub enum ", "pub type ")
 DOC_STARTS = ("///", "/**")
@@ -21,7 +24,7 @@ def starts(text: Column, words: tuple[str, ...]) -> Column:
 def within(spans: DataFrame, points: DataFrame) -> DataFrame:
     """Each of spans (file_id, line_start, line_end, ...) with the points (file_id, line, ...) of its lines. They meet on bins of lines, a point in one."""
     p = points.withColumn("bin", F.floor(F.col("line") / BIN))
-    return in_bins(spans).join(p, ["file_id", "bin"]).where("line BETWEEN line_start AND line_end").drop("bin")
+    return in_bins(spans).join(p.hint("merge"), ["file_id", "bin"]).where("line BETWEEN line_start AND line_end").drop("bin")
 
 
 def types_only(lines: DataFrame, *, kind: str | None = None, docs: bool = True) -> DataFrame:
@@ -41,7 +44,7 @@ def public_lines(lines: DataFrame, language: Column) -> DataFrame:
 def with_text(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """symbols with `code`, the text of their lines. Symbols meet lines of their own file only, a row for each of their lines."""
     each = symbols.withColumn("line", F.explode(F.sequence("line_start", "line_end")))
-    got = each.join(lines.select("file_id", "line", "text"), ["file_id", "line"])
+    got = each.join(lines.select("file_id", "line", "text").hint("merge"), ["file_id", "line"])
     keys = ["file_id", "name", "kind", "line_start", "line_end"]
     code = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
     return got.groupBy(*keys).agg(code.alias("code"))
@@ -53,7 +56,7 @@ def referenced_types(functions: DataFrame, refs: DataFrame, symbols: DataFrame)
     f = functions.select("file_id", F.col("name").alias("function"), "line_start", "line_end")
     inside = within(f, used).select("file_id", "function", "line_start", "type").distinct()
     types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select("file_id", F.col("name").alias("type"), "kind", F.col("line_start").alias("type_start"))
-    return inside.join(types, ["file_id", "type"])
+    return inside.join(types.hint("merge"), ["file_id", "type"])
 
 
 def function_context(functions: DataFrame, lines: DataFrame, refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
@@ -63,11 +66,11 @@ def function_context(functions: DataFrame, lines: DataFrame, refs: DataFrame, sy
     types = referenced_types(functions, refs, symbols).groupBy("file_id", "function", "line_start").agg(F.array_sort(F.collect_set("type")).alias("types"))
     called = refs.where("kind = 'call'").select("file_id", F.col("name").alias("callee"), "line")
     own = symbols.where("kind IN ('function', 'method')").select("file_id", F.col("name").alias("callee")).distinct()
-    calls = within(f, called.join(own, ["file_id", "callee"], "left_semi")).where("callee <> function")
+    calls = within(f, called.join(own.hint("merge"), ["file_id", "callee"], "left_semi")).where("callee <> function")
     calls = calls.groupBy("file_id", "function", "line_start").agg(F.array_sort(F.collect_set("callee")).alias("callees"))
     taken = imports.groupBy("file_id").agg(F.array_sort(F.collect_set("module")).alias("imports"))
     key = ["file_id", "function", "line_start"]
-    out = code.join(types, key, "left").join(calls, key, "left").join(taken, "file_id", "left")
+    out = code.join(types.hint("merge"), key, "left").join(calls.hint("merge"), key, "left").join(taken.hint("merge"), "file_id", "left")
     empty = F.array().cast("array<string>")
     return out.select(*key, "code", *[F.coalesce(c, empty).alias(c) for c in ("types", "callees", "imports")])
 
@@ -140,11 +143,11 @@ def resolve_aliases(imports: DataFrame, configs: DataFrame, files: DataFrame) ->
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     asked = imports.where(~F.col("module").startswith(".")).select("file_id", "module", F.posexplode(above).alias("depth", "directory"))
-    near = asked.join(configs.select("directory").distinct(), "directory").groupBy("file_id", "module").agg(F.max_by("directory", "depth").alias("directory"))
-    fits = near.join(c, "directory").where(F.col("module").startswith(F.col("alias")))
+    near = asked.join(configs.select("directory").distinct().hint("merge"), "directory").groupBy("file_id", "module").agg(F.max_by("directory", "depth").alias("directory"))
+    fits = near.join(c.hint("merge"), "directory").where(F.col("module").startswith(F.col("alias")))
     tried = fits.select("file_id", "module", F.substr("module", F.length("alias") + 1).alias("rest"), F.length("alias").alias("long"), F.posexplode("targets").alias("t", "target"))
     tried = tried.select("file_id", "module", "long", "t", F.posexplode(F.array(*[F.concat("target", "rest", F.lit(x)) for x in SCRIPTS])).alias("e", "path"))
-    found = tried.join(files.select("path", F.col("id").alias("target")), "path")
+    found = tried.join(files.select("path", F.col("id").alias("target")).hint("merge"), "path")
     return found.groupBy("file_id", "module").agg(F.min_by("target", F.struct(-F.col("long"), "t", "e")).alias("target"))
 
 
@@ -155,12 +158,12 @@ def bundle(start: DataFrame, imports: DataFrame, files: DataFrame, skeletons: Da
     seen = start.select("root", F.col("root").alias("file_id"), F.lit(0).alias("depth"))
     last = seen
     for step in range(1, depth + 1):
-        last = last.join(edges, last["file_id"] == edges["at"]).select("root", F.col("target").alias("file_id"), F.lit(step).alias("depth")).distinct()
+        last = last.join(edges.hint("merge"), last["file_id"] == edges["at"]).select("root", F.col("target").alias("file_id"), F.lit(step).alias("depth")).distinct()
         seen = seen.unionByName(last)
     seen = seen.groupBy("root", "file_id").agg(F.min("depth").alias("depth"))
     whole = files.select(F.col("id").alias("file_id"), "content")
     short = skeletons.select("file_id", "skeleton")
-    return seen.join(whole, "file_id").join(short, "file_id", "left").select("root", "file_id", "depth", F.when(F.col("depth") == 0, F.col("content")).otherwise(F.coalesce("skeleton", "content")).alias("content"))
+    return seen.join(whole.hint("merge"), "file_id").join(short.hint("merge"), "file_id", "left").select("root", "file_id", "depth", F.when(F.col("depth") == 0, F.col("content")).otherwise(F.coalesce("skeleton", "content")).alias("content"))
 
 
 def frameworks(content: Column, ext: Column) -> Column:

@@ -121,7 +121,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     parent = F.regexp_replace(base, r"/[^/]+/\.\./", "/")
     cands = F.array(*[F.concat(parent, F.lit(s)) for s in ("", ".ts", ".tsx", ".js", ".jsx", ".vue", ".py", "/index.ts", "/index.js", "/__init__.py")])
     tried = imports.where(F.col("module").startswith(".")).select("file_id", "module", F.posexplode(cands).alias("rank", "candidate"))
-    found = tried.join(files.select(F.col("path").alias("candidate"), F.col("id").alias("target")), "candidate")
+    found = tried.join(files.select(F.col("path").alias("candidate"), F.col("id").alias("target")).hint("merge"), "candidate")  # files may be many, and are not broadcast
     return found.groupBy("file_id", "module").agg(F.min_by("target", "rank").alias("target"))
 
 
