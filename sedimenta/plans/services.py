@@ -168,9 +168,9 @@ def explain_module_prompt(spark, d):
     """A prompt on a module from its path, its symbols by kind and the files that it imports."""
     f, by_alias, _ = made.resolved(spark, d)
     paths = f.select(F.col("id").alias("target"), F.col("path").alias("imported"))
-    taken = by_alias.join(paths, "target").groupBy(F.col("file_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("imported")), ", ").alias("imported"))
+    taken = by_alias.join(paths.hint("merge"), "target").groupBy(F.col("file_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("imported")), ", ").alias("imported"))
     kinds = c.symbol_summary(x.extract(f.select(F.col("id").alias("file_id"), F.lit("typescript").alias("language"), "content"), "symbols")).withColumnRenamed("file_id", "id")
-    rows = f.where("id % 4 = 0").join(taken, "id").join(kinds, "id")
+    rows = f.where("id % 4 = 0").join(taken.hint("merge"), "id").join(kinds.hint("merge"), "id")
     return rows.select(F.col("id").alias("root"), F.concat(F.lit("Explain "), "path", F.lit(". It declares "), "kinds", F.lit(". It imports "), "imported", F.lit(".")).alias("prompt"))
 
 
