@@ -35,10 +35,11 @@ def resolved(imports: DataFrame, files: DataFrame, roots: tuple[tuple[str, str],
     relative = F.when(F.size(up) >= F.col("dots") - 1, F.array(F.struct(F.lit(0).alias("tier"), F.lit("relative").alias("base"), own.alias("key"))))
     absolute = F.array(*[F.struct(F.lit(k).alias("tier"), F.lit(base).alias("base"), F.concat(F.lit(root), F.col("module")).alias("key")) for k, (root, base) in enumerate(roots)])
     asked = rows.select("*", F.explode(F.when(F.col("dots") > 0, relative).when(F.col("module") != "", absolute)).alias("c")).select("*", "c.tier", "c.base", "c.key")
-    hits = asked.join(modules(files), "key").where("module <> '' OR package")
+    # merged: a broadcast of all modules or answers would go through the driver
+    hits = asked.join(modules(files).hint("merge"), "key").where("module <> '' OR package")
     kind = F.when(F.col("module") == "", "relative package").otherwise(F.concat("base", F.when(F.col("package"), " (package)").otherwise("")))
     best = hits.groupBy("from_key", "import_key").agg(F.min(F.struct("tier", "package", "path", kind.alias("kind"))).alias("best"))
     outside = F.when(likely_stdlib(name), F.struct(F.lit("<stdlib>").alias("path"), F.lit("standard library").alias("kind"))).otherwise(F.struct(F.lit("<site-packages>").alias("path"), F.lit("third-party").alias("kind")))
     got = F.when(F.col("best").isNotNull(), F.struct(F.col("best.path").alias("path"), F.col("best.kind").alias("kind"))).when(~F.col("import_key").rlike(r"^(\.|$)"), outside)
-    out = keyed.join(best, ["from_key", "import_key"], "left")
+    out = keyed.join(best.hint("merge"), ["from_key", "import_key"], "left")
     return out.select(*[F.col(f"`{c}`") for c in imports.columns], got["path"].alias("resolved"), got["kind"].alias("kind"))
