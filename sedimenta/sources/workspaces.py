@@ -13,7 +13,7 @@ def patterns(manifests: DataFrame) -> DataFrame:
     lines = manifests.where("name = 'pnpm-workspace.yaml'").select("root", F.explode(F.split("content", "\n")).alias("line"))
     item = F.regexp_replace(F.trim(F.regexp_replace(F.trim("line"), "^-+", "")), "^['\"]+|['\"]+$", "")
     pnpm = lines.select("root", item.alias("pattern")).where("pattern <> '' AND pattern NOT LIKE '#%' AND pattern <> 'packages:'")
-    told = manifests.where("name = 'package.json'").join(manifests.where("name = 'pnpm-workspace.yaml'").select("root"), "root", "left_anti")
+    told = manifests.where("name = 'package.json'").join(manifests.where("name = 'pnpm-workspace.yaml'").select("root").hint("merge"), "root", "left_anti")
     # a list of workspaces, or an object with packages
     listed, nested = (F.from_json(F.get_json_object("content", p), "array<string>") for p in ("$.workspaces", "$.workspaces.packages"))
     npm = told.select("root", F.explode(F.coalesce(listed, nested)).alias("pattern")).where("pattern is not null")
@@ -61,11 +61,12 @@ def members(patterns_: DataFrame, directories: DataFrame) -> DataFrame:
     segs = F.split("directory", "/")
     every = directories.select("root", "directory").where("directory <> ''").distinct()
     starts = edges.select("root", F.when(F.col("node").startswith("!"), "!").otherwise("").alias("node")).distinct()
-    now = every.join(starts, "root").select("root", "directory", "node")
+    now = every.join(starts.hint("merge"), "root").select("root", "directory", "node")
     deepest = every.agg(F.max(F.size(segs))).first()[0] or 0
-    deep = edges.where("kind = 'deep'").select("root", "node", "next")
-    literal = edges.where("kind = 'literal'").select("root", "node", F.col("seg").alias("here"), "next")
-    glob = edges.where("kind = 'glob'").select("root", "node", segment_regex(F.col("seg")).alias("regex"), "next")
+    # edges compress well, so that Spark takes them for small; merged, they do not go through the driver
+    deep = edges.where("kind = 'deep'").select("root", "node", "next").hint("merge")
+    literal = edges.where("kind = 'literal'").select("root", "node", F.col("seg").alias("here"), "next").hint("merge")
+    glob = edges.where("kind = 'glob'").select("root", "node", segment_regex(F.col("seg")).alias("regex"), "next").hint("merge")
     ended = []
     for i in range(deepest + 1):
         now = now.unionByName(now.join(deep, ["root", "node"]).select("root", "directory", F.col("next").alias("node")))
@@ -80,5 +81,5 @@ def members(patterns_: DataFrame, directories: DataFrame) -> DataFrame:
     found = ended[0]
     for e in ended[1:]:
         found = found.unionByName(e)
-    found = found.join(finals, ["root", "node"]).groupBy("root", "directory").agg(F.bool_or("negative").alias("out"))
+    found = found.join(finals.hint("merge"), ["root", "node"]).groupBy("root", "directory").agg(F.bool_or("negative").alias("out"))
     return found.where("not out").select("root", "directory")
